@@ -37,7 +37,7 @@ def name_part(name: Column, position: int) -> Column:
 
 def list_tokens(text: Column) -> Column:
     """Trimmed tokens of a comma list, empty ones kept so they can be reported."""
-    return F.transform(F.split(text, ",", -1), F.trim)
+    return F.transform(F.split(text, ",", -1), lambda token: F.trim(token))
 
 
 def has_empty_token(text: Column) -> Column:

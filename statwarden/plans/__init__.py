@@ -1,6 +1,6 @@
 """Queries over the given tables, registered by key."""
 
-from statwarden.plans import decisions  # noqa: F401
+from statwarden.plans import control, decisions, profiles  # noqa: F401
 from statwarden.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -19,9 +19,9 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name == "policies":
-            return fixtures.policies(self.spark)
-        return fixtures.frame(self.spark, self.sf_dir, name)
+        build = fixtures.policies(self.spark) if name == "policies" else fixtures.frame(self.spark, self.sf_dir, name)
+        setattr(self, name, build)
+        return build
 
     def table(self, name: str) -> DataFrame:
         return fixtures.load(self.spark, self.sf_dir, name)
