@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statwarden.functions.logic import first_match, holds
 from statwarden.functions.numeric import truncated_percent
+from statwarden.operators.skew import lookup
 from statwarden.operators.thresholds import dynamic_by_level
 
 SCOPES = ("ALL", "INDEX_ONLY", "AUTO_ONLY", "USER_ONLY", "NON_AUTO")  # fixed values
@@ -195,3 +196,45 @@ def missing_targets(requested: DataFrame, tables: DataFrame) -> DataFrame:
     return wanted.join(known, ["schema_key", "table_key"], "left_anti").select("schema_name", "table_name").distinct()
 
 
+
+
+def owned_tables(tables: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Tables with the name of their schema."""
+    return tables.join(schemas.select("database_id", "schema_id", "schema_name"), ["database_id", "schema_id"])
+
+
+def enumerate_statistics(
+    stats: DataFrame, tables: DataFrame, schemas: DataFrame, indexes: DataFrame, partitions: DataFrame, columns: DataFrame
+) -> DataFrame:
+    """Every statistic with its table, schema, index, base index, rows and leading column.
+
+    What belongs to a table is gathered first, one row per table; a table with very
+    many statistics is then spread over many tasks.
+    """
+    owner = owned_tables(tables, schemas).join(partition_rows(partitions), "object_id", "left").select(
+        "object_id", "database_id", "database_name", "schema_name", "table_name", "is_ms_shipped", "is_external",
+        "is_memory_optimized", "base_index_type", "base_disabled", "current_rows", "partition_count",
+    )
+    per_stat = indexes.select(
+        "object_id", F.col("index_id").alias("stats_id"), "index_name", "index_type", "is_disabled", "is_hypothetical"
+    )
+    leading = columns.select(
+        "object_id",
+        F.col("column_id").alias("leading_column_id"),
+        F.col("column_name").alias("leading_column"),
+        F.col("data_type").alias("leading_type"),
+    )
+    df = stats.join(per_stat, ["object_id", "stats_id"], "left")
+    df = lookup(df, owner, ["object_id"], ["stats_id"], how="inner")
+    return lookup(df, leading, ["object_id", "leading_column_id"], ["stats_id"])
+
+
+def generated_rows(total: DataFrame, block: int = 100_000) -> DataFrame:
+    """Rows 1..n for a one-row frame holding ``n``; blocks are spread before they grow."""
+    blocks = total.select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block))).alias("block"))
+    first = F.col("block") * block + 1
+    return (
+        blocks.where("n > 0")
+        .repartition("block")
+        .select(F.explode(F.sequence(first, F.least(first + block - 1, F.col("n")))).alias("id"))
+    )

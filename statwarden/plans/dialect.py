@@ -28,6 +28,10 @@ class Spark:
     def plus_days(ts, days):
         return f"({ts} + make_dt_interval(CAST({days} AS INT)))"
 
+    @staticmethod
+    def explode_range(n):
+        return f"explode(sequence(0, {n} - 1))"
+
 
 class Duck:
     @staticmethod
@@ -49,3 +53,7 @@ class Duck:
     @staticmethod
     def plus_days(ts, days):
         return f"({ts} + to_days(CAST({days} AS INT)))"
+
+    @staticmethod
+    def explode_range(n):
+        return f"CAST(unnest(range(0, {n})) AS INT)"

@@ -287,7 +287,87 @@ def _stages(d) -> dict[str, tuple[str, list[dict[str, str]]]]:
             "database_name": _name("(m + 1)"),
         },
     ]
+    cat_stats = [
+        {"k": "o_orderkey", "m": "o_custkey"},
+        {
+            "object_id": "m * 3 + k % 3",
+            "stats_id": "k + 10",
+            "stat_name": "'S' || CAST(k AS STRING)",
+            "auto_created": "(k % 16 <= 4 AND k % 2 = 0)",
+            "user_created": "(k % 16 <= 4 AND k % 2 = 1)",
+            "no_recompute": "(k % 33 = 0)",
+            "has_filter": "(k % 5 = 0)",
+            "leading_column_id": "CAST(1 + k % 4 AS INT)",
+        },
+    ]
+    cat_indexes = [
+        {"k": "o_orderkey", "m": "o_custkey"},
+        {
+            "object_id": "m * 3 + k % 3",
+            "index_id": "k + 10",
+            "index_name": "'IX_' || CAST(k AS STRING)",
+            "index_type": "CAST(CASE WHEN k % 16 IN (5, 6, 7, 8, 14) THEN 1 WHEN k % 16 = 13 THEN "
+            + d.pick(["3", "4", "5", "6", "7", "8", "9", "2"], d.div("k", "16") + " % 8")
+            + " ELSE 2 END AS INT)",
+            "is_disabled": "(k % 79 = 0)",
+            "is_hypothetical": "(k % 83 = 0)",
+        },
+    ]
+    cat_tables = [
+        {"m": "c_custkey", "j": d.explode_range(3)},
+        {
+            "database_id": "m + 1",
+            "database_name": _name("(m + 1)"),
+            "object_id": "m * 3 + j",
+            "schema_id": "CAST(m % 5 AS INT)",
+            "table_name": "'T' || CAST(m * 3 + j AS STRING)",
+            "is_ms_shipped": "((m * 3 + j) % 29 = 0)",
+            "is_external": "((m * 3 + j) % 31 = 0)",
+            "is_memory_optimized": "((m * 3 + j) % 67 = 0)",
+            "base_index_type": "CAST(CASE WHEN m % 6 = 0 THEN 5 WHEN m % 2 = 0 THEN 1 END AS INT)",
+            "base_disabled": "((m * 3 + j) % 73 = 0)",
+        },
+    ]
+    cat_schemas = [
+        {"m": "c_custkey", "schema_id": d.explode_range(5)},
+        {"database_id": "m + 1", "schema_name": "'schema_' || CAST(schema_id AS STRING)"},
+    ]
+    cat_columns = [
+        {"m": "c_custkey", "j": d.explode_range(12)},
+        {"object_id": f"m * 3 + {d.div('j', '4')}", "column_id": "CAST(1 + j % 4 AS INT)"},
+        {
+            "column_name": "'col_' || CAST(column_id AS STRING)",
+            "data_type": d.pick(["'int'", "'nvarchar'", "'datetime2'", "'decimal'"], "j % 4"),
+            "is_nullable": "(j % 3 = 0)",
+        },
+    ]
+    cat_expected = [
+        {"m": "c_custkey", "j": d.explode_range(15)},
+        {"object_id": f"m * 3 + {d.div('j', '5')}", "column_id": "CAST(1 + j % 5 AS INT)"},
+        {
+            "column_name": "'col_' || CAST(column_id AS STRING)",
+            "data_type": "CASE WHEN (object_id * 4 + column_id) % 89 = 0 THEN 'bigint' ELSE "
+            + d.pick(["'int'", "'nvarchar'", "'datetime2'", "'decimal'", "'bit'"], f"({d.div('j', '5')} * 4 + column_id - 1) % 4 + {d.div('column_id', '5')} * 4")
+            + " END",
+            "is_nullable": f"(({d.div('j', '5')} * 4 + column_id - 1) % 3 = 0)",
+            "wanted": "(column_id <= 4 AND (object_id * 4 + column_id) % 97 <> 0) OR (column_id = 5 AND object_id % 50 = 0)",
+        },
+    ]
+    target_requests = [
+        {"m": "c_custkey"},
+        {
+            "schema_name": "CASE WHEN m % 2 = 0 THEN 'SCHEMA_' ELSE 'schema_' END || CAST(m % 5 AS STRING)",
+            "table_name": "CASE WHEN m % 3 = 0 THEN 't' ELSE 'T' END || CAST(m * 3 + m % 4 AS STRING)",
+        },
+    ]
     return {
+        "cat_stats": ("orders", cat_stats),
+        "cat_indexes": ("orders WHERE o_orderkey % 16 > 4", cat_indexes),
+        "cat_tables": ("customer", cat_tables),
+        "cat_schemas": ("customer", cat_schemas),
+        "cat_columns": ("customer", cat_columns),
+        "cat_expected": ("customer", cat_expected),
+        "target_requests": ("customer", target_requests),
         "fleet": ("orders", fleet),
         "overrides": ("orders WHERE o_orderkey % 13 = 0 OR (o_custkey % 17 = 0 AND o_orderkey % 11 = 3)", overrides),
         "datasets": ("customer", datasets),
