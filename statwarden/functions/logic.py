@@ -22,3 +22,17 @@ def first_match(branches: Sequence[tuple[Column, object]], otherwise=None) -> Co
     for condition, value in branches:
         chain = chain.when(condition, value if isinstance(value, Column) else F.lit(value))
     return chain.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
+
+
+class Fields:
+    """Columns by attribute: ``c.stats_rows`` is ``col("stats_rows")``.
+
+    Unlike attributes of a DataFrame these need no look at its schema, which keeps
+    the building of wide plans fast.
+    """
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name)
+
+
+c = Fields()

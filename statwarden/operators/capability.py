@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwarden.functions.logic import first_match, holds
+from statwarden.functions.logic import c, first_match, holds
 from statwarden.functions.text import name_part
 
 # fixed values: managed service edition, and the editions the build rules cover
@@ -27,12 +27,12 @@ FEATURE_RANGES = {
 
 
 def _in_range(v: DataFrame, feature: str) -> Column:
-    version = F.struct(v.product_build, v.product_revision)
-    hit = v.product_major >= 16
+    version = F.struct(c.product_build, c.product_revision)
+    hit = c.product_major >= 16
     for major, build, revision, end in FEATURE_RANGES[feature]:
-        inside = (v.product_major == major) & (version >= F.struct(F.lit(build), F.lit(revision)))
+        inside = (c.product_major == major) & (version >= F.struct(F.lit(build), F.lit(revision)))
         if end is not None:
-            inside = inside & (v.product_build < end)
+            inside = inside & (c.product_build < end)
         hit = hit | inside
     return hit
 
@@ -45,13 +45,13 @@ def with_capabilities(inventory: DataFrame) -> DataFrame:
     text = F.col("product_version")
     parts = {"product_major": 4, "product_minor": 3, "product_build": 2, "product_revision": 1}
     v = inventory.select("*", *[name_part(text, n).try_cast("int").alias(c) for c, n in parts.items()])
-    managed = v.engine_edition == MANAGED_EDITION
-    enough = first_match([(v.product_major == major, v.product_build >= build) for major, build in FIRST_BUILD.items()])
+    managed = c.engine_edition == MANAGED_EDITION
+    enough = first_match([(c.product_major == major, c.product_build >= build) for major, build in FIRST_BUILD.items()])
     ruled = holds(
-        v.engine_edition.isin(*RULED_EDITIONS)
-        & (v.product_minor == 0)
+        c.engine_edition.isin(*RULED_EDITIONS)
+        & (c.product_minor == 0)
         & enough
-        & (v.product_revision >= 0)
+        & (c.product_revision >= 0)
         & (F.length(text) - F.length(F.replace(text, F.lit("."), F.lit(""))) == 3)
     )
 
@@ -67,8 +67,8 @@ def with_capabilities(inventory: DataFrame) -> DataFrame:
         ).alias("build_rule_status"),
         *[flag(_in_range(v, feature)).alias(f"supports_{feature}") for feature in FEATURE_RANGES],
         flag(F.lit(True)).alias("supports_query_store"),
-        flag(v.product_major >= 14).alias("supports_wait_stats"),
-        flag(v.product_major >= 16, None).alias("supports_ce_feedback"),
+        flag(c.product_major >= 14).alias("supports_wait_stats"),
+        flag(c.product_major >= 16, None).alias("supports_ce_feedback"),
     )
 
 
@@ -85,15 +85,15 @@ def probe_metadata(columns: DataFrame) -> DataFrame:
     )
     status = first_match(
         [
-            (seen.probe_error.isNotNull(), "DESCRIPTION_FAILED"),
-            (~seen.has_rows, "DESCRIPTION_INCOMPLETE"),
-            (seen.has_percent, "COLUMN_PRESENT"),
+            (c.probe_error.isNotNull(), "DESCRIPTION_FAILED"),
+            (~c.has_rows, "DESCRIPTION_INCOMPLETE"),
+            (c.has_percent, "COLUMN_PRESENT"),
         ],
         "COLUMN_NOT_PRESENT",
     )
     return seen.select(
         "database_id",
         status.alias("probe_status"),
-        F.when(seen.probe_error.isNull() & seen.has_rows, seen.has_percent).alias("has_persist_metadata"),
+        F.when(c.probe_error.isNull() & c.has_rows, c.has_percent).alias("has_persist_metadata"),
         "probe_error",
     )

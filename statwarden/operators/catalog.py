@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwarden.functions.logic import first_match, holds
+from statwarden.functions.logic import c, Fields, first_match, holds
 from statwarden.functions.numeric import truncated_percent
 from statwarden.operators.skew import lookup
 from statwarden.operators.thresholds import dynamic_by_level
@@ -32,7 +32,7 @@ def partition_rows(partitions: DataFrame) -> DataFrame:
     )
 
 
-def in_statistics_scope(f: DataFrame, scope: str) -> Column:
+def in_statistics_scope(f: Fields, scope: str) -> Column:
     on_index = f.index_type.isNotNull()
     return {
         "ALL": F.lit(True),
@@ -43,7 +43,7 @@ def in_statistics_scope(f: DataFrame, scope: str) -> Column:
     }[scope]
 
 
-def visible(f: DataFrame) -> Column:
+def visible(f: Fields) -> Column:
     """No shipped tables outside the system databases, no external tables."""
     return (~f.is_ms_shipped | f.database_id.isin(*SYSTEM_IDS)) & ~f.is_external
 
@@ -65,22 +65,22 @@ def statistics_context(facts: DataFrame) -> DataFrame:
     )
     df = facts.join(with_columnstore, "object_id", "left")
     has = holds(F.col("__columnstore"))
-    on_index = df.index_type.isNotNull()
+    on_index = c.index_type.isNotNull()
     return df.select(
         *facts.columns,
-        index_family(df.index_type).alias("index_family"),
+        index_family(c.index_type).alias("index_family"),
         first_match(
             [(on_index, "INDEX_ASSOCIATED"), (has, "STANDALONE_ON_TABLE_WITH_COLUMNSTORE")], "STANDALONE"
         ).alias("statistics_context"),
         first_match(
-            [(df.base_index_type == 5, "CLUSTERED_COLUMNSTORE"), (df.base_index_type == 1, "CLUSTERED_ROWSTORE")], "HEAP"
+            [(c.base_index_type == 5, "CLUSTERED_COLUMNSTORE"), (c.base_index_type == 1, "CLUSTERED_ROWSTORE")], "HEAP"
         ).alias("base_storage"),
         has.alias("has_columnstore"),
-        first_match([(on_index, "Index"), (df.auto_created, "AutoCreated")], "UserCreated").alias("statistic_type"),
+        first_match([(on_index, "Index"), (c.auto_created, "AutoCreated")], "UserCreated").alias("statistic_type"),
     )
 
 
-def legacy_estimator(e: DataFrame) -> Column:
+def legacy_estimator(e: Fields) -> Column:
     """Does the database use the legacy estimator? NULL when the flags contradict."""
     both = e.legacy_flag & e.modern_flag
     legacy = (e.compat_level < 120) | e.scoped_legacy | e.legacy_flag
@@ -91,7 +91,7 @@ def estimator_label(legacy: Column) -> Column:
     return first_match([(legacy, "LEGACY_CE_CONTEXT"), (~legacy, "MODERN_CE_CONTEXT")], "AMBIGUOUS_CE_CONTEXT")
 
 
-def sampling_scan_behavior(e: DataFrame) -> Column:
+def sampling_scan_behavior(e: Fields) -> Column:
     return first_match(
         [
             ((e.engine_edition == 8) | (e.product_major >= 14), "SERIAL_SAMPLING_SCAN_OTHER_OPERATORS_MAY_PARALLELIZE"),
@@ -101,7 +101,7 @@ def sampling_scan_behavior(e: DataFrame) -> Column:
     )
 
 
-def threshold_context(e: DataFrame) -> Column:
+def threshold_context(e: Fields) -> Column:
     return first_match(
         [
             (dynamic_by_level(e.product_major, e.engine_edition, e.compat_level), "DYNAMIC_COMPAT_130_PLUS"),
@@ -111,7 +111,7 @@ def threshold_context(e: DataFrame) -> Column:
     )
 
 
-def wait_evidence(e: DataFrame) -> Column:
+def wait_evidence(e: Fields) -> Column:
     return first_match(
         [
             (~e.supports_wait_stats, "NOT_SUPPORTED_ON_THIS_BUILD"),
@@ -121,7 +121,7 @@ def wait_evidence(e: DataFrame) -> Column:
     )
 
 
-def feedback_evidence(e: DataFrame) -> Column:
+def feedback_evidence(e: Fields) -> Column:
     return first_match(
         [
             (~e.supports_ce_feedback, "NOT_SUPPORTED_ON_THIS_BUILD"),
@@ -145,12 +145,12 @@ def with_environment(datasets: DataFrame) -> DataFrame:
     """Adds the derived environment labels of each database."""
     return datasets.select(
         "*",
-        legacy_estimator(datasets).alias("legacy_ce"),
-        estimator_label(legacy_estimator(datasets)).alias("estimator_context"),
-        sampling_scan_behavior(datasets).alias("sampling_scan_behavior"),
-        threshold_context(datasets).alias("threshold_context"),
-        wait_evidence(datasets).alias("wait_evidence"),
-        feedback_evidence(datasets).alias("feedback_evidence"),
+        legacy_estimator(c).alias("legacy_ce"),
+        estimator_label(legacy_estimator(c)).alias("estimator_context"),
+        sampling_scan_behavior(c).alias("sampling_scan_behavior"),
+        threshold_context(c).alias("threshold_context"),
+        wait_evidence(c).alias("wait_evidence"),
+        feedback_evidence(c).alias("feedback_evidence"),
     )
 
 
@@ -171,7 +171,7 @@ def partition_health(row_groups: DataFrame) -> DataFrame:
         total_where(state.isin(1, 2, 3), total - deleted).alias("__live"),
     )
     return sums.select(
-        *[c for c in sums.columns if c != "__live"], truncated_percent(sums.delta_rows, F.col("__live")).alias("delta_percent")
+        *[c for c in sums.columns if c != "__live"], truncated_percent(c.delta_rows, F.col("__live")).alias("delta_percent")
     )
 
 

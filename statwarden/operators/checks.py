@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statwarden.functions.logic import Fields, c
 from statwarden.functions.text import is_blank
 
 ACTIONS = ("REFRESH_AUTO", "FORCE_SAMPLE_ROWS", "FORCE_SAMPLE_PERCENT", "FORCE_FULLSCAN", "EXCLUDE")  # fixed values
@@ -26,7 +27,7 @@ def duplicates(df: DataFrame, key: Sequence[str], rule: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").withColumn("rule", F.lit(rule))
 
 
-def override_rules(o: DataFrame) -> dict[str, Column]:
+def override_rules(o: Fields) -> dict[str, Column]:
     by_percent, by_rows = o.action == "FORCE_SAMPLE_PERCENT", o.action == "FORCE_SAMPLE_ROWS"
     no_percent, no_rows = o.sample_percent.isNull(), o.sample_rows.isNull()
     return {
@@ -44,7 +45,7 @@ def override_rules(o: DataFrame) -> dict[str, Column]:
 
 def override_violations(overrides: DataFrame) -> DataFrame:
     """Row rules plus uniqueness per table and per statistic."""
-    rows = violations(overrides, ["override_id"], override_rules(overrides)).select(
+    rows = violations(overrides, ["override_id"], override_rules(c)).select(
         F.col("override_id").cast("string").alias("subject"), "rule", F.lit(1).cast("bigint").alias("entries")
     )
     table = ["database_name", "schema_name", "table_name"]
@@ -57,7 +58,7 @@ def override_violations(overrides: DataFrame) -> DataFrame:
     return rows.unionByName(named[0]).unionByName(named[1])
 
 
-def scope_rules(s: DataFrame) -> dict[str, Column]:
+def scope_rules(s: Fields) -> dict[str, Column]:
     return {
         "approval": ~is_blank(s.notes)
         & (~s.enabled | (s.approved_by.isNotNull() & ~is_blank(s.approved_by) & s.approved_at.isNotNull())),
@@ -72,11 +73,11 @@ def scope_rules(s: DataFrame) -> dict[str, Column]:
 
 
 def scope_violations(scope: DataFrame) -> DataFrame:
-    rows = violations(scope, ["configured_name"], scope_rules(scope)).withColumn("entries", F.lit(1).cast("bigint"))
+    rows = violations(scope, ["configured_name"], scope_rules(c)).withColumn("entries", F.lit(1).cast("bigint"))
     return rows.unionByName(duplicates(scope, ["configured_name"], "one_per_name"))
 
 
-def settings_rules(s: DataFrame) -> dict[str, Column]:
+def settings_rules(s: Fields) -> dict[str, Column]:
     return {
         "singleton": s.settings_id == 1,
         "schema_version": s.schema_version == SETTINGS_VERSION,
@@ -116,5 +117,5 @@ def schema_mismatches(expected: DataFrame, actual: DataFrame) -> DataFrame:
         "table_name", "column_name", F.col("ordinal").alias("actual_ordinal"), F.col("data_type").alias("actual_type")
     )
     df = expected.join(found, ["table_name", "column_name"], "left")
-    same = (df.actual_type == df.data_type) & (df.actual_ordinal == df.ordinal)
-    return df.where(df.actual_type.isNull() | ~same)
+    same = (c.actual_type == c.data_type) & (c.actual_ordinal == c.ordinal)
+    return df.where(c.actual_type.isNull() | ~same)

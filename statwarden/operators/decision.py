@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwarden.functions.logic import fails, first_match, holds
+from statwarden.functions.logic import c, fails, Fields, first_match, holds
 from statwarden.functions.numeric import dec, truncated_percent
 from statwarden.operators import thresholds as thr
 
@@ -77,7 +77,7 @@ def complete_policy(policy: DataFrame) -> DataFrame:
     return policy.select(*others, *settings)
 
 
-def skew_class(f: DataFrame) -> Column:
+def skew_class(f: Fields) -> Column:
     known = (f.histogram_status == "AVAILABLE") & f.dominant_percent.isNotNull()
     return first_match(
         [
@@ -90,7 +90,7 @@ def skew_class(f: DataFrame) -> Column:
     )
 
 
-def eligibility_reason(f: DataFrame) -> Column:
+def eligibility_reason(f: Fields) -> Column:
     """Safety restrictions first, then row counts, approvals and thresholds."""
     changes, ratio = f.modification_counter, f.mod_ratio_percent
     safety = [
@@ -124,36 +124,36 @@ def eligibility_reason(f: DataFrame) -> Column:
 
 def with_ratios(df: DataFrame) -> DataFrame:
     """Governance threshold, ratios and skew class."""
-    threshold = thr.governance_threshold(df.stats_rows, df.p_update_threshold_percent, df.p_min_modifications)
+    threshold = thr.governance_threshold(c.stats_rows, c.p_update_threshold_percent, c.p_min_modifications)
     df = df.select(
         "*",
         threshold.alias("governance_threshold"),
-        thr.modification_ratio(df.modification_counter, df.stats_rows).alias("mod_ratio_percent"),
-        thr.sample_ratio(df.rows_sampled, df.stats_rows).alias("actual_sample_percent"),
-        thr.low_sample_limit(df.p_low_sample_percent, df.legacy_ce, df.p_legacy_multiplier).alias("low_sample_limit_percent"),
-        skew_class(df).alias("skew_class"),
+        thr.modification_ratio(c.modification_counter, c.stats_rows).alias("mod_ratio_percent"),
+        thr.sample_ratio(c.rows_sampled, c.stats_rows).alias("actual_sample_percent"),
+        thr.low_sample_limit(c.p_low_sample_percent, c.legacy_ce, c.p_legacy_multiplier).alias("low_sample_limit_percent"),
+        skew_class(c).alias("skew_class"),
     )
-    governance, native, changes = df.governance_threshold, df.native_threshold, df.modification_counter
+    governance, native, changes = c.governance_threshold, c.native_threshold, c.modification_counter
     return df.select(
         "*",
-        df.stats_rows.alias("governance_basis_rows"),
+        c.stats_rows.alias("governance_basis_rows"),
         thr.remaining_changes(governance, changes).alias("governance_remaining"),
         truncated_percent(changes, governance).alias("governance_progress_percent"),
         (changes >= governance).alias("governance_reached"),
         thr.threshold_delta(governance, native).alias("governance_native_delta"),
         thr.threshold_comparison(governance, native).alias("governance_native_comparison"),
-        holds(df.actual_sample_percent < df.low_sample_limit_percent).alias("low_sample_warning"),
-        df.dominant_percent.alias("histogram_dominant_percent"),
-        df.top3_percent.alias("histogram_top3_percent"),
+        holds(c.actual_sample_percent < c.low_sample_limit_percent).alias("low_sample_warning"),
+        c.dominant_percent.alias("histogram_dominant_percent"),
+        c.top3_percent.alias("histogram_top3_percent"),
     )
 
 
 def with_ladder(df: DataFrame) -> DataFrame:
-    df = df.select("*", eligibility_reason(df).alias("ladder_reason"))
-    return df.select("*", df.ladder_reason.isin(*ELIGIBLE_REASONS).alias("ladder_eligible"))
+    df = df.select("*", eligibility_reason(c).alias("ladder_reason"))
+    return df.select("*", c.ladder_reason.isin(*ELIGIBLE_REASONS).alias("ladder_eligible"))
 
 
-def row_override_conflict(f: DataFrame) -> Column:
+def row_override_conflict(f: Fields) -> Column:
     """Why an approved row sample cannot be used; NULL when it can."""
     mode = F.coalesce(f.o_persistence_mode, F.lit("KEEP"))
     return first_match(
@@ -165,7 +165,7 @@ def row_override_conflict(f: DataFrame) -> Column:
     )
 
 
-def sampling_route(f: DataFrame) -> Column:
+def sampling_route(f: Fields) -> Column:
     """Which rule chooses the sampling method of an eligible statistic."""
     persisted = (f.persisted_percent > 0) & f.supports_persist & f.has_persist_metadata
     large = F.coalesce(f.stats_rows, f.current_rows) >= f.p_large_table_rows
@@ -186,51 +186,51 @@ def with_method(df: DataFrame) -> DataFrame:
     """Method, requested amount and source; a conflicting row sample is noted."""
     df = df.select(
         "*",
-        sampling_route(df).alias("d_route"),
-        F.coalesce(df.o_persistence_mode, F.lit("KEEP")).alias("d_mode"),
+        sampling_route(c).alias("d_route"),
+        F.coalesce(c.o_persistence_mode, F.lit("KEEP")).alias("d_mode"),
     )
-    by_rows = df.d_route == "OVERRIDE_ROWS"
-    extreme = df.skew_class == "EXTREME"
-    wanted = F.when(by_rows, df.o_sample_rows).when(
-        df.d_route == "SKEW", F.when(extreme, df.p_extreme_skew_rows).otherwise(df.p_high_skew_rows)
+    by_rows = c.d_route == "OVERRIDE_ROWS"
+    extreme = c.skew_class == "EXTREME"
+    wanted = F.when(by_rows, c.o_sample_rows).when(
+        c.d_route == "SKEW", F.when(extreme, c.p_extreme_skew_rows).otherwise(c.p_high_skew_rows)
     )
-    capped = wanted > df.current_rows
+    capped = wanted > c.current_rows
     return df.select(
         "*",
-        F.when(by_rows, row_override_conflict(df)).alias("row_conflict"),
+        F.when(by_rows, row_override_conflict(c)).alias("row_conflict"),
         first_match(
             [
-                (df.d_route == "FULLSCAN", "FULLSCAN"),
-                (df.d_route.isin("OVERRIDE_PERCENT", "PERSISTED", "DEFAULT_PERCENT"), "SAMPLE_PERCENT"),
-                (df.d_route.isin("OVERRIDE_ROWS", "SKEW"), "SAMPLE_ROWS"),
+                (c.d_route == "FULLSCAN", "FULLSCAN"),
+                (c.d_route.isin("OVERRIDE_PERCENT", "PERSISTED", "DEFAULT_PERCENT"), "SAMPLE_PERCENT"),
+                (c.d_route.isin("OVERRIDE_ROWS", "SKEW"), "SAMPLE_ROWS"),
             ],
             "AUTO",
         ).alias("d_method"),
         first_match(
             [
-                (df.d_route == "FULLSCAN", dec(F.lit(100), 19, 6)),
-                (df.d_route == "OVERRIDE_PERCENT", dec(df.o_sample_percent, 19, 6)),
-                (df.d_route == "PERSISTED", dec(df.persisted_percent, 19, 6)),
-                (df.d_route == "DEFAULT_PERCENT", dec(df.p_default_percent, 19, 6)),
+                (c.d_route == "FULLSCAN", dec(F.lit(100), 19, 6)),
+                (c.d_route == "OVERRIDE_PERCENT", dec(c.o_sample_percent, 19, 6)),
+                (c.d_route == "PERSISTED", dec(c.persisted_percent, 19, 6)),
+                (c.d_route == "DEFAULT_PERCENT", dec(c.p_default_percent, 19, 6)),
             ],
             F.lit(None).cast("decimal(19,6)"),
         ).alias("wanted_percent"),
-        F.when(capped, df.current_rows).otherwise(wanted).alias("wanted_rows"),
+        F.when(capped, c.current_rows).otherwise(wanted).alias("wanted_rows"),
         first_match(
             [
                 (by_rows & capped, "APPROVED_OVERRIDE_CAPPED_TO_ROWS"),
-                (df.d_route.isin("FULLSCAN", "OVERRIDE_PERCENT", "OVERRIDE_ROWS"), "APPROVED_OVERRIDE"),
-                (df.d_route == "PERSISTED", "EXISTING_PERSISTED_RATE"),
-                ((df.d_route == "SKEW") & extreme, "EXTREME_SKEW_SAMPLE_ROWS"),
-                (df.d_route == "SKEW", "HIGH_SKEW_SAMPLE_ROWS"),
-                (df.d_route == "DEFAULT_PERCENT", "REQUESTED_LARGE_TABLE_SAMPLE"),
+                (c.d_route.isin("FULLSCAN", "OVERRIDE_PERCENT", "OVERRIDE_ROWS"), "APPROVED_OVERRIDE"),
+                (c.d_route == "PERSISTED", "EXISTING_PERSISTED_RATE"),
+                ((c.d_route == "SKEW") & extreme, "EXTREME_SKEW_SAMPLE_ROWS"),
+                (c.d_route == "SKEW", "HIGH_SKEW_SAMPLE_ROWS"),
+                (c.d_route == "DEFAULT_PERCENT", "REQUESTED_LARGE_TABLE_SAMPLE"),
             ],
             "SQL_DEFAULT",
         ).alias("d_source"),
     )
 
 
-def persist_choice(f: DataFrame) -> Column:
+def persist_choice(f: Fields) -> Column:
     """ON, OFF, UNSET or CONFLICT for the persisted sampling rate."""
     unpersisted = F.coalesce(f.persisted_percent, F.lit(0)) == 0
     same_rate = F.abs(f.persisted_percent - f.wanted_percent) <= F.lit(PERCENT_TOLERANCE)
@@ -250,24 +250,24 @@ def persist_choice(f: DataFrame) -> Column:
 
 def with_persistence(df: DataFrame) -> DataFrame:
     """Final eligibility after row-sample and persistence conflicts."""
-    df = df.select("*", persist_choice(df).alias("persistence"))
-    still = df.ladder_eligible & df.row_conflict.isNull()
-    conflict = df.persistence == "CONFLICT"
+    df = df.select("*", persist_choice(c).alias("persistence"))
+    still = c.ladder_eligible & c.row_conflict.isNull()
+    conflict = c.persistence == "CONFLICT"
     return df.select(
         "*",
         (still & ~conflict).alias("is_eligible"),
         first_match(
             [
-                (df.ladder_eligible & df.row_conflict.isNotNull(), df.row_conflict),
+                (c.ladder_eligible & c.row_conflict.isNotNull(), c.row_conflict),
                 (still & conflict, "PERSISTENCE_CONFLICT_REQUIRES_EXPLICIT_CHOICE"),
             ],
-            df.ladder_reason,
+            c.ladder_reason,
         ).alias("reason"),
-        F.when(df.persistence == "ON", True).when(df.persistence == "OFF", False).alias("d_persist"),
+        F.when(c.persistence == "ON", True).when(c.persistence == "OFF", False).alias("d_persist"),
     )
 
 
-def capability_reason(f: DataFrame) -> Column:
+def capability_reason(f: Fields) -> Column:
     """Why an eligible statistic cannot be refreshed on its engine; else NULL."""
     persists = f.d_persist.isNotNull()
     unverified = fails(f.supports_persist) | fails(f.has_persist_metadata)
@@ -284,7 +284,7 @@ def capability_reason(f: DataFrame) -> Column:
     return F.when(f.is_eligible, reason)
 
 
-def persistence_advisory(f: DataFrame) -> Column:
+def persistence_advisory(f: Fields) -> Column:
     return first_match(
         [
             (f.supports_persist & ~f.rebuild_keeps, "INDEX_REBUILD_CAN_RESET_PERSISTED_SAMPLE"),
@@ -296,16 +296,16 @@ def persistence_advisory(f: DataFrame) -> Column:
 
 def with_gate(df: DataFrame) -> DataFrame:
     """Capability gate, advisory and the masked outputs."""
-    df = df.select("*", capability_reason(df).alias("capability_reason"), persistence_advisory(df).alias("persistence_advisory"))
-    fullscan = df.ladder_eligible & (df.d_method == "FULLSCAN")
+    df = df.select("*", capability_reason(c).alias("capability_reason"), persistence_advisory(c).alias("persistence_advisory"))
+    fullscan = c.ladder_eligible & (c.d_method == "FULLSCAN")
     return df.select(
         "*",
-        (df.is_eligible & df.capability_reason.isNull()).alias("can_execute"),
-        F.when(df.is_eligible, df.d_method).alias("collection_method"),
-        F.when(df.is_eligible, df.wanted_percent).alias("requested_sample_percent"),
-        F.when(df.is_eligible, df.wanted_rows).alias("requested_sample_rows"),
-        F.when(df.is_eligible, df.d_source).alias("sampling_source"),
-        F.when(df.is_eligible, df.d_persist).alias("persist_option"),
+        (c.is_eligible & c.capability_reason.isNull()).alias("can_execute"),
+        F.when(c.is_eligible, c.d_method).alias("collection_method"),
+        F.when(c.is_eligible, c.wanted_percent).alias("requested_sample_percent"),
+        F.when(c.is_eligible, c.wanted_rows).alias("requested_sample_rows"),
+        F.when(c.is_eligible, c.d_source).alias("sampling_source"),
+        F.when(c.is_eligible, c.d_persist).alias("persist_option"),
         # kept even when a later conflict revokes eligibility
         fullscan.alias("fullscan_eligible"),
         F.when(fullscan, F.lit("APPROVED_FORCE_FULLSCAN_OVERRIDE")).alias("fullscan_reason"),

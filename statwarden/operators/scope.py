@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwarden.functions.logic import first_match, holds
+from statwarden.functions.logic import c, Fields, first_match, holds
 from statwarden.functions.text import MAX_NAME, is_blank
 
 SCOPE_FIELDS = [
@@ -19,11 +19,11 @@ RESERVED_NAME = "SSISDB"
 MAX_NOTES = 2000  # fixed value: longest change reason
 
 
-def supported_database(d: DataFrame) -> Column:
+def supported_database(d: Fields) -> Column:
     return (d.database_id != TEMP_ID) & (d.database_name != RESERVED_NAME) & ~d.is_distributor
 
 
-def on_primary(d: DataFrame) -> Column:
+def on_primary(d: Fields) -> Column:
     return F.coalesce(d.is_primary, F.lit(True))
 
 
@@ -38,7 +38,7 @@ def _by_name(scope: DataFrame) -> DataFrame:
 def effective_scope(datasets: DataFrame, scope: DataFrame) -> DataFrame:
     """Scope of each dataset; defaults when none is configured, an error when several are."""
     df = datasets.withColumn("name_key", F.lower("database_name")).join(_by_name(scope), "name_key", "left")
-    ambiguous = holds(df.scope_entries > 1)
+    ambiguous = holds(c.scope_entries > 1)
 
     def field(name):
         return F.when(~ambiguous, F.col(f"entry.{name}"))
@@ -47,7 +47,7 @@ def effective_scope(datasets: DataFrame, scope: DataFrame) -> DataFrame:
     return df.select(
         *datasets.columns,
         field("configured_name").alias("configured_name"),
-        F.when(~ambiguous, df.scope_entries.isNotNull()).alias("is_configured"),
+        F.when(~ambiguous, c.scope_entries.isNotNull()).alias("is_configured"),
         *[F.when(~ambiguous, F.coalesce(field(c), F.lit(False))).alias(c) for c in sorted(flags)],
         *[field(c).alias(c) for c in SCOPE_FIELDS if c not in flags],
         F.when(ambiguous, F.lit("51051")).alias("scope_error"),
@@ -68,11 +68,11 @@ def configuration_health(scope: DataFrame, datasets: DataFrame) -> DataFrame:
         "database_id",
         first_match(
             [
-                (df.database_id.isNull(), "DATABASE_NOT_FOUND"),
-                (~supported_database(df), "UNSUPPORTED_DATABASE"),
-                (~on_primary(df), "ALWAYS_ON_SECONDARY"),
-                (df.scope_entries > 1, "AMBIGUOUS_DATABASE_ALIASES"),
-                (df.configured_name != df.database_name, "NONCANONICAL_NAME_REVIEW"),
+                (c.database_id.isNull(), "DATABASE_NOT_FOUND"),
+                (~supported_database(c), "UNSUPPORTED_DATABASE"),
+                (~on_primary(c), "ALWAYS_ON_SECONDARY"),
+                (c.scope_entries > 1, "AMBIGUOUS_DATABASE_ALIASES"),
+                (c.configured_name != c.database_name, "NONCANONICAL_NAME_REVIEW"),
             ],
             "OK",
         ).alias("configuration_health"),
@@ -92,19 +92,19 @@ def apply_changes(requests: DataFrame, datasets: DataFrame, scope: DataFrame, as
     """
     present = effective_scope(datasets, scope).select(
         F.lower("database_name").alias("name_key"),
-        F.struct("database_id", "database_name", supported_database(datasets).alias("supported"), "is_snapshot").alias("db"),
+        F.struct("database_id", "database_name", supported_database(c).alias("supported"), "is_snapshot").alias("db"),
         F.struct("configured_name", "is_configured", *SCOPE_FIELDS, "scope_error").alias("old"),
     )
     df = requests.select(
         "*", F.trim("requested_name").alias("name"), F.trim("notes").alias("reason"), F.lower(F.trim("requested_name")).alias("name_key")
     ).join(present, "name_key", "left")
-    asked_out, asked_on = df.is_excluded, df.enabled
+    asked_out, asked_on = c.is_excluded, c.enabled
     out = F.coalesce(asked_out, F.col("old.is_excluded"))
     on = F.coalesce(asked_on, F.col("old.enabled"))
     violation = first_match(
         [
-            (df.name.isNull() | is_blank(df.name) | (F.length("name") > MAX_NAME), "51054"),
-            (df.reason.isNull() | is_blank(df.reason) | (F.length("reason") > MAX_NOTES), "51055"),
+            (c.name.isNull() | is_blank(c.name) | (F.length("name") > MAX_NAME), "51054"),
+            (c.reason.isNull() | is_blank(c.reason) | (F.length("reason") > MAX_NOTES), "51055"),
             (asked_out.isNull() & asked_on.isNull(), "51056"),
             (~holds(F.col("db.supported") & ~F.col("db.is_snapshot")), "51057"),
             (F.col("old.scope_error").isNotNull(), F.col("old.scope_error")),
@@ -112,23 +112,23 @@ def apply_changes(requests: DataFrame, datasets: DataFrame, scope: DataFrame, as
         ]
     )
     df = df.select("*", violation.alias("violation"), out.alias("out"), on.alias("on"))
-    valid = df.violation.isNull()
+    valid = c.violation.isNull()
     lifted = F.col("old.is_excluded") & asked_on.isNull()
-    new_on = ~df.out & ~lifted & df.on
+    new_on = ~c.out & ~lifted & c.on
     stamped = new_on & (holds(asked_on) | ~F.col("old.enabled"))
     now = F.lit(as_of).cast("timestamp_ntz")
     return df.select(
         *requests.columns,
         "violation",
         F.when(valid, F.coalesce(F.col("old.configured_name"), F.col("db.database_name"))).alias("new_configured_name"),
-        F.when(valid, df.out).alias("new_excluded"),
+        F.when(valid, c.out).alias("new_excluded"),
         F.when(valid, new_on).alias("new_enabled"),
-        F.when(valid & df.out, df.reason).alias("new_exclusion_reason"),
-        F.when(valid & df.out, df.requested_by).alias("new_excluded_by"),
-        F.when(valid & df.out, now).alias("new_excluded_at"),
-        F.when(valid & new_on, F.when(stamped, df.requested_by).otherwise(F.col("old.approved_by"))).alias("new_approved_by"),
+        F.when(valid & c.out, c.reason).alias("new_exclusion_reason"),
+        F.when(valid & c.out, c.requested_by).alias("new_excluded_by"),
+        F.when(valid & c.out, now).alias("new_excluded_at"),
+        F.when(valid & new_on, F.when(stamped, c.requested_by).otherwise(F.col("old.approved_by"))).alias("new_approved_by"),
         F.when(valid & new_on, F.when(stamped, now).otherwise(F.col("old.approved_at"))).alias("new_approved_at"),
-        F.when(valid, df.reason).alias("new_notes"),
+        F.when(valid, c.reason).alias("new_notes"),
         F.when(valid, F.when(F.col("old.is_configured"), F.lit("UPDATE")).otherwise(F.lit("INSERT"))).alias("change"),
     )
 
@@ -164,7 +164,7 @@ def audit_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     df = old.join(new, "configured_name", "full")
     return df.where(~F.col("old").eqNullSafe(F.col("new"))).select(
         "configured_name",
-        first_match([(df.old.isNull(), "INSERT"), (df.new.isNull(), "DELETE")], "UPDATE").alias("change_type"),
+        first_match([(c.old.isNull(), "INSERT"), (c.new.isNull(), "DELETE")], "UPDATE").alias("change_type"),
         "old",
         "new",
     )

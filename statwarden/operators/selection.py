@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwarden.functions.logic import first_match, holds
+from statwarden.functions.logic import c, Fields, first_match, holds
 from statwarden.functions.text import MAX_NAME, list_tokens
 from statwarden.operators.scope import TEMP_ID, on_primary, supported_database
 from statwarden.operators.skew import lookup
@@ -15,12 +15,12 @@ SYSTEM_IDS = (1, 3, 4)
 LAST_SYSTEM_ID = 4
 
 
-def usable(d: DataFrame) -> Column:
+def usable(d: Fields) -> Column:
     """Supported, online, no snapshot, accessible and on its primary replica."""
-    return supported_database(d) & (d.state == "ONLINE") & ~d.is_snapshot & holds(d.is_accessible) & on_primary(d)
+    return supported_database(c) & (d.state == "ONLINE") & ~d.is_snapshot & holds(d.is_accessible) & on_primary(c)
 
 
-def in_group(d: DataFrame, selector: Column, utility_name: str) -> Column:
+def in_group(d: Fields, selector: Column, utility_name: str) -> Column:
     """Is the database chosen by a group selector? The utility database never is."""
     member = first_match(
         [
@@ -30,14 +30,14 @@ def in_group(d: DataFrame, selector: Column, utility_name: str) -> Column:
         ],
         False,
     )
-    return (d.database_name != utility_name) & usable(d) & member
+    return (d.database_name != utility_name) & usable(c) & member
 
 
 def select_group(datasets: DataFrame, selector: str, utility_name: str) -> DataFrame:
     selector = selector.strip().upper()
     if selector not in GROUPS:
         raise ValueError(f"not a group selector: {selector}")
-    return datasets.where(in_group(datasets, F.lit(selector), utility_name))
+    return datasets.where(in_group(c, F.lit(selector), utility_name))
 
 
 def resolve_lists(requests: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def resolve_lists(requests: DataFrame, datasets: DataFrame) -> DataFrame:
     """
     tokens = requests.select("request_id", F.posexplode(list_tokens(F.col("listed"))).alias("position", "token"))
     catalog = datasets.select(
-        F.lower("database_name").alias("name_key"), "database_id", "database_name", supported_database(datasets).alias("supported")
+        F.lower("database_name").alias("name_key"), "database_id", "database_name", supported_database(c).alias("supported")
     )
     found = lookup(tokens.withColumn("name_key", F.lower("token")), catalog, ["name_key"], ["request_id", "position"])
     length = F.length("token")
@@ -79,9 +79,9 @@ def resolve_lists(requests: DataFrame, datasets: DataFrame) -> DataFrame:
     return accepted.unionByName(rejected)
 
 
-def with_selection_status(d: DataFrame) -> DataFrame:
+def with_selection_status(d: Fields) -> DataFrame:
     """Adds status, reason and readiness to datasets that carry ``is_excluded``."""
-    primary = on_primary(d)
+    primary = on_primary(c)
     ready = (
         (d.database_id != TEMP_ID) & (d.state == "ONLINE") & holds(d.is_accessible) & ~d.is_snapshot & primary
     )
@@ -106,17 +106,17 @@ def with_gate(selected: DataFrame, catalog_now: DataFrame, scope_now: DataFrame)
     # the name the gate looks up must still be the same database
     now = catalog_now.select(
         "database_id",
-        F.struct("database_name", "created_at", usable(catalog_now).alias("usable")).alias("now"),
+        F.struct("database_name", "created_at", usable(c).alias("usable")).alias("now"),
     )
     rules = scope_now.select("database_id", F.struct("is_excluded", "enabled", "scope_error").alias("rule"))
     df = selected.join(now, "database_id", "left").join(rules, "database_id", "left")
-    same = (F.col("now.database_name") == df.database_name) & (F.col("now.created_at") == df.created_at)
+    same = (F.col("now.database_name") == c.database_name) & (F.col("now.created_at") == c.created_at)
     broken = ~holds(same) | F.col("rule.scope_error").isNotNull()
     status = first_match(
         [
             (broken, "SCOPE_CHECK_FAILED"),
-            ((df.selection_status == "EXCLUDED") | F.col("rule.is_excluded"), "EXCLUDED"),
-            ((df["mode"] == "ENFORCE") & ~holds(F.col("rule.enabled")), "APPROVAL_REVOKED"),
+            ((c.selection_status == "EXCLUDED") | F.col("rule.is_excluded"), "EXCLUDED"),
+            ((c.mode == "ENFORCE") & ~holds(F.col("rule.enabled")), "APPROVAL_REVOKED"),
             (~holds(F.col("now.usable")), "DATABASE_UNAVAILABLE"),
         ],
         "ALLOWED",
@@ -127,7 +127,7 @@ def with_gate(selected: DataFrame, catalog_now: DataFrame, scope_now: DataFrame)
         "SCOPE_CHECK_FAILED": "SCOPE_CHECK_FAILED", "EXCLUDED": "DATABASE_EXCLUDED", "APPROVAL_REVOKED": "DATABASE_NOT_APPROVED",
         "DATABASE_UNAVAILABLE": "DATABASE_UNAVAILABLE", "ALLOWED": "SCOPE_ALLOWED",
     }
-    s = df.last_scope_status
+    s = c.last_scope_status
     return df.select(
         *selected.columns,
         "last_scope_status",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwarden.functions.logic import first_match, holds
+from statwarden.functions.logic import c, Fields, first_match, holds
 from statwarden.functions.numeric import dec, percent_of_rows_ceiling, rounded_percent, truncated_percent
 
 # fixed values: a small table always needs 500 changes, larger ones 500 + 20 %
@@ -63,7 +63,7 @@ def remaining_changes(threshold: Column, changes: Column) -> Column:
     return F.when(changes >= threshold, F.lit(0).cast("bigint")).when(changes < threshold, threshold - changes)
 
 
-def threshold_state(f: DataFrame) -> Column:
+def threshold_state(f: Fields) -> Column:
     """Ten-way label of a statistic against its native threshold; first match wins."""
     reached = f.modification_counter >= f.native_threshold
     auto_off = ~f.auto_update_on
@@ -83,7 +83,7 @@ def threshold_state(f: DataFrame) -> Column:
     )
 
 
-def threshold_applicable(f: DataFrame) -> Column:
+def threshold_applicable(f: Fields) -> Column:
     missing = (
         ~holds(f.properties_available)
         | f.native_basis.isNull()
@@ -93,30 +93,30 @@ def threshold_applicable(f: DataFrame) -> Column:
     return ~(missing | holds(f.no_recompute) | holds(f.temporary))
 
 
-def row_count_delta(f: DataFrame) -> Column:
+def row_count_delta(f: Fields) -> Column:
     return f.current_rows - native_basis(f.unfiltered_rows, f.stats_rows)
 
 
 def with_native_threshold(facts: DataFrame) -> DataFrame:
     """Adds the native threshold, its progress and its state to statistic facts."""
-    by_level = dynamic_by_level(facts.product_major, facts.engine_edition, facts.compat_level)
-    basis = native_basis(facts.unfiltered_rows, facts.stats_rows)
+    by_level = dynamic_by_level(c.product_major, c.engine_edition, c.compat_level)
+    basis = native_basis(c.unfiltered_rows, c.stats_rows)
     df = facts.select(
         "*",
         basis.alias("native_basis"),
-        native_threshold(basis, by_level, facts.dynamic_flag).alias("native_threshold"),
-        native_policy(basis, by_level, facts.dynamic_flag).alias("native_policy"),
-        native_formula(basis, by_level, facts.dynamic_flag).alias("native_formula"),
+        native_threshold(basis, by_level, c.dynamic_flag).alias("native_threshold"),
+        native_policy(basis, by_level, c.dynamic_flag).alias("native_policy"),
+        native_formula(basis, by_level, c.dynamic_flag).alias("native_formula"),
     )
     return df.select(
         "*",
-        df.native_threshold.isNotNull().alias("native_is_estimate"),
-        remaining_changes(df.native_threshold, df.modification_counter).alias("native_remaining"),
-        truncated_percent(df.modification_counter, df.native_threshold).alias("native_progress_percent"),
-        (df.modification_counter >= df.native_threshold).alias("native_reached"),
-        threshold_applicable(df).alias("native_applicable"),
-        threshold_state(df).alias("native_state"),
-        row_count_delta(df).alias("row_count_delta"),
+        c.native_threshold.isNotNull().alias("native_is_estimate"),
+        remaining_changes(c.native_threshold, c.modification_counter).alias("native_remaining"),
+        truncated_percent(c.modification_counter, c.native_threshold).alias("native_progress_percent"),
+        (c.modification_counter >= c.native_threshold).alias("native_reached"),
+        threshold_applicable(c).alias("native_applicable"),
+        threshold_state(c).alias("native_state"),
+        row_count_delta(c).alias("row_count_delta"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwarden.functions.logic import first_match, holds
+from statwarden.functions.logic import c, Fields, first_match, holds
 from statwarden.operators.decision import PERCENT_TOLERANCE
 from statwarden.operators.prefix import ROWS_PER_BUCKET, rows_before
 
@@ -34,7 +34,7 @@ def window_cutoff(items: DataFrame, budget: str = "budget_seconds", rows_per_buc
     )
 
 
-def revalidation_error(f: DataFrame) -> Column:
+def revalidation_error(f: Fields) -> Column:
     """Rule broken by the fresh snapshot: gone (51041) or not the same object (51042)."""
     changed = (
         (f.fresh_database_id != f.database_id)
@@ -72,7 +72,7 @@ def postcheck_status(found: Column, last_updated: Column, persist: Column, wante
     )
 
 
-def database_status(d: DataFrame) -> Column:
+def database_status(d: Fields) -> Column:
     """Collection status of a database from what happened to it.
 
     Columns: is_excluded, aborted, failed, reached (the loop got to it before the

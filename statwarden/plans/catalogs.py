@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statwarden.functions.logic import c
 from statwarden.operators import catalog, checks
 from statwarden.plans.oracle_parts import pct_cut
 from statwarden.plans.registry import Inputs, query
@@ -60,7 +61,7 @@ FROM cat_stats st JOIN owner o ON o.object_id = st.object_id
 )
 def src_statistic_catalog(x: Inputs) -> DataFrame:
     df = enumerated(x)
-    return df.where(catalog.visible(df)).select(*CATALOG_COLUMNS)
+    return df.where(catalog.visible(c)).select(*CATALOG_COLUMNS)
 
 
 @query(
@@ -104,7 +105,7 @@ def join_left_enrich(x: Inputs) -> DataFrame:
 def filter_statistics_scope(x: Inputs) -> DataFrame:
     """All five scopes in one pass: each row lists the scopes it belongs to."""
     f = x.fleet
-    member = F.array_compact(F.array(*[F.when(catalog.in_statistics_scope(f, s), F.lit(s)) for s in catalog.SCOPES]))
+    member = F.array_compact(F.array(*[F.when(catalog.in_statistics_scope(c, s), F.lit(s)) for s in catalog.SCOPES]))
     return f.select(F.explode(member).alias("scope"), "stats_id")
 
 
@@ -114,7 +115,7 @@ def filter_statistics_scope(x: Inputs) -> DataFrame:
     ("fleet",),
 )
 def filter_shipped_external(x: Inputs) -> DataFrame:
-    return x.fleet.where(catalog.visible(x.fleet)).select("database_id", "stats_id")
+    return x.fleet.where(catalog.visible(c)).select("database_id", "stats_id")
 
 
 @query(

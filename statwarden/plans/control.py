@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statwarden.functions.logic import c
 from statwarden.operators import capability, checks, scope, selection
 from statwarden.plans.decisions import AS_OF_TIME
 from statwarden.plans.fixtures import AS_OF
@@ -360,7 +361,7 @@ def check_scope_constraints(x: Inputs) -> DataFrame:
 )
 def check_settings_constraints(x: Inputs) -> DataFrame:
     settings = x.settings
-    return checks.violations(settings, ["database_id"], checks.settings_rules(settings))
+    return checks.violations(settings, ["database_id"], checks.settings_rules(c))
 
 
 @query(

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statwarden.functions.logic import c
 from statwarden.functions.temporal import minute_boundaries
 from statwarden.operators import command, decision, overrides, thresholds, workflow
 from statwarden.plans.fixtures import AS_OF
@@ -134,7 +135,7 @@ def src_overrides(x: Inputs) -> DataFrame:
 def status_initial(x: Inputs) -> DataFrame:
     df = decided(x)
     return df.select(
-        "policy_id", "stats_id", workflow.initial_status(df["mode"], df.is_eligible, df.can_execute).alias("execution_status")
+        "policy_id", "stats_id", workflow.initial_status(c.mode, c.is_eligible, c.can_execute).alias("execution_status")
     )
 
 
@@ -155,4 +156,4 @@ COMMAND_SQL = """CASE WHEN can_execute THEN 'USE [' || database_name || ']; UPDA
 )
 def cmd_build(x: Inputs) -> DataFrame:
     df = decided(x)
-    return df.select("policy_id", "stats_id", command.refresh_command(df, F.lit(MAXDOP)).alias("command"))
+    return df.select("policy_id", "stats_id", command.refresh_command(c, F.lit(MAXDOP)).alias("command"))
