@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,7 +33,15 @@ class Fields:
     """
 
     def __getattr__(self, name: str) -> Column:
-        return F.col(name)
+        column = F.col(name)
+        if not name.startswith("_"):
+            setattr(self, name, column)
+        return column
 
 
 c = Fields()
+
+
+# A set of expressions names its inputs, so one set serves every frame. Building it
+# once saves thousands of calls into the JVM per query.
+expressions = cache

@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwarden.functions.logic import c, fails, Fields, first_match, holds
+from statwarden.functions.logic import Fields, c, expressions, fails, first_match, holds
 from statwarden.functions.numeric import dec, truncated_percent
 from statwarden.operators import thresholds as thr
 
@@ -45,6 +45,12 @@ DECISION_COLUMNS = (
     "governance_reached", "governance_native_delta", "governance_native_comparison",
 )
 
+# steps of the decision that are dropped at its end
+WORK_COLUMNS = (
+    "ladder_reason", "ladder_eligible", "d_route", "d_mode", "row_conflict", "d_method", "wanted_percent", "wanted_rows",
+    "d_source", "persistence", "d_persist",
+)
+
 POLICY_DEFAULTS = {
     "update_threshold_percent": ("decimal(9,4)", Decimal(10)),
     "min_modifications": ("bigint", 500),
@@ -77,6 +83,7 @@ def complete_policy(policy: DataFrame) -> DataFrame:
     return policy.select(*others, *settings)
 
 
+@expressions
 def skew_class(f: Fields) -> Column:
     known = (f.histogram_status == "AVAILABLE") & f.dominant_percent.isNotNull()
     return first_match(
@@ -90,6 +97,7 @@ def skew_class(f: Fields) -> Column:
     )
 
 
+@expressions
 def eligibility_reason(f: Fields) -> Column:
     """Safety restrictions first, then row counts, approvals and thresholds."""
     changes, ratio = f.modification_counter, f.mod_ratio_percent
@@ -122,20 +130,22 @@ def eligibility_reason(f: Fields) -> Column:
     return first_match(safety + families + restrictions + staleness, "BELOW_MODIFICATION_THRESHOLD")
 
 
-def with_ratios(df: DataFrame) -> DataFrame:
-    """Governance threshold, ratios and skew class."""
+@expressions
+def _ratio_columns() -> list[Column]:
     threshold = thr.governance_threshold(c.stats_rows, c.p_update_threshold_percent, c.p_min_modifications)
-    df = df.select(
-        "*",
+    return [
         threshold.alias("governance_threshold"),
         thr.modification_ratio(c.modification_counter, c.stats_rows).alias("mod_ratio_percent"),
         thr.sample_ratio(c.rows_sampled, c.stats_rows).alias("actual_sample_percent"),
         thr.low_sample_limit(c.p_low_sample_percent, c.legacy_ce, c.p_legacy_multiplier).alias("low_sample_limit_percent"),
         skew_class(c).alias("skew_class"),
-    )
+    ]
+
+
+@expressions
+def _progress_columns() -> list[Column]:
     governance, native, changes = c.governance_threshold, c.native_threshold, c.modification_counter
-    return df.select(
-        "*",
+    return [
         c.stats_rows.alias("governance_basis_rows"),
         thr.remaining_changes(governance, changes).alias("governance_remaining"),
         truncated_percent(changes, governance).alias("governance_progress_percent"),
@@ -145,11 +155,13 @@ def with_ratios(df: DataFrame) -> DataFrame:
         holds(c.actual_sample_percent < c.low_sample_limit_percent).alias("low_sample_warning"),
         c.dominant_percent.alias("histogram_dominant_percent"),
         c.top3_percent.alias("histogram_top3_percent"),
-    )
+        eligibility_reason(c).alias("ladder_reason"),
+    ]
 
 
 def with_ladder(df: DataFrame) -> DataFrame:
-    df = df.select("*", eligibility_reason(c).alias("ladder_reason"))
+    """Governance threshold, ratios, skew class and the first outcome of the ladder."""
+    df = df.select("*", *_ratio_columns()).select("*", *_progress_columns())
     return df.select("*", c.ladder_reason.isin(*ELIGIBLE_REASONS).alias("ladder_eligible"))
 
 
@@ -165,6 +177,7 @@ def row_override_conflict(f: Fields) -> Column:
     )
 
 
+@expressions
 def sampling_route(f: Fields) -> Column:
     """Which rule chooses the sampling method of an eligible statistic."""
     persisted = (f.persisted_percent > 0) & f.supports_persist & f.has_persist_metadata
@@ -182,21 +195,15 @@ def sampling_route(f: Fields) -> Column:
     )
 
 
-def with_method(df: DataFrame) -> DataFrame:
-    """Method, requested amount and source; a conflicting row sample is noted."""
-    df = df.select(
-        "*",
-        sampling_route(c).alias("d_route"),
-        F.coalesce(c.o_persistence_mode, F.lit("KEEP")).alias("d_mode"),
-    )
+@expressions
+def _method_columns() -> list[Column]:
     by_rows = c.d_route == "OVERRIDE_ROWS"
     extreme = c.skew_class == "EXTREME"
     wanted = F.when(by_rows, c.o_sample_rows).when(
         c.d_route == "SKEW", F.when(extreme, c.p_extreme_skew_rows).otherwise(c.p_high_skew_rows)
     )
     capped = wanted > c.current_rows
-    return df.select(
-        "*",
+    return [
         F.when(by_rows, row_override_conflict(c)).alias("row_conflict"),
         first_match(
             [
@@ -227,9 +234,16 @@ def with_method(df: DataFrame) -> DataFrame:
             ],
             "SQL_DEFAULT",
         ).alias("d_source"),
-    )
+    ]
 
 
+def with_method(df: DataFrame) -> DataFrame:
+    """Method, requested amount and source; a conflicting row sample is noted."""
+    mode = F.coalesce(c.o_persistence_mode, F.lit("KEEP"))
+    return df.select("*", sampling_route(c).alias("d_route"), mode.alias("d_mode")).select("*", *_method_columns())
+
+
+@expressions
 def persist_choice(f: Fields) -> Column:
     """ON, OFF, UNSET or CONFLICT for the persisted sampling rate."""
     unpersisted = F.coalesce(f.persisted_percent, F.lit(0)) == 0
@@ -248,13 +262,11 @@ def persist_choice(f: Fields) -> Column:
     )
 
 
-def with_persistence(df: DataFrame) -> DataFrame:
-    """Final eligibility after row-sample and persistence conflicts."""
-    df = df.select("*", persist_choice(c).alias("persistence"))
+@expressions
+def _conflict_columns() -> list[Column]:
     still = c.ladder_eligible & c.row_conflict.isNull()
     conflict = c.persistence == "CONFLICT"
-    return df.select(
-        "*",
+    return [
         (still & ~conflict).alias("is_eligible"),
         first_match(
             [
@@ -264,9 +276,15 @@ def with_persistence(df: DataFrame) -> DataFrame:
             c.ladder_reason,
         ).alias("reason"),
         F.when(c.persistence == "ON", True).when(c.persistence == "OFF", False).alias("d_persist"),
-    )
+    ]
 
 
+def with_persistence(df: DataFrame) -> DataFrame:
+    """Final eligibility after row-sample and persistence conflicts."""
+    return df.select("*", persist_choice(c).alias("persistence")).select("*", *_conflict_columns())
+
+
+@expressions
 def capability_reason(f: Fields) -> Column:
     """Why an eligible statistic cannot be refreshed on its engine; else NULL."""
     persists = f.d_persist.isNotNull()
@@ -284,6 +302,7 @@ def capability_reason(f: Fields) -> Column:
     return F.when(f.is_eligible, reason)
 
 
+@expressions
 def persistence_advisory(f: Fields) -> Column:
     return first_match(
         [
@@ -294,12 +313,10 @@ def persistence_advisory(f: Fields) -> Column:
     )
 
 
-def with_gate(df: DataFrame) -> DataFrame:
-    """Capability gate, advisory and the masked outputs."""
-    df = df.select("*", capability_reason(c).alias("capability_reason"), persistence_advisory(c).alias("persistence_advisory"))
+@expressions
+def _masked_columns() -> list[Column]:
     fullscan = c.ladder_eligible & (c.d_method == "FULLSCAN")
-    return df.select(
-        "*",
+    return [
         (c.is_eligible & c.capability_reason.isNull()).alias("can_execute"),
         F.when(c.is_eligible, c.d_method).alias("collection_method"),
         F.when(c.is_eligible, c.wanted_percent).alias("requested_sample_percent"),
@@ -309,11 +326,20 @@ def with_gate(df: DataFrame) -> DataFrame:
         # kept even when a later conflict revokes eligibility
         fullscan.alias("fullscan_eligible"),
         F.when(fullscan, F.lit("APPROVED_FORCE_FULLSCAN_OVERRIDE")).alias("fullscan_reason"),
-    )
+    ]
+
+
+@expressions
+def _gate_columns() -> list[Column]:
+    return [capability_reason(c).alias("capability_reason"), persistence_advisory(c).alias("persistence_advisory")]
+
+
+def with_gate(df: DataFrame) -> DataFrame:
+    """Capability gate, advisory and the masked outputs."""
+    return df.select("*", *_gate_columns()).select("*", *_masked_columns())
 
 
 def decide(joined: DataFrame) -> DataFrame:
     """Facts ⋈ policy ⟕ override -> the same rows with the decision columns."""
-    keep = joined.columns
-    df = with_gate(with_persistence(with_method(with_ladder(with_ratios(joined)))))
-    return df.select(*keep, *DECISION_COLUMNS)
+    df = with_gate(with_persistence(with_method(with_ladder(joined))))
+    return df.drop(*WORK_COLUMNS)

@@ -24,8 +24,8 @@ def active(overrides: DataFrame, as_of: datetime) -> DataFrame:
 
 def _best(overrides: DataFrame, key: list[str], name: str) -> DataFrame:
     """One override per key: an exclusion first, then the lowest id."""
-    rank = F.when(F.col("action") == "EXCLUDE", 0).otherwise(1)
-    candidate = F.struct(rank.alias("rank"), *PAYLOAD)
+    fields = ", ".join(f"{field} AS o_{field}" for field in PAYLOAD)
+    candidate = F.expr(f"struct(if(action = 'EXCLUDE', 0, 1) AS o_rank, {fields})")
     return overrides.groupBy(*key).agg(F.min(candidate).alias(name))
 
 
@@ -43,9 +43,9 @@ def with_winning_override(
     per_table = _best(current.where(F.col("stat_name").isNull()), TABLE_KEY, "__table")
     df = facts.join(per_stat, STAT_KEY, "left")
     df = lookup(df, per_table, TABLE_KEY, ["stat_name"], hot_rows=hot_rows)
-    table_wins = F.col("__stat").isNull() | holds(F.col("__table.rank") < F.col("__stat.rank"))
+    table_wins = F.col("__stat").isNull() | holds(F.col("__table.o_rank") < F.col("__stat.o_rank"))
     df = df.withColumn("__win", F.when(table_wins, F.col("__table")).otherwise(F.col("__stat")))
-    return df.select(*facts.columns, *[F.col(f"__win.{c}").alias(f"o_{c}") for c in PAYLOAD])
+    return df.select("*", "__win.*").drop("__stat", "__table", "__win", "o_rank")
 
 
 def without_override(facts: DataFrame) -> DataFrame:

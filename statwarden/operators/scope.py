@@ -39,19 +39,17 @@ def effective_scope(datasets: DataFrame, scope: DataFrame) -> DataFrame:
     """Scope of each dataset; defaults when none is configured, an error when several are."""
     df = datasets.withColumn("name_key", F.lower("database_name")).join(_by_name(scope), "name_key", "left")
     ambiguous = holds(c.scope_entries > 1)
-
-    def field(name):
-        return F.when(~ambiguous, F.col(f"entry.{name}"))
-
-    flags = {"is_excluded", "enabled"}
-    return df.select(
-        *datasets.columns,
-        field("configured_name").alias("configured_name"),
+    known = F.when(~ambiguous, c.entry)
+    flags = ["is_excluded", "enabled"]
+    df = df.select(
+        "*",
         F.when(~ambiguous, c.scope_entries.isNotNull()).alias("is_configured"),
-        *[F.when(~ambiguous, F.coalesce(field(c), F.lit(False))).alias(c) for c in sorted(flags)],
-        *[field(c).alias(c) for c in SCOPE_FIELDS if c not in flags],
         F.when(ambiguous, F.lit("51051")).alias("scope_error"),
+        known.alias("known"),
+        (~ambiguous).alias("clear"),
     )
+    df = df.select("*", "known.*").withColumns({name: F.when(c.clear, F.coalesce(name, F.lit(False))) for name in flags})
+    return df.drop("name_key", "scope_entries", "entry", "known", "clear")
 
 
 def configuration_health(scope: DataFrame, datasets: DataFrame) -> DataFrame:

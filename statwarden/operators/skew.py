@@ -52,4 +52,4 @@ def lookup(
     joined = tagged.join(cold, [*keys, "__salt"], "left").withColumn("__got", F.coalesce("__hot", "__match"))
     if how == "inner":
         joined = joined.where(F.col("__got.__found"))
-    return joined.select(*left.columns, *[F.col(f"__got.{c}").alias(c) for c in payload])
+    return joined.select("*", "__got.*").drop("__hot", "__is_hot", "__salt", "__match", "__got", "__found")

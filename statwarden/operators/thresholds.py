@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwarden.functions.logic import c, Fields, first_match, holds
+from statwarden.functions.logic import Fields, c, expressions, first_match, holds
 from statwarden.functions.numeric import dec, percent_of_rows_ceiling, rounded_percent, truncated_percent
 
 # fixed values: a small table always needs 500 changes, larger ones 500 + 20 %
@@ -97,19 +97,21 @@ def row_count_delta(f: Fields) -> Column:
     return f.current_rows - native_basis(f.unfiltered_rows, f.stats_rows)
 
 
-def with_native_threshold(facts: DataFrame) -> DataFrame:
-    """Adds the native threshold, its progress and its state to statistic facts."""
+@expressions
+def _native_columns() -> list[Column]:
     by_level = dynamic_by_level(c.product_major, c.engine_edition, c.compat_level)
     basis = native_basis(c.unfiltered_rows, c.stats_rows)
-    df = facts.select(
-        "*",
+    return [
         basis.alias("native_basis"),
         native_threshold(basis, by_level, c.dynamic_flag).alias("native_threshold"),
         native_policy(basis, by_level, c.dynamic_flag).alias("native_policy"),
         native_formula(basis, by_level, c.dynamic_flag).alias("native_formula"),
-    )
-    return df.select(
-        "*",
+    ]
+
+
+@expressions
+def _native_progress_columns() -> list[Column]:
+    return [
         c.native_threshold.isNotNull().alias("native_is_estimate"),
         remaining_changes(c.native_threshold, c.modification_counter).alias("native_remaining"),
         truncated_percent(c.modification_counter, c.native_threshold).alias("native_progress_percent"),
@@ -117,7 +119,12 @@ def with_native_threshold(facts: DataFrame) -> DataFrame:
         threshold_applicable(c).alias("native_applicable"),
         threshold_state(c).alias("native_state"),
         row_count_delta(c).alias("row_count_delta"),
-    )
+    ]
+
+
+def with_native_threshold(facts: DataFrame) -> DataFrame:
+    """Adds the native threshold, its progress and its state to statistic facts."""
+    return facts.select("*", *_native_columns()).select("*", *_native_progress_columns())
 
 
 def governance_threshold(rows: Column, percent: Column, min_changes: Column) -> Column:

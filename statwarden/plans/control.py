@@ -391,9 +391,7 @@ def src_policy(x: Inputs) -> DataFrame:
 VERSION_PARTS = "list_transform(string_split(product_version, '.'), lambda p: try_cast(p AS INT))"
 
 
-@query(
-    "cap_matrix",
-    f"""SELECT id, product_version, engine_edition, a AS product_major, b AS product_minor, c AS product_build, d AS product_revision,
+CAP_SQL = f"""SELECT id, product_version, engine_edition, a AS product_major, b AS product_minor, c AS product_build, d AS product_revision,
           managed OR ruled AS supported_engine,
           CASE WHEN managed THEN 'MANAGED_INSTANCE_SERVICE_CAPABILITIES' WHEN ruled THEN 'DOCUMENTED_BUILD_RULES' ELSE 'UNRECOGNIZED_ENGINE_OR_VERSION' END AS build_rule_status,
           CASE WHEN managed THEN true WHEN ruled THEN a <> 13 OR c >= 4001 END AS supports_create_or_alter,
@@ -409,7 +407,12 @@ VERSION_PARTS = "list_transform(string_split(product_version, '.'), lambda p: tr
             coalesce(engine_edition IN (2, 3, 4) AND n = 4 AND a BETWEEN 13 AND 17 AND b = 0 AND d >= 0
               AND c >= CASE a WHEN 13 THEN 1601 WHEN 15 THEN 2000 ELSE 1000 END, false) AS ruled
           FROM (SELECT *, len(p) AS n, p[greatest(len(p) - 3, 0)] AS a, p[greatest(len(p) - 2, 0)] AS b, p[greatest(len(p) - 1, 0)] AS c, p[len(p)] AS d
-            FROM (SELECT *, {VERSION_PARTS} AS p FROM versions)))""",
+            FROM (SELECT *, {VERSION_PARTS} AS p FROM versions)))"""
+
+
+@query(
+    "cap_matrix",
+    CAP_SQL,
     ("versions",),
 )
 def cap_matrix(x: Inputs) -> DataFrame:
@@ -423,17 +426,24 @@ inventory AS (
   WHERE NOT (database_id % 7 = 0 AND c = 'persisted_sample_percent') AND NOT (database_id % 11 = 0 AND c = 'rows'))"""
 
 
-@query(
-    "cap_probe",
-    """SELECT database_id, CASE WHEN e IS NOT NULL THEN 'DESCRIPTION_FAILED' WHEN NOT r THEN 'DESCRIPTION_INCOMPLETE'
+PROBE_SQL = """SELECT database_id, CASE WHEN e IS NOT NULL THEN 'DESCRIPTION_FAILED' WHEN NOT r THEN 'DESCRIPTION_INCOMPLETE'
          WHEN p THEN 'COLUMN_PRESENT' ELSE 'COLUMN_NOT_PRESENT' END AS probe_status,
          CASE WHEN e IS NULL AND r THEN p END AS has_persist_metadata, e AS probe_error
        FROM (SELECT database_id, max(error_number) AS e, bool_or(column_name = 'rows') AS r, bool_or(column_name = 'persisted_sample_percent') AS p
-             FROM inventory GROUP BY ALL)""",
+             FROM inventory GROUP BY ALL)"""
+
+
+@query(
+    "cap_probe",
+    PROBE_SQL,
     ("datasets",),
     (INVENTORY_SQL,),
 )
 def cap_probe(x: Inputs) -> DataFrame:
+    return cap_probe_frame(x)
+
+
+def cap_probe_frame(x: Inputs) -> DataFrame:
     # fixed values: the columns of a statistics view
     names = F.array(*[F.lit(c) for c in ("rows", "rows_sampled", "steps", "modification_counter", "persisted_sample_percent")])
     columns = x.datasets.select("database_id", F.explode(names).alias("column_name"))

@@ -78,7 +78,7 @@ decision_query("decide_fleet", " ".join(decision.DECISION_COLUMNS) + " o_overrid
 @query("dec_eligibility", "SELECT policy_id, stats_id, ladder_reason, e0 AS ladder_eligible FROM decided", DECIDED_FRAMES, DECIDED)
 def dec_eligibility(x: Inputs) -> DataFrame:
     """The ladder alone, before sampling conflicts revoke anything."""
-    ladder = decision.with_ladder(decision.with_ratios(joined(x)))
+    ladder = decision.with_ladder(joined(x))
     return ladder.select("policy_id", "stats_id", "ladder_reason", "ladder_eligible")
 
 
@@ -91,9 +91,7 @@ def dec_eligibility(x: Inputs) -> DataFrame:
     DECIDED,
 )
 def dec_sample_rows_override(x: Inputs) -> DataFrame:
-    df = decision.with_gate(
-        decision.with_persistence(decision.with_method(decision.with_ladder(decision.with_ratios(joined(x)))))
-    )
+    df = decision.with_gate(decision.with_persistence(decision.with_method(decision.with_ladder(joined(x)))))
     return df.where((F.col("o_action") == "FORCE_SAMPLE_ROWS") & F.col("ladder_eligible")).select(
         "policy_id", "stats_id", "o_sample_rows", "o_persistence_mode", "persisted_percent", "row_conflict",
         "is_eligible", "reason", "requested_sample_rows", "sampling_source", "persist_option",

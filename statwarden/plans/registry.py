@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from statwarden.plans import fixtures
+from statwarden.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,8 +33,7 @@ def query(key: str, sql: str | None = None, frames: tuple[str, ...] = (), ctes:
 
     def register(fn: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(Inputs(spark, sf_dir))
+            return fn(Inputs(prepare(spark), sf_dir))
 
         QUERIES[key] = run
         if sql is not None:

@@ -14,6 +14,16 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
+# Can only be set when a session is made: recording the call site of every Column
+# costs more than building the plan.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Applies the settings above to a session made elsewhere."""
+    for key, value in SESSION_CONF.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -25,7 +35,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in SESSION_CONF.items():
+    for key, value in {**SESSION_CONF, **START_CONF}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
