@@ -25,6 +25,16 @@ def first_match(branches: Sequence[tuple[Column, object]], otherwise=None) -> Co
     return chain.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
 
 
+def settled(column: Column) -> Column:
+    """The same value, always worked out where it is defined.
+
+    Without this the optimizer copies the long expression behind a column into every
+    filter on it, until the generated code is too big to compile. The condition holds
+    for every row; the partition number only keeps the column in its place.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 class Fields:
     """Columns by attribute: ``c.stats_rows`` is ``col("stats_rows")``.
 

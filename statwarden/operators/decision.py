@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwarden.functions.logic import Fields, c, expressions, fails, first_match, holds
+from statwarden.functions.logic import Fields, c, expressions, fails, first_match, holds, settled
 from statwarden.functions.numeric import dec, truncated_percent
 from statwarden.operators import thresholds as thr
 
@@ -155,7 +155,7 @@ def _progress_columns() -> list[Column]:
         holds(c.actual_sample_percent < c.low_sample_limit_percent).alias("low_sample_warning"),
         c.dominant_percent.alias("histogram_dominant_percent"),
         c.top3_percent.alias("histogram_top3_percent"),
-        eligibility_reason(c).alias("ladder_reason"),
+        settled(eligibility_reason(c)).alias("ladder_reason"),
     ]
 
 
@@ -267,13 +267,15 @@ def _conflict_columns() -> list[Column]:
     still = c.ladder_eligible & c.row_conflict.isNull()
     conflict = c.persistence == "CONFLICT"
     return [
-        (still & ~conflict).alias("is_eligible"),
-        first_match(
-            [
-                (c.ladder_eligible & c.row_conflict.isNotNull(), c.row_conflict),
-                (still & conflict, "PERSISTENCE_CONFLICT_REQUIRES_EXPLICIT_CHOICE"),
-            ],
-            c.ladder_reason,
+        settled(still & ~conflict).alias("is_eligible"),
+        settled(
+            first_match(
+                [
+                    (c.ladder_eligible & c.row_conflict.isNotNull(), c.row_conflict),
+                    (still & conflict, "PERSISTENCE_CONFLICT_REQUIRES_EXPLICIT_CHOICE"),
+                ],
+                c.ladder_reason,
+            )
         ).alias("reason"),
         F.when(c.persistence == "ON", True).when(c.persistence == "OFF", False).alias("d_persist"),
     ]
