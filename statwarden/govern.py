@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from statwarden.functions.logic import c, holds
 from statwarden.functions.temporal import minute_boundaries
 from statwarden.functions.text import has_empty_token, list_tokens, name_part
-from statwarden.operators import catalog, decision, overrides, scope, selection, telemetry, thresholds, workflow
+from statwarden.operators import catalog, decision, overrides, scope, selection, skew, telemetry, thresholds, workflow
 from statwarden.operators.checks import SETTINGS_VERSION
 
 MODES = ("OBSERVE", "RECOMMEND", "ENFORCE")  # fixed values
@@ -110,6 +110,7 @@ class RunPlan:
     policy: DataFrame
     runs: DataFrame
     run_databases: DataFrame
+    facts: DataFrame
     telemetry: DataFrame
 
 
@@ -187,7 +188,7 @@ def govern(request: GovernanceRequest, fleet: Fleet, run_id: str, as_of: datetim
         _stop_if(included.where(~holds(c.enabled)).select("database_name"), 51036, "database not approved for enforcement")
     policy = effective_policy(request, fleet.settings)
     facts = fleet.facts.where(catalog.visible(c) & catalog.in_statistics_scope(c, request.statistics_scope))
-    facts = catalog.keep_targets(facts.join(included.select("database_id"), "database_id", "left_semi"), targets)
+    facts = catalog.keep_targets(skew.keep(facts, included, ["database_id"], ["stats_id"]), targets)
     decided = decided_facts(facts, fleet.overrides, policy, as_of).withColumns(
         {"run_id": F.lit(run_id), "item_id": c.stats_id, "mode": F.lit(request.mode)}
     )
@@ -205,7 +206,7 @@ def govern(request: GovernanceRequest, fleet: Fleet, run_id: str, as_of: datetim
             "collection_status": F.when(holds(c.is_excluded), "SKIPPED_EXCLUDED").otherwise("PENDING"),
         }
     )
-    return RunPlan(request, run_id, as_of, policy, runs, run_databases, telemetry.initial(decided, F.lit(request.maxdop)))
+    return RunPlan(request, run_id, as_of, policy, runs, run_databases, facts, telemetry.initial(decided, F.lit(request.maxdop)))
 
 
 def govern_targeted(
@@ -239,7 +240,8 @@ def second_look(plan: RunPlan, gates: DataFrame, fresh: DataFrame, approved: Dat
     ``fresh`` holds facts read again, with ``fresh_`` identity columns.
     """
     again = decided_facts(fresh, approved, plan.policy, plan.as_of).withColumns({"run_id": F.lit(plan.run_id), "item_id": c.stats_id})
-    return telemetry.revalidated(telemetry.gated(plan.telemetry, gates), again)
+    sizes = plan.facts.select("database_id", F.lit(plan.run_id).alias("run_id"))
+    return telemetry.revalidated(telemetry.gated(plan.telemetry, gates, sizes=sizes), again)
 
 
 def finish(looked: DataFrame, outcomes: DataFrame, after: DataFrame) -> DataFrame:

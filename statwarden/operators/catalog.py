@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statwarden.functions.logic import c, Fields, first_match, holds
 from statwarden.functions.numeric import truncated_percent
-from statwarden.operators.skew import lookup
+from statwarden.operators.skew import keep, lookup
 from statwarden.operators.thresholds import dynamic_by_level
 
 SCOPES = ("ALL", "INDEX_ONLY", "AUTO_ONLY", "USER_ONLY", "NON_AUTO")  # fixed values
@@ -52,7 +52,7 @@ def keep_targets(facts: DataFrame, targets: DataFrame | None) -> DataFrame:
     """Only targeted tables; everything when no targets are given."""
     if targets is None:
         return facts
-    return facts.join(targets, ["database_name", "schema_name", "table_name"], "left_semi")
+    return keep(facts, targets, ["database_name", "schema_name", "table_name"], ["stat_name"])
 
 
 def statistics_context(facts: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def statistics_context(facts: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("__columnstore", F.lit(True))
     )
-    df = facts.join(with_columnstore, "object_id", "left")
+    df = lookup(facts, with_columnstore, ["object_id"], ["stats_id"])
     has = holds(F.col("__columnstore"))
     on_index = c.index_type.isNotNull()
     return df.select(

@@ -41,8 +41,7 @@ def with_winning_override(
     current = active(overrides, as_of)
     per_stat = _best(current.where(F.col("stat_name").isNotNull()), STAT_KEY, "__stat")
     per_table = _best(current.where(F.col("stat_name").isNull()), TABLE_KEY, "__table")
-    df = facts.join(per_stat, STAT_KEY, "left")
-    df = lookup(df, per_table, TABLE_KEY, ["stat_name"], hot_rows=hot_rows)
+    df = lookup(facts, per_table, TABLE_KEY, ["stat_name"], hot_rows=hot_rows).join(per_stat, STAT_KEY, "left")
     table_wins = F.col("__stat").isNull() | holds(F.col("__table.o_rank") < F.col("__stat.o_rank"))
     df = df.withColumn("__win", F.when(table_wins, F.col("__table")).otherwise(F.col("__stat")))
     return df.select("*", "__win.*").drop("__stat", "__table", "__win", "o_rank")

@@ -23,6 +23,7 @@ def lookup(
     spread_by: Sequence[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``left`` joined (left or inner) with ``right``, which has one row per key.
 
@@ -34,7 +35,7 @@ def lookup(
         raise ValueError(how)
     keys = list(keys)
     payload = [c for c in right.columns if c not in keys]
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    counts = (left if sizes is None else sizes).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     total = counts.agg(F.sum("__rows").alias("__total"))
     hot = (
         counts.where(F.col("__rows") >= hot_rows)
@@ -53,3 +54,8 @@ def lookup(
     if how == "inner":
         joined = joined.where(F.col("__got.__found"))
     return joined.select("*", "__got.*").drop("__hot", "__is_hot", "__salt", "__match", "__got", "__found")
+
+
+def keep(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str], **options) -> DataFrame:
+    """Rows of ``left`` whose key occurs in ``right``, which has each key once."""
+    return lookup(left, right.select(*keys), keys, spread_by, how="inner", **options)

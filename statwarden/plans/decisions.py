@@ -23,8 +23,8 @@ def with_age(facts: DataFrame) -> DataFrame:
     return facts.withColumn("stats_age_minutes", minute_boundaries(F.col("last_updated"), now))
 
 
-def native(x: Inputs) -> DataFrame:
-    return with_age(thresholds.with_native_threshold(x.fleet))
+def native(x: Inputs, facts: DataFrame | None = None) -> DataFrame:
+    return with_age(thresholds.with_native_threshold(x.fleet if facts is None else facts))
 
 
 def joined(x: Inputs, facts: DataFrame | None = None) -> DataFrame:

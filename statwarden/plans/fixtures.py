@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 from statwarden.plans.dialect import Duck, Spark
-from statwarden.sources.tables import load
+from statwarden.sources.tables import load_spread
 
 AS_OF = "2024-01-15 12:00:00"
 
@@ -397,7 +397,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return frame(spark, sf_dir, "scope_main").unionByName(frame(spark, sf_dir, "scope_alias"))
     source, stages = _cached(Spark)[name]
     table, _, condition = source.partition(" WHERE ")
-    df = load(spark, sf_dir, table)
+    df = load_spread(spark, sf_dir, table)
     if condition:
         df = df.where(condition)
     for i, stage in enumerate(stages):

@@ -233,7 +233,7 @@ def src_table_rowcount(x: Inputs) -> DataFrame:
     """Rows per physical file, then per table; parquet footers answer the counts."""
     total = None
     for table in [*PROFILED, "customer", "pages"]:
-        per_file = x.table(table).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+        per_file = x.files(table).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
         part = per_file.agg(F.sum("rows").alias("current_rows")).select(F.lit(table).alias("table_name"), "current_rows")
         total = part if total is None else total.unionByName(part)
     return total

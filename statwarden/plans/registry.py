@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statwarden.plans import fixtures
 from statwarden.session import prepare
+from statwarden.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +26,11 @@ class Inputs:
         return build
 
     def table(self, name: str) -> DataFrame:
-        return fixtures.load(self.spark, self.sf_dir, name)
+        return tables.load_spread(self.spark, self.sf_dir, name)
+
+    def files(self, name: str) -> DataFrame:
+        """The table as it lies on disk, with its file metadata."""
+        return tables.load(self.spark, self.sf_dir, name)
 
 
 def query(key: str, sql: str | None = None, frames: tuple[str, ...] = (), ctes: tuple[str, ...] = ()):

@@ -16,8 +16,8 @@ from statwarden.streaming import modifications, scope_audit
 def stream_modification_counter(x: Inputs) -> DataFrame:
     folder = work_folder(x.spark, "changes")
     statistics = profiles.change_statistics(x).withColumn("epoch", F.lit(1))
-    stream = modifications.change_stream(x.spark, x.sf_dir, "events.parquet", x.table("events").schema)
-    modifications.run_to_end(modifications.running_counts(stream, statistics, profiles.STATS_KEY), folder)
+    stream = modifications.change_stream(x.spark, x.sf_dir, "events.parquet", x.files("events").schema)
+    modifications.run_to_end(modifications.running_counts(stream, statistics, profiles.STATS_KEY, "event_id"), folder)
     return modifications.current_counts(x.spark, folder, statistics, profiles.STATS_KEY).drop("epoch")
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statwarden.functions.logic import c
-from statwarden.operators import decision, telemetry, thresholds, workflow
+from statwarden.operators import decision, skew, telemetry, thresholds, workflow
 from statwarden.plans import control
-from statwarden.plans.decisions import AS_OF_TIME, COMMAND_SQL, MAXDOP, decided, joined, with_age
+from statwarden.plans.decisions import AS_OF_TIME, COMMAND_SQL, MAXDOP, decided, joined, native, with_age
 from statwarden.plans.fixtures import AS_OF
 from statwarden.plans.oracle_parts import DECIDED, FACTS_POLICY, NATIVE, decision_chain
 from statwarden.plans.registry import Inputs, query
@@ -80,11 +80,20 @@ def item_id():
 
 def first_telemetry(x: Inputs) -> DataFrame:
     """Decisions of collected databases with their first status."""
-    chosen = control.selected(x).where("will_collect").select("database_id")
-    collected = decided(x).join(chosen, "database_id", "left_semi")
+    chosen = control.selected(x).where("will_collect")
+    collected = decision.decide(joined(x, native(x, skew.keep(x.fleet, chosen, ["database_id"], ["stats_id"]))))
     return telemetry.initial(collected.select(F.col("policy_id").alias("run_id"), item_id(), "*"), F.lit(MAXDOP))
 
 
+def run_sizes(x: Inputs) -> DataFrame:
+    """Run and database of every statistic, straight from the facts."""
+    return x.fleet.select("database_id").crossJoin(F.broadcast(x.policies.select(F.col("policy_id").alias("run_id"))))
+
+
+def gated_telemetry(x: Inputs) -> DataFrame:
+    return telemetry.gated(first_telemetry(x), control.gated(x), sizes=run_sizes(x))
+
+
 def fresh_decisions(x: Inputs) -> DataFrame:
     """The second look: facts read again, overrides and decision worked out again."""
     fresh = x.fresh
@@ -116,7 +125,7 @@ def after_snapshots(x: Inputs) -> DataFrame:
 
 
 def second_telemetry(x: Inputs) -> DataFrame:
-    return telemetry.revalidated(telemetry.gated(first_telemetry(x), control.gated(x)), fresh_decisions(x))
+    return telemetry.revalidated(gated_telemetry(x), fresh_decisions(x))
 
 
 def with_outcome(x: Inputs) -> DataFrame:
@@ -142,7 +151,7 @@ def run_query(key: str, sql: str, extra: tuple[str, ...] = ()):
          CASE WHEN status1 = 'PENDING' AND re_error IS NULL THEN r_method END AS re_method FROM t3""",
 )
 def revalidate_snapshot(x: Inputs) -> DataFrame:
-    before = telemetry.gated(first_telemetry(x), control.gated(x)).withColumn("before_status", F.col("execution_status"))
+    before = gated_telemetry(x).withColumn("before_status", F.col("execution_status"))
     looked = telemetry.revalidated(before, fresh_decisions(x))
     return looked.select("run_id", "item_id", "before_status", "execution_status", "execution_reason", "error_number", "re_method")
 

@@ -13,6 +13,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # HotSpot never compiles a method of more than 8000 bytes; beyond that Spark's
+    # split per-operator code is faster than one long interpreted method
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 # Can only be set when a session is made: recording the call site of every Column
 # costs more than building the plan.
@@ -32,6 +35,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("statwarden")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )

@@ -19,13 +19,21 @@ def change_stream(spark: SparkSession, folder: str, pattern: str, schema: T.Stru
     )
 
 
-def running_counts(changes: DataFrame, statistics: DataFrame, keys: Sequence[str]) -> DataFrame:
+SPREAD = 16  # tasks among which the changes of one statistic are divided
+
+
+def running_counts(changes: DataFrame, statistics: DataFrame, keys: Sequence[str], spread_by: str) -> DataFrame:
     """Changes later than the last refresh, per statistic and refresh epoch.
 
     ``statistics`` is a static frame (keys, last_updated, epoch). A refresh starts a
-    new epoch, so no state is ever reset; counts are combined before the shuffle.
+    new epoch, so no state is ever reset. The static side is repeated per slice so
+    that one statistic with very many changes does not meet them in a single task;
+    counts are then combined before the shuffle.
     """
-    since = changes.join(statistics, list(keys), "left").where(F.col("ts") > F.col("last_updated"))
+    slices = F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))
+    static = statistics.withColumn("__slice", F.explode(slices))
+    sliced = changes.withColumn("__slice", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)))
+    since = sliced.join(static, [*keys, "__slice"], "left").where(F.col("ts") > F.col("last_updated"))
     return since.groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("counted"))
 
 
