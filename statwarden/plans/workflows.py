@@ -395,8 +395,8 @@ def sort_reports(x: Inputs) -> DataFrame:
 
 @query(
     "scan_recent_inventory",
-    """SELECT section, id, label, at FROM (
-         SELECT 'RUNS' AS section, run_no AS id, mode AS label, started_at AS at, row_number() OVER (ORDER BY started_at DESC, run_no DESC) AS rn, 20 AS cap FROM runs
+    """SELECT section, id, label, noted_at FROM (
+         SELECT 'RUNS' AS section, run_no AS id, mode AS label, started_at AS noted_at, row_number() OVER (ORDER BY started_at DESC, run_no DESC) AS rn, 20 AS cap FROM runs
          UNION ALL SELECT 'TELEMETRY', stats_id, stat_name, last_updated, row_number() OVER (ORDER BY last_updated DESC NULLS LAST, stats_id DESC), 100 FROM fleet
          UNION ALL SELECT 'SCOPE', revision, configured_name, excluded_at, row_number() OVER (ORDER BY revision DESC), 50 FROM scope
          UNION ALL SELECT 'OVERRIDES', override_id, action, expires_at, row_number() OVER (ORDER BY override_id DESC), 100 FROM overrides)
@@ -408,7 +408,7 @@ def scan_recent_inventory(x: Inputs) -> DataFrame:
 
     def section(df, name, key, label, at, order, n):
         top = df.orderBy(*order).limit(n)
-        return top.select(F.lit(name).alias("section"), F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(at).alias("at"))
+        return top.select(F.lit(name).alias("section"), F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(at).alias("noted_at"))
 
     parts = [
         section(x.runs, "RUNS", "run_no", "mode", "started_at", [F.desc("started_at"), F.desc("run_no")], 20),
