@@ -97,7 +97,7 @@ class Fleet:
     settings: DataFrame
     facts: DataFrame
     overrides: DataFrame
-    utility_name: str = "DBAdmin"
+    utility_name: str = "GovernanceDb"
 
 
 @dataclass(frozen=True)
@@ -170,11 +170,11 @@ def effective_policy(request: GovernanceRequest, settings: DataFrame) -> DataFra
     return decision.complete_policy(named)
 
 
-def decided_facts(facts: DataFrame, approved: DataFrame, policy: DataFrame, as_of: datetime) -> DataFrame:
+def decided_facts(facts: DataFrame, approved: DataFrame, policy: DataFrame, as_of: datetime, sizes: DataFrame | None = None) -> DataFrame:
     """Facts with threshold, age, winning override, policy (one row) and decision."""
     now = F.lit(as_of).cast("timestamp_ntz")
     aged = thresholds.with_native_threshold(facts).withColumn("stats_age_minutes", minute_boundaries(c.last_updated, now))
-    return decision.decide(overrides.with_winning_override(aged, approved, as_of).crossJoin(F.broadcast(policy)))
+    return decision.decide(overrides.with_winning_override(aged, approved, as_of, sizes=sizes).crossJoin(F.broadcast(policy)))
 
 
 def govern(request: GovernanceRequest, fleet: Fleet, run_id: str, as_of: datetime, targets: DataFrame | None = None) -> RunPlan:
@@ -188,8 +188,9 @@ def govern(request: GovernanceRequest, fleet: Fleet, run_id: str, as_of: datetim
         _stop_if(included.where(~holds(c.enabled)).select("database_name"), 51036, "database not approved for enforcement")
     policy = effective_policy(request, fleet.settings)
     facts = fleet.facts.where(catalog.visible(c) & catalog.in_statistics_scope(c, request.statistics_scope))
-    facts = catalog.keep_targets(skew.keep(facts, included, ["database_id"], ["stats_id"]), targets)
-    decided = decided_facts(facts, fleet.overrides, policy, as_of).withColumns(
+    in_scope = facts
+    facts = catalog.keep_targets(skew.keep(facts, included, ["database_id"], ["stats_id"]), targets, sizes=in_scope)
+    decided = decided_facts(facts, fleet.overrides, policy, as_of, sizes=in_scope).withColumns(
         {"run_id": F.lit(run_id), "item_id": c.stats_id, "mode": F.lit(request.mode)}
     )
     deadline = as_of + timedelta(minutes=request.max_minutes) if request.max_minutes else None
@@ -206,7 +207,7 @@ def govern(request: GovernanceRequest, fleet: Fleet, run_id: str, as_of: datetim
             "collection_status": F.when(holds(c.is_excluded), "SKIPPED_EXCLUDED").otherwise("PENDING"),
         }
     )
-    return RunPlan(request, run_id, as_of, policy, runs, run_databases, facts, telemetry.initial(decided, F.lit(request.maxdop)))
+    return RunPlan(request, run_id, as_of, policy, runs, run_databases, in_scope, telemetry.initial(decided, F.lit(request.maxdop)))
 
 
 def govern_targeted(

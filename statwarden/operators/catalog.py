@@ -48,11 +48,11 @@ def visible(f: Fields) -> Column:
     return (~f.is_ms_shipped | f.database_id.isin(*SYSTEM_IDS)) & ~f.is_external
 
 
-def keep_targets(facts: DataFrame, targets: DataFrame | None) -> DataFrame:
+def keep_targets(facts: DataFrame, targets: DataFrame | None, sizes: DataFrame | None = None) -> DataFrame:
     """Only targeted tables; everything when no targets are given."""
     if targets is None:
         return facts
-    return keep(facts, targets, ["database_name", "schema_name", "table_name"], ["stat_name"])
+    return keep(facts, targets, ["database_name", "schema_name", "table_name"], ["stat_name"], sizes=sizes)
 
 
 def statistics_context(facts: DataFrame) -> DataFrame:
@@ -225,8 +225,8 @@ def enumerate_statistics(
         F.col("data_type").alias("leading_type"),
     )
     df = stats.join(per_stat, ["object_id", "stats_id"], "left")
-    df = lookup(df, owner, ["object_id"], ["stats_id"], how="inner")
-    return lookup(df, leading, ["object_id", "leading_column_id"], ["stats_id"])
+    df = lookup(df, owner, ["object_id"], ["stats_id"], how="inner", sizes=stats)
+    return lookup(df, leading, ["object_id", "leading_column_id"], ["stats_id"], sizes=stats)
 
 
 def generated_rows(total: DataFrame, block: int = 100_000) -> DataFrame:

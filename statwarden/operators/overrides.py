@@ -30,18 +30,19 @@ def _best(overrides: DataFrame, key: list[str], name: str) -> DataFrame:
 
 
 def with_winning_override(
-    facts: DataFrame, overrides: DataFrame, as_of: datetime, hot_rows: int = HOT_ROWS
+    facts: DataFrame, overrides: DataFrame, as_of: datetime, hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None
 ) -> DataFrame:
     """Facts with the winning override in ``o_`` columns (NULL when there is none).
 
     Exclusions come first, then statistic-level before table-level, then the
     lowest id. Overrides are reduced to one per key before they meet the facts;
-    a table holding very many statistics is spread over many tasks.
+    a table holding very many statistics is spread over many tasks; ``sizes`` may be
+    a cheaper frame to find such tables in.
     """
     current = active(overrides, as_of)
     per_stat = _best(current.where(F.col("stat_name").isNotNull()), STAT_KEY, "__stat")
     per_table = _best(current.where(F.col("stat_name").isNull()), TABLE_KEY, "__table")
-    df = lookup(facts, per_table, TABLE_KEY, ["stat_name"], hot_rows=hot_rows).join(per_stat, STAT_KEY, "left")
+    df = lookup(facts, per_table, TABLE_KEY, ["stat_name"], hot_rows=hot_rows, sizes=sizes).join(per_stat, STAT_KEY, "left")
     table_wins = F.col("__stat").isNull() | holds(F.col("__table.o_rank") < F.col("__stat.o_rank"))
     df = df.withColumn("__win", F.when(table_wins, F.col("__table")).otherwise(F.col("__stat")))
     return df.select("*", "__win.*").drop("__stat", "__table", "__win", "o_rank")

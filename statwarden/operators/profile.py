@@ -201,7 +201,9 @@ def refresh_batch(
     than the schemas of ``tables``, so the driver reads it to prune tables and
     columns out of the scan.
     """
-    limits = plan.select(*COLUMN_KEY, hash_threshold(plan).alias("limit")).collect()
+    limits = plan.withColumn("limit", hash_threshold(plan)).collect()
+    # the plan is worked out once: the few rows read here stand for it from now on
+    plan = plan.sparkSession.createDataFrame(limits, "{}, limit bigint".format(plan.schema.toDDL())).drop("limit")
     by_table: dict[str, dict[str, int]] = {}
     for row in limits:
         by_table.setdefault(row.table_name, {})[row.column_name] = row.limit

@@ -11,7 +11,7 @@ from statwarden.plans.decisions import AS_OF_TIME
 from statwarden.plans.fixtures import AS_OF
 from statwarden.plans.registry import Inputs, query
 
-UTILITY = "DBAdmin"
+UTILITY = "GovernanceDb"
 SELECTORS = ("ALL", "SYSTEM_DATABASES", "USER_DATABASES")
 
 SUPPORTED = "database_id <> 2 AND database_name <> 'SSISDB' AND NOT is_distributor"
@@ -22,7 +22,7 @@ USABLE = f"({SUPPORTED} AND state = 'ONLINE' AND NOT is_snapshot AND is_accessib
     "filter_group_selector",
     f"""SELECT selector, database_id, database_name FROM datasets
         CROSS JOIN (VALUES ('ALL'), ('SYSTEM_DATABASES'), ('USER_DATABASES')) s(selector)
-        WHERE database_name <> 'DBAdmin' AND {USABLE}
+        WHERE database_name <> 'GovernanceDb' AND {USABLE}
           AND (selector = 'ALL' OR (selector = 'SYSTEM_DATABASES' AND database_id IN (1, 3, 4)) OR (selector = 'USER_DATABASES' AND database_id > 4))""",
     ("datasets",),
 )

@@ -30,7 +30,7 @@ def native(x: Inputs, facts: DataFrame | None = None) -> DataFrame:
 def joined(x: Inputs, facts: DataFrame | None = None) -> DataFrame:
     """Facts with winning override, once per policy (three constant rows)."""
     facts = native(x) if facts is None else facts
-    with_override = overrides.with_winning_override(facts, x.overrides, AS_OF_TIME)
+    with_override = overrides.with_winning_override(facts, x.overrides, AS_OF_TIME, sizes=x.fleet)
     return with_override.crossJoin(F.broadcast(decision.complete_policy(x.policies)))
 
 

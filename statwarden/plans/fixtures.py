@@ -7,12 +7,12 @@ may use the columns of the stage before. ``frame`` builds the Spark DataFrame,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 from statwarden.plans.dialect import Duck, Spark
-from statwarden.sources.tables import load_spread
 
 AS_OF = "2024-01-15 12:00:00"
 
@@ -20,7 +20,7 @@ AS_OF = "2024-01-15 12:00:00"
 def _name(dataset_id: str) -> str:
     return (
         f"CASE {dataset_id} WHEN 1 THEN 'master' WHEN 2 THEN 'tempdb' WHEN 3 THEN 'model' WHEN 4 THEN 'msdb' "
-        f"WHEN 5 THEN 'SSISDB' WHEN 6 THEN 'DBAdmin' ELSE 'Db_' || CAST({dataset_id} AS STRING) END"
+        f"WHEN 5 THEN 'SSISDB' WHEN 6 THEN 'GovernanceDb' ELSE 'Db_' || CAST({dataset_id} AS STRING) END"
     )
 
 
@@ -392,12 +392,13 @@ def _cached(dialect):
     return _stages(dialect)
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def frame(name: str, load: Callable[[str], DataFrame]) -> DataFrame:
+    """The Spark frame; ``load`` gives the table it is derived from."""
     if name == "scope":
-        return frame(spark, sf_dir, "scope_main").unionByName(frame(spark, sf_dir, "scope_alias"))
+        return frame("scope_main", load).unionByName(frame("scope_alias", load))
     source, stages = _cached(Spark)[name]
     table, _, condition = source.partition(" WHERE ")
-    df = load_spread(spark, sf_dir, table)
+    df = load(table)
     if condition:
         df = df.where(condition)
     for i, stage in enumerate(stages):

@@ -19,14 +19,17 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.loaded: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        build = fixtures.policies(self.spark) if name == "policies" else fixtures.frame(self.spark, self.sf_dir, name)
+        build = fixtures.policies(self.spark) if name == "policies" else fixtures.frame(name, self.table)
         setattr(self, name, build)
         return build
 
     def table(self, name: str) -> DataFrame:
-        return tables.load_spread(self.spark, self.sf_dir, name)
+        if name not in self.loaded:
+            self.loaded[name] = tables.load_spread(self.spark, self.sf_dir, name)
+        return self.loaded[name]
 
     def files(self, name: str) -> DataFrame:
         """The table as it lies on disk, with its file metadata."""
