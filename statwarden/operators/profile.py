@@ -201,12 +201,12 @@ def refresh_batch(
     than the schemas of ``tables``, so the driver reads it to prune tables and
     columns out of the scan.
     """
-    limits = plan.withColumn("limit", hash_threshold(plan)).collect()
+    planned = plan.withColumn("limit", hash_threshold(plan)).toArrow()
     # the plan is worked out once: the few rows read here stand for it from now on
-    plan = plan.sparkSession.createDataFrame(limits, "{}, limit bigint".format(plan.schema.toDDL())).drop("limit")
+    plan = plan.sparkSession.createDataFrame(planned.drop_columns(["limit"]))
     by_table: dict[str, dict[str, int]] = {}
-    for row in limits:
-        by_table.setdefault(row.table_name, {})[row.column_name] = row.limit
+    for row in planned.to_pylist():
+        by_table.setdefault(row["table_name"], {})[row["column_name"]] = row["limit"]
     parts = []
     for table_name, columns in sorted(by_table.items()):
         hashed = tables[table_name].withColumn("__hash", row_hash(*[F.col(c) for c in row_keys[table_name]]))
