@@ -1,6 +1,6 @@
 """Operators for training-data pipelines, and their registered queries."""
 
-from statwarden.llm import curriculum, exact_dedup, secrets, token_counts, token_output  # noqa: F401
+from statwarden.llm import curriculum, exact_dedup, quality, secrets, token_counts, token_output, toxicity  # noqa: F401
 from statwarden.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
