@@ -35,7 +35,7 @@ WEIGHTS, SHARE, REPEAT = (5.0, 2.0, 1.0), 1.5, 2
 # weight at the start and at the end of training, as a multiple of its mean; by source rank, repeating
 SCHEDULE = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 # rows that one running sum holds, about
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 
 
 def cycle(values: Sequence[float], rank: Column) -> Column:
