@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statwarden.llm.registry import query, table
-from statwarden.llm.shared import written
+from statwarden.llm.shared import BLANK, written
 
 # fixed values: weights by source rank, share of all words, most repeats
 WEIGHTS, SHARE, REPEAT = (5.0, 2.0, 1.0), 1.5, 2
@@ -46,12 +46,12 @@ def cycle(values: Sequence[float], rank: Column) -> Column:
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, number of words and the digest that orders a source's documents."""
-    blank = F.lit(r"[^\x20\x09-\x0D]+")
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text, blank).cast("long").alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary")).alias("digest"),
-    )
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), digest_of().alias("digest"))
+
+
+def digest_of() -> Column:
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
@@ -101,12 +101,8 @@ def when_read(words: Column, target: Column, begin: Column, end: Column) -> Colu
     return F.least(F.lit(1.0), 2 * demand / (begin + root))
 
 
-def curriculum(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT,
-    schedule: Sequence[tuple[float, float]] = SCHEDULE, range_rows: int = RANGE_ROWS,
-) -> DataFrame:
-    """One row per document, sorted by its first training position; ``position_k`` is that of pass k."""
-    sizes = written(sized(docs), "curriculum-sizes")
+def passes(sizes: DataFrame, weights: Sequence[float], share: float, repeat: int, schedule: Sequence[tuple[float, float]], range_rows: int) -> DataFrame:
+    """One row per document: digest, sizes, target, and for each pass the words taken and the training position."""
     # one row per source, left to the planner's own size check
     goal = targets(sizes, weights, share, repeat).withColumnRenamed("source", "goal_source")
     placed = ranged(sizes, range_rows)
@@ -114,17 +110,51 @@ def curriculum(
     begin = cycle([b for b, _ in schedule], F.col("rank"))
     end = cycle([e for _, e in schedule], F.col("rank"))
     whole = F.floor("target").cast("long")
-    taken, positions = F.lit(0).cast("long"), []
+    out = []
     for k in range(repeat):
         start = F.col("before") + k * F.col("source_size")
         part = F.greatest(F.lit(0), F.least("size", whole - start)).cast("long")
-        taken = taken + part
-        positions.append(F.when(part > 0, when_read(start, F.col("target"), begin, end)).alias(f"position_{k + 1}"))
-    out = placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *positions)
+        out += [part.alias(f"part_{k + 1}"), F.when(part > 0, when_read(start, F.col("target"), begin, end)).alias(f"position_{k + 1}")]
+    return placed.select("doc_id", "source", "size", "digest", "source_size", "target", *out)
+
+
+def curriculum(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT,
+    schedule: Sequence[tuple[float, float]] = SCHEDULE, range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """One row per document, sorted by its first training position; ``position_k`` is that of pass k."""
+    rows = passes(written(sized(docs), "curriculum-sizes"), weights, share, repeat, schedule, range_rows)
+    taken = sum((F.col(f"part_{k + 1}") for k in range(repeat)), F.lit(0).cast("long"))
+    out = rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *[f"position_{k + 1}" for k in range(repeat)])
     # a range sort: partitions follow each other along the training run
     return out.orderBy(F.col("position_1").asc_nulls_last(), "doc_id")
 
 
+def mixed(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT,
+    schedule: Sequence[tuple[float, float]] = SCHEDULE, range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """The mix itself, in training order: a row per document and pass, with the columns of ``docs``.
+
+    The document at which a source's target ends has its first words only, joined by single spaces.
+    """
+    sizes = written(sized(docs), "curriculum-sizes")
+    rows = passes(sizes, weights, share, repeat, schedule, range_rows)
+    each = F.explode(F.array(*[F.struct(F.col(f"part_{k + 1}").alias("part"), F.col(f"position_{k + 1}").alias("position")) for k in range(repeat)]))
+    # rows of equal digest and source are equal in what is read; they are numbered so that each gets its own part
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("digest", "source").orderBy("position_1")))
+    taken = rows.select("digest", "source", "nth", "size", each.alias("x")).where("x.part > 0").select("digest", "source", "nth", "size", "x.*")
+    own = docs.select(F.struct("*").alias("row"), digest_of().alias("own_digest"), F.col("source").alias("own_source"))
+    own = own.withColumn("own_nth", F.row_number().over(W.partitionBy("own_digest", "own_source").orderBy(F.lit(0))))
+    joined = own.join(taken, (F.col("own_digest") == F.col("digest")) & (F.col("own_nth") == F.col("nth")) & F.col("own_source").eqNullSafe(F.col("source")))
+    words = F.split(F.trim(F.regexp_replace("row.text", BLANK, " ")), " ")
+    text = F.when(F.col("part") < F.col("size"), F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(F.col("row.text"))
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("part") < F.col("size"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return joined.orderBy("position", "row.doc_id").select(row.alias("row")).select("row.*")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

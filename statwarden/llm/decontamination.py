@@ -266,8 +266,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, max_coverage: float =
 
     found = matched(docs, benchmark, window).where("hit IS NOT NULL")
     cut = per_batch(found, "_id long, _h long, share double, clean string", make).dropDuplicates(["_id", "_h"])
-    joined = docs.select("*", *row_key()).join(cut, ["_id", "_h"], "left").where(F.coalesce("share", F.lit(0.0)) <= max_coverage)
-    return joined.withColumn("text", F.coalesce("clean", "text")).select(*docs.columns)
+    joined = docs.select(F.struct("*").alias("row"), *row_key()).join(cut, ["_id", "_h"], "left").where(F.coalesce("share", F.lit(0.0)) <= max_coverage)
+    return joined.select(F.col("row").withField("text", F.coalesce("clean", "row.text")).alias("row")).select("row.*")
 
 
 @query("op9_benchmark_decontamination")

@@ -14,8 +14,9 @@
 At similarity 0.75 a pair shares no key with probability (1 - 0.75**5)**32 < 0.0002; the sketch limit
 lies four standard deviations below the threshold.
 
-Defined cases: a null text counts as empty; documents without words are linked with nothing; null doc_ids sort last and
-stand for one document, as do rows that repeat a doc_id standing for its class; equal rows get equal rows; other columns are not read.
+Defined cases: a null text counts as empty; documents without words are linked with nothing; doc_ids are below
+2**62; rows without one sort last and are told apart by their text; rows of one doc_id that stand for several
+classes are one document; equal rows get equal rows; other columns are not read by ``near_duplicates`` and kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ SAMPLES = BANDS * ROWS
 # Four standard deviations of the estimate, that of the samples and that of the sketch together, below the threshold.
 SLACK = 0.16
 MEMO_WORDS = 200_000
-NO_ID = 2**63 - 1
+# rows without doc_id get numbers from here on, by their text
+NO_ID = 2**62
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240229)
@@ -105,7 +107,7 @@ def _word_hashes():
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id (null as the greatest), n_shingles, digest of the set, band keys and sketch."""
+    """doc_id (a number for null), hash of the text, n_shingles, digest of the set, band keys and sketch."""
 
     def make():
         hashes = _word_hashes()
@@ -120,15 +122,19 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands.append(band_keys(least) if len(found) else None)
                 sketches.append(odd_sketch(least) if len(found) else None)
             arrays = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_h"), *arrays], ["doc_id", "_h", "n_shingles", "digest", "bands", "sketch"])
 
         return one
 
-    return per_batch(numbered(docs), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>", make)
+    return per_batch(numbered(docs), "doc_id long, _h long, n_shingles long, digest binary, bands array<long>, sketch array<long>", make)
+
+
+def number() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID))).alias("doc_id")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(number(), F.xxhash64("text").alias("_h"), F.col("text").cast("string").alias("text"))
 
 
 def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -206,8 +212,8 @@ def across(buckets: DataFrame, labels: DataFrame, facts: DataFrame, percent: int
     return both.select(F.col("of_a.node").alias("a"), F.col("of_b.node").alias("b"), near("of_a", "of_b").alias("distance"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: n_shingles, component_id, kept."""
+def resolved(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document: its number, hash of the text, n_shingles and its component's least number."""
     signed = written(signatures(docs), "near-signatures")
     first = F.first(F.struct("n_shingles", "bands", "sketch")).alias("x")  # equal for all rows of a digest
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), first)
@@ -228,9 +234,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         labels = components(confirmed(chosen, docs, classes, percent), labels)
     of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(back("doc_id").alias("doc_id"), "n_shingles", back("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    out = signed.select("doc_id", "_h", "n_shingles", "digest").join(of_class, "digest", "left")
+    return out.select("doc_id", "_h", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return resolved(docs, percent).select(
+        known("doc_id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept")
+    )
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id."""
+    kept = resolved(docs, percent).where(F.col("doc_id") == F.col("component")).groupBy(F.col("doc_id").alias("_number")).agg(F.min("_h").alias("_text"))
+    rows = docs.select(F.struct("*").alias("row"), number().alias("_number"), F.xxhash64("text").alias("_text"))
+    return rows.join(kept, ["_number", "_text"], "left_semi").dropDuplicates(["_number", "_text"]).select("row.*")
 
 
 @query("op10_minhash_odd_sketch")

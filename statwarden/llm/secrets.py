@@ -98,11 +98,12 @@ def reported(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def spans_of(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """One row per document with its reported spans, sorted by start, then kind as listed."""
+    """doc_id and reported spans of each document, sorted by start, then kind as listed."""
     rank = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)]), F.col("kind"))
     span = F.struct("start", rank.alias("rank"), "kind", "end")
     per = reported(parts(docs), scope).groupBy("_id", "_h").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    return docs.select("*", *row_key()).join(per, ["_id", "_h"], "left").drop("_id", "_h").withColumn("spans", F.coalesce("spans", F.array().cast(per.schema["spans"].dataType)))
+    own = docs.select("doc_id", *row_key()).join(per, ["_id", "_h"], "left")
+    return own.select("doc_id", F.coalesce("spans", F.array().cast(per.schema["spans"].dataType)).alias("spans"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

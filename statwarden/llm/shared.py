@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # ASCII white space of the contracts, as a Java and RE2 class and as bytes
 BLANK = r"[\x20\x09-\x0D]+"
@@ -55,7 +56,7 @@ def row_key() -> list[Column]:
     return [F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("_id"), F.xxhash64("text").alias("_h")]
 
 
-def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` with a function made once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

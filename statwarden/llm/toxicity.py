@@ -226,6 +226,21 @@ def scored(docs: DataFrame, model: ChainField) -> DataFrame:
     return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), SCORED, make)
 
 
+def accepted(docs: DataFrame, model: ChainField, limit: float = 0.5) -> DataFrame:
+    """``docs`` without those whose score reaches ``limit``; all columns are kept as they are."""
+
+    def make():
+        memo = TwoGenerations(model.evidence_of(), MEMO_WORDS)
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            scores = model.score(model.tag([WORD.findall(t or "") for t in batch.column("text").to_pylist()], memo))
+            return batch.filter(pa.array(scores < limit))
+
+        return one
+
+    return per_batch(docs, docs.schema, make)
+
+
 def offsets(text: str, marginal: np.ndarray) -> Iterator[str]:
     """Runs of toxic tokens as start:end."""
     start = end = None
