@@ -10,19 +10,21 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 from check_queries import compare, connect  # noqa: E402
 
+from statwarden.plans import ORACLES, QUERIES  # noqa: E402
+
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("key", list(entry.queries()))
+@pytest.mark.parametrize("key", list(QUERIES))
 def test_query(spark, con, sf_dir, key):
     assert compare(spark, con, sf_dir, key).startswith(("ok", "rows only"))
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry(spark):
