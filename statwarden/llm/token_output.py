@@ -16,6 +16,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,19 +175,24 @@ class Encoder:
         letters = [chr(c) for c in range(0x100) if SIMPLE.fullmatch(chr(c))]
         self.mapped = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in letters})
         self.marks = TwoGenerations(self.encode, 10_000)
+        self.letters = TwoGenerations(self.model_ids, MEMO_WORDS // 3)
         self.words = TwoGenerations(self.word, MEMO_WORDS)
         self.words[""] = b""
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def model_ids(self, letters: str) -> bytes:
+        """The library's model on lower-case letters, without its general text steps."""
+        mapped = letters if letters.isascii() else letters.translate(self.mapped)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
     def word(self, word: str) -> bytes:
         simple = SIMPLE.fullmatch(word)
         if not simple:
             return self.encode(word)
-        # the library's model on the lower-case letters, without its general text steps
-        ids = [t.id for t in self.tokenizer.model.tokenize(simple[1].lower().translate(self.mapped))]
-        return np.array(ids, "<u4").tobytes() + (self.marks[simple[2]] if simple[2] else b"")
+        letters, marks = simple.groups()
+        return self.letters[letters.lower()] + (self.marks[marks] if marks else b"")
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
