@@ -11,6 +11,8 @@ from statwarden.operators.skew import keep, lookup
 from statwarden.operators.thresholds import dynamic_by_level
 
 SCOPES = ("ALL", "INDEX_ONLY", "AUTO_ONLY", "USER_ONLY", "NON_AUTO")  # fixed values
+# ids of tables are unique within their database only
+TABLE_KEY = ["database_id", "object_id"]
 COLUMNSTORE_TYPES = (5, 6)
 SYSTEM_IDS = (1, 3, 4)
 
@@ -24,10 +26,10 @@ def index_family(index_type: Column) -> Column:
 
 
 def partition_rows(partitions: DataFrame) -> DataFrame:
-    """Rows and partitions per object, heap and clustered storage only."""
+    """Rows and partitions per table, heap and clustered storage only."""
     return (
         partitions.where(F.col("index_id").isin(0, 1))
-        .groupBy("object_id")
+        .groupBy(*TABLE_KEY)
         .agg(F.sum("row_count").alias("current_rows"), F.count(F.lit(1)).alias("partition_count"))
     )
 
@@ -59,11 +61,11 @@ def statistics_context(facts: DataFrame) -> DataFrame:
     """Adds context, storage and type labels; columnstore presence is per table."""
     with_columnstore = (
         facts.where(F.col("index_type").isin(*COLUMNSTORE_TYPES) | F.col("base_index_type").isin(*COLUMNSTORE_TYPES))
-        .select("object_id")
+        .select(*TABLE_KEY)
         .distinct()
         .withColumn("__columnstore", F.lit(True))
     )
-    df = lookup(facts, with_columnstore, ["object_id"], ["stats_id"])
+    df = lookup(facts, with_columnstore, TABLE_KEY, ["stats_id"])
     has = holds(F.col("__columnstore"))
     on_index = c.index_type.isNotNull()
     return df.select(
@@ -162,7 +164,7 @@ def partition_health(row_groups: DataFrame) -> DataFrame:
         return F.sum(F.when(condition, value).otherwise(0))
 
     open_or_closed = state.isin(1, 2)
-    sums = row_groups.groupBy("object_id", "index_id", "partition_number").agg(
+    sums = row_groups.groupBy(*TABLE_KEY, "index_id", "partition_number").agg(
         F.count_if(state == 1).alias("open_rowgroups"),
         F.count_if(state == 2).alias("closed_rowgroups"),
         total_where(open_or_closed, total).alias("delta_rows"),
@@ -211,22 +213,22 @@ def enumerate_statistics(
     What belongs to a table is gathered first, one row per table; a table with very
     many statistics is then spread over many tasks.
     """
-    owner = owned_tables(tables, schemas).join(partition_rows(partitions), "object_id", "left").select(
+    owner = owned_tables(tables, schemas).join(partition_rows(partitions), TABLE_KEY, "left").select(
         "object_id", "database_id", "database_name", "schema_name", "table_name", "is_ms_shipped", "is_external",
         "is_memory_optimized", "base_index_type", "base_disabled", "current_rows", "partition_count",
     )
     per_stat = indexes.select(
-        "object_id", F.col("index_id").alias("stats_id"), "index_name", "index_type", "is_disabled", "is_hypothetical"
+        *TABLE_KEY, F.col("index_id").alias("stats_id"), "index_name", "index_type", "is_disabled", "is_hypothetical"
     )
     leading = columns.select(
-        "object_id",
+        *TABLE_KEY,
         F.col("column_id").alias("leading_column_id"),
         F.col("column_name").alias("leading_column"),
         F.col("data_type").alias("leading_type"),
     )
-    df = stats.join(per_stat, ["object_id", "stats_id"], "left")
-    df = lookup(df, owner, ["object_id"], ["stats_id"], how="inner", sizes=stats)
-    return lookup(df, leading, ["object_id", "leading_column_id"], ["stats_id"], sizes=stats)
+    df = stats.join(per_stat, [*TABLE_KEY, "stats_id"], "left")
+    df = lookup(df, owner, TABLE_KEY, ["stats_id"], how="inner", sizes=stats)
+    return lookup(df, leading, [*TABLE_KEY, "leading_column_id"], ["stats_id"], sizes=stats)
 
 
 def generated_rows(total: DataFrame, block: int = 100_000) -> DataFrame:

@@ -13,9 +13,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+# Rows of a bucket; beyond 2**42 rows in all a bucket has 4 * sqrt(rows), so that there
+# are at most sqrt(rows) / 4 cut points: 800,000 for the 1e13 values of 100 TB.
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
+# Cut points are beginnings of texts: any value may part two buckets.
+CUT_CHARACTERS = 64
 STRIDE = 64
 HASH_RANGE = 1 << 30
 
@@ -23,7 +27,9 @@ HASH_RANGE = 1 << 30
 def _cut_points(df: DataFrame, groups: list[str], order: Column, rows_per_bucket: int) -> DataFrame:
     """Per group a sorted array of about rows / rows_per_bucket sampled order values."""
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    wanted = F.least(F.floor(F.col("__n") / rows_per_bucket), F.lit(MAX_BUCKETS))
+    per_bucket = F.greatest(F.lit(float(rows_per_bucket)), 4 * F.sqrt(F.sum("__n").over(Window.partitionBy())))
+    sizes = sizes.withColumn("__per", per_bucket if rows_per_bucket >= ROWS_PER_BUCKET else F.lit(float(rows_per_bucket)))
+    wanted = F.floor(F.col("__n") / F.col("__per"))
     sizes = sizes.select(*groups, (wanted / F.col("__n") * HASH_RANGE).cast("bigint").alias("__limit")).where("__limit > 0")
     sampled = df.join(F.broadcast(sizes), groups).where(F.pmod(F.xxhash64(order), F.lit(HASH_RANGE)) < F.col("__limit"))
     cuts = sampled.groupBy(*groups).agg(F.sort_array(F.collect_set(order)).alias("__cuts"))
@@ -51,15 +57,16 @@ def rows_before(
 ) -> DataFrame:
     """Adds the sum of ``weight`` over all earlier rows of the same group.
 
-    ``order`` must be unique within a group. The number of groups has to be small
-    (profiled columns, runs): their cut points are broadcast.
+    ``order`` must be unique within a group. Cut points are broadcast: all groups
+    together have few, whatever their number (see ``ROWS_PER_BUCKET``). Texts are placed by
+    their first characters, so rows alike in these share a bucket.
     """
     groups, order = list(groups), list(order)
-    key = F.struct(*order)
+    texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    key = F.struct(*[F.substring(o, 1, CUT_CHARACTERS).alias(o) if o in texts else F.col(o) for o in order])
     cuts = _cut_points(df, groups, key, rows_per_bucket)
     placed = df.join(F.broadcast(cuts), groups, "left").select(*df.columns, _bucket(key).alias("__bucket"))
     totals = placed.groupBy(*groups, "__bucket").agg(F.sum(weight).alias("__sum"))
-    # at most MAX_BUCKETS rows per group
     earlier = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*groups, "__bucket", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy(*groups, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ One scan per table feeds all of its profiled columns.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +23,8 @@ from statwarden.operators.skew import lookup
 
 STEPS = 200  # fixed value: most steps in a histogram
 COLUMN_KEY = ["table_name", "column_name"]
+COUNTS_SCHEMA = "table_name string, column_name string, long_value bigint, double_value double, text_value string, value_rows bigint"
 VALUE = ["long_value", "double_value", "text_value"]
-# Rows the default method looks at; smaller tables are read whole.
-DEFAULT_SAMPLE_ROWS = 10_000_000
 
 
 def _typed_value(df: DataFrame, name: str) -> Column:
@@ -181,41 +181,59 @@ def skew(catalog: DataFrame, steps: DataFrame, supported: Column) -> DataFrame:
 
 
 def hash_threshold(plan: DataFrame) -> Column:
-    """Row-hash limit of each planned refresh; the whole hash range for a full scan."""
+    """Row-hash limit of each planned refresh; the whole hash range for a full scan.
+
+    The default method reads every row, unless the plan has a column ``auto_sample_rows``:
+    the policy's amount of rows for it, null for all.
+    """
     whole = F.lit(HASH_SPACE).cast("bigint")
-    return (
+    auto = F.lit(None).cast("bigint")
+    if "auto_sample_rows" in plan.columns:
+        auto = rows_threshold(plan.auto_sample_rows, plan.current_rows)
+    return F.coalesce(
         F.when(plan.collection_method == "SAMPLE_PERCENT", percent_threshold(plan.requested_sample_percent))
         .when(plan.collection_method == "SAMPLE_ROWS", rows_threshold(plan.requested_sample_rows, plan.current_rows))
-        .when(plan.collection_method == "AUTO", rows_threshold(F.lit(DEFAULT_SAMPLE_ROWS).cast("bigint"), plan.current_rows))
-        .otherwise(whole)
+        .when(plan.collection_method == "AUTO", auto),
+        whole,
     )
 
 
+# Tables whose plan rows are read and scanned by one job: bounds what the driver holds and the size of a plan.
+TABLES_PER_JOB = 32
+
+
 def refresh_batch(
-    plan: DataFrame, tables: Mapping[str, DataFrame], row_keys: Mapping[str, Sequence[str]]
+    plan: DataFrame, tables: Mapping[str, DataFrame], row_keys: Mapping[str, Sequence[str]], folder: str, tables_per_job: int = TABLES_PER_JOB
 ) -> DataFrame:
     """Re-profiles the planned columns, one scan per table, each with its own method.
 
     ``plan`` has one row per column (table_name, column_name, collection_method,
-    requested_sample_percent, requested_sample_rows, current_rows). It is no longer
-    than the schemas of ``tables``, so the driver reads it to prune tables and
-    columns out of the scan.
+    requested_sample_percent, requested_sample_rows, current_rows). It is written
+    to ``folder`` once. Then job by job the driver reads the plan of a few tables,
+    no longer than their schemas, leaves out what is not due, and adds the
+    tables' value counts to ``folder``; all that follows reads those counts.
     """
-    planned = plan.withColumn("limit", hash_threshold(plan)).toArrow()
-    # the plan is worked out once: the few rows read here stand for it from now on
-    plan = plan.sparkSession.createDataFrame(planned.drop_columns(["limit"]))
-    by_table: dict[str, dict[str, int]] = {}
-    for row in planned.to_pylist():
-        by_table.setdefault(row["table_name"], {})[row["column_name"]] = row["limit"]
-    parts = []
-    for table_name, columns in sorted(by_table.items()):
-        hashed = tables[table_name].withColumn("__hash", row_hash(*[F.col(c) for c in row_keys[table_name]]))
-        keep = {c: F.col("__hash") < limit for c, limit in columns.items() if limit < HASH_SPACE}
-        parts.append(tall(hashed, table_name, sorted(columns), keep))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    counts = value_counts(rows)
+    spark = plan.sparkSession
+    plan.withColumn("__limit", hash_threshold(plan)).write.parquet(f"{folder}/plan")
+    limited = spark.read.parquet(f"{folder}/plan")
+    plan = limited.drop("__limit")
+    names = sorted(tables)
+    for first in range(0, len(names), tables_per_job):
+        some = names[first : first + tables_per_job]
+        by_table: dict[str, dict[str, int]] = {}
+        due = limited.where(F.col("table_name").isin(some)).select("table_name", "column_name", "__limit")
+        for row in due.toArrow().to_pylist():
+            by_table.setdefault(row["table_name"], {})[row["column_name"]] = row["__limit"]
+        parts = []
+        for table_name, columns in sorted(by_table.items()):
+            hashed = tables[table_name].withColumn("__hash", row_hash(*[F.col(c) for c in row_keys[table_name]]))
+            keep = {c: F.col("__hash") < limit for c, limit in columns.items() if limit < HASH_SPACE}
+            parts.append(tall(hashed, table_name, sorted(columns), keep))
+        if parts:
+            value_counts(reduce(DataFrame.unionByName, parts)).write.mode("append").parquet(f"{folder}/counts")
+        elif first == 0:
+            spark.createDataFrame([], COUNTS_SCHEMA).write.mode("append").parquet(f"{folder}/counts")
+    counts = spark.read.schema(COUNTS_SCHEMA).parquet(f"{folder}/counts")
     steps = histogram(counts)
     sampled = counts.groupBy(*COLUMN_KEY).agg(
         F.sum("value_rows").alias("rows_sampled"), F.count(F.lit(1)).alias("sampled_values")

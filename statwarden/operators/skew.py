@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.001
 # Below this many rows a key is no burden for one task.
 HOT_ROWS = 1_000_000
-SPREAD = 256
 
 
 def lookup(
@@ -28,7 +27,7 @@ def lookup(
     """``left`` joined (left or inner) with ``right``, which has one row per key.
 
     Rows of hot keys get their match from a broadcast of the few hot ``right``
-    rows and are spread over ``SPREAD`` shuffle keys; all others meet their match
+    rows and are dealt out row by row, over as many tasks as there are; all others meet their match
     in an ordinary shuffle join. The large side is shuffled once.
     """
     if how not in ("left", "inner"):
@@ -45,7 +44,8 @@ def lookup(
     )
     packed = right.select(*keys, F.struct(*payload, F.lit(True).alias("__found")).alias("__match"))
     hot_right = hot.join(packed, keys, "left").select(*keys, F.col("__match").alias("__hot"), F.lit(True).alias("__is_hot"))
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)) + 1
+    # odd, so never the 0 of the other rows
+    spread = F.xxhash64(*spread_by).bitwiseOR(F.lit(1))
     tagged = left.join(F.broadcast(hot_right), keys, "left").withColumn(
         "__salt", F.when(F.col("__is_hot"), spread).otherwise(F.lit(0).cast("bigint"))
     )

@@ -12,20 +12,20 @@ from statwarden.plans.registry import Inputs, query
 from statwarden.sources import documents
 
 OWNER_SQL = """
-totals AS (SELECT object_id, count(*) AS current_rows, count(DISTINCT partition_number) AS partitions
-  FROM partition_rows WHERE index_id IN (0, 1) GROUP BY object_id),
+totals AS (SELECT database_id, object_id, count(*) AS current_rows, count(DISTINCT partition_number) AS partitions
+  FROM partition_rows WHERE index_id IN (0, 1) GROUP BY ALL),
 owner AS (SELECT t.*, s.schema_name FROM cat_tables t JOIN cat_schemas s ON s.database_id = t.database_id AND s.schema_id = t.schema_id)"""
 
 
 def partition_counts(x: Inputs) -> DataFrame:
     """Rows per object, index and partition, as partition statistics give them."""
-    return x.partition_rows.groupBy("object_id", "index_id", "partition_number").agg(F.sum("row_count").cast("bigint").alias("row_count"))
+    return x.partition_rows.groupBy("database_id", "object_id", "index_id", "partition_number").agg(F.sum("row_count").cast("bigint").alias("row_count"))
 
 
 @query(
     "src_partition_rowcount",
-    """SELECT object_id, count(*) AS current_rows, count(DISTINCT (index_id, partition_number)) AS partition_count
-       FROM partition_rows WHERE index_id IN (0, 1) GROUP BY object_id""",
+    """SELECT database_id, object_id, count(*) AS current_rows, count(DISTINCT (index_id, partition_number)) AS partition_count
+       FROM partition_rows WHERE index_id IN (0, 1) GROUP BY ALL""",
     ("partition_rows",),
 )
 def src_partition_rowcount(x: Inputs) -> DataFrame:
@@ -44,10 +44,10 @@ def enumerated(x: Inputs) -> DataFrame:
 
 
 ENUMERATED_SQL = """
-FROM cat_stats st JOIN owner o ON o.object_id = st.object_id
-  LEFT JOIN cat_indexes i ON i.object_id = st.object_id AND i.index_id = st.stats_id
-  LEFT JOIN totals r ON r.object_id = st.object_id
-  LEFT JOIN cat_columns c ON c.object_id = st.object_id AND c.column_id = st.leading_column_id"""
+FROM cat_stats st JOIN owner o ON o.database_id = st.database_id AND o.object_id = st.object_id
+  LEFT JOIN cat_indexes i ON i.database_id = st.database_id AND i.object_id = st.object_id AND i.index_id = st.stats_id
+  LEFT JOIN totals r ON r.database_id = st.database_id AND r.object_id = st.object_id
+  LEFT JOIN cat_columns c ON c.database_id = st.database_id AND c.object_id = st.object_id AND c.column_id = st.leading_column_id"""
 
 
 @query(
@@ -66,13 +66,13 @@ def src_statistic_catalog(x: Inputs) -> DataFrame:
 
 @query(
     "join_inner_catalog",
-    """SELECT o.database_id, o.schema_name, o.table_name, st.stat_name FROM cat_stats st JOIN owner o ON o.object_id = st.object_id""",
+    """SELECT o.database_id, o.schema_name, o.table_name, st.stat_name FROM cat_stats st JOIN owner o ON o.database_id = st.database_id AND o.object_id = st.object_id""",
     ("cat_stats", "cat_tables", "cat_schemas", "partition_rows"),
     (OWNER_SQL,),
 )
 def join_inner_catalog(x: Inputs) -> DataFrame:
     owner = catalog.owned_tables(x.cat_tables, x.cat_schemas)
-    df = catalog.lookup(x.cat_stats, owner, ["object_id"], ["stats_id"], how="inner")
+    df = catalog.lookup(x.cat_stats, owner, catalog.TABLE_KEY, ["stats_id"], how="inner")
     return df.select("database_id", "schema_name", "table_name", "stat_name")
 
 
@@ -135,7 +135,7 @@ def proj_index_family(x: Inputs) -> DataFrame:
          CASE WHEN index_type IS NOT NULL THEN 'INDEX_ASSOCIATED' WHEN has_cs THEN 'STANDALONE_ON_TABLE_WITH_COLUMNSTORE' ELSE 'STANDALONE' END AS statistics_context,
          CASE base_index_type WHEN 5 THEN 'CLUSTERED_COLUMNSTORE' WHEN 1 THEN 'CLUSTERED_ROWSTORE' ELSE 'HEAP' END AS base_storage,
          CASE WHEN index_type IS NOT NULL THEN 'Index' WHEN auto_created THEN 'AutoCreated' ELSE 'UserCreated' END AS statistic_type
-       FROM (SELECT *, max(coalesce(index_type IN (5, 6), false) OR base_index_type IN (5, 6)) OVER (PARTITION BY object_id) AS has_cs FROM fleet)""",
+       FROM (SELECT *, max(coalesce(index_type IN (5, 6), false) OR base_index_type IN (5, 6)) OVER (PARTITION BY database_id, object_id) AS has_cs FROM fleet)""",
     ("fleet",),
 )
 def proj_statistics_context(x: Inputs) -> DataFrame:
@@ -191,12 +191,12 @@ def proj_evidence_status(x: Inputs) -> DataFrame:
 
 HEALTH_SQL = f"""
 health AS (
-  SELECT object_id, index_id, partition_number, count(*) FILTER (state = 1) AS open_rowgroups, count(*) FILTER (state = 2) AS closed_rowgroups,
+  SELECT database_id, object_id, index_id, partition_number, count(*) FILTER (state = 1) AS open_rowgroups, count(*) FILTER (state = 2) AS closed_rowgroups,
     CAST(coalesce(sum(total_rows) FILTER (state IN (1, 2)), 0) AS BIGINT) AS delta_rows,
     CAST(coalesce(sum(total_rows) FILTER (state = 3), 0) AS BIGINT) AS compressed_rows,
     CAST(coalesce(sum(deleted_rows) FILTER (state = 3), 0) AS BIGINT) AS compressed_deleted_rows,
     {pct_cut("coalesce(sum(total_rows) FILTER (state IN (1, 2)), 0)", "coalesce(sum(total_rows - deleted_rows) FILTER (state IN (1, 2, 3)), 0)")} AS delta_percent
-  FROM row_groups GROUP BY object_id, index_id, partition_number)"""
+  FROM row_groups GROUP BY database_id, object_id, index_id, partition_number)"""
 
 
 @query("agg_partition_health", "SELECT * FROM health", ("row_groups",), (HEALTH_SQL,))
@@ -206,29 +206,28 @@ def agg_partition_health(x: Inputs) -> DataFrame:
 
 @query(
     "src_row_groups",
-    """SELECT object_id, index_id, partition_number, state, count(*) AS row_groups, CAST(sum(total_rows) AS BIGINT) AS total_rows,
+    """SELECT database_id, object_id, index_id, partition_number, state, count(*) AS row_groups, CAST(sum(total_rows) AS BIGINT) AS total_rows,
          CAST(sum(deleted_rows) AS BIGINT) AS deleted_rows FROM row_groups GROUP BY ALL""",
     ("row_groups",),
 )
 def src_row_groups(x: Inputs) -> DataFrame:
-    return x.row_groups.groupBy("object_id", "index_id", "partition_number", "state").agg(
+    return x.row_groups.groupBy("database_id", "object_id", "index_id", "partition_number", "state").agg(
         F.count(F.lit(1)).alias("row_groups"), F.sum("total_rows").alias("total_rows"), F.sum("deleted_rows").alias("deleted_rows")
     )
 
 
 HEALTH_FIELDS = [
-    "index_id", "partition_number", "open_rowgroups", "closed_rowgroups", "delta_rows", "compressed_rows", "compressed_deleted_rows", "delta_percent",
+    "object_id", "index_id", "partition_number", "open_rowgroups", "closed_rowgroups", "delta_rows", "compressed_rows", "compressed_deleted_rows", "delta_percent",
 ]
 
 
 def environments(x: Inputs) -> DataFrame:
     """One row per database with its labels and the health of its row-group partitions.
 
-    Object n belongs to database n + 1; an object has a bounded number of partitions.
+    The list of a database has one entry per row-group partition of its tables.
     """
     health = catalog.partition_health(x.row_groups)
-    nested = health.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct(*HEALTH_FIELDS))).alias("health"))
-    nested = nested.select((F.col("object_id") + 1).alias("database_id"), "health")
+    nested = health.groupBy("database_id").agg(F.sort_array(F.collect_list(F.struct(*HEALTH_FIELDS))).alias("health"))
     return catalog.with_environment(x.datasets).join(nested, "database_id", "left")
 
 
@@ -237,8 +236,8 @@ def environments(x: Inputs) -> DataFrame:
     f"""SELECT d.database_id, d.database_name, d.compat_level, d.scoped_legacy, d.writable_primary, d.auto_create_on, d.auto_update_on, d.auto_update_async,
           d.query_store_state, d.database_scoped_maxdop, d.server_maxdop, {EVIDENCE_SQL},
           h.partitions AS health_partitions, h.delta_rows AS health_delta_rows
-        FROM datasets d LEFT JOIN (SELECT object_id, CAST(count(*) AS INT) AS partitions, CAST(sum(delta_rows) AS BIGINT) AS delta_rows FROM health GROUP BY 1) h
-          ON h.object_id + 1 = d.database_id""",
+        FROM datasets d LEFT JOIN (SELECT database_id, CAST(count(*) AS INT) AS partitions, CAST(sum(delta_rows) AS BIGINT) AS delta_rows FROM health GROUP BY 1) h
+          ON h.database_id = d.database_id""",
     ("datasets", "row_groups"),
     (HEALTH_SQL,),
 )
@@ -253,18 +252,18 @@ def src_environment(x: Inputs) -> DataFrame:
 
 @query(
     "join_outer_apply",
-    """SELECT s.s_suppkey AS object_id, a.row_groups, a.total_rows, coalesce(a.total_rows, 0) // 1000 AS thousand_rows
+    """SELECT s.s_suppkey // 3 + 1 AS database_id, s.s_suppkey % 100 AS object_id, a.row_groups, a.total_rows, coalesce(a.total_rows, 0) // 1000 AS thousand_rows
        FROM supplier s LEFT JOIN LATERAL (SELECT count(*) AS row_groups, CAST(sum(total_rows) AS BIGINT) AS total_rows
-         FROM row_groups r WHERE r.object_id = s.s_suppkey AND r.state = 3 HAVING count(*) > 0) a ON true""",
+         FROM row_groups r WHERE r.database_id = s.s_suppkey // 3 + 1 AND r.object_id = s.s_suppkey % 100 AND r.state = 3 HAVING count(*) > 0) a ON true""",
     ("row_groups",),
 )
 def join_outer_apply(x: Inputs) -> DataFrame:
     """A correlated aggregate per object: aggregate by key, then a left join."""
-    per_object = x.row_groups.where("state = 3").groupBy("object_id").agg(
+    per_object = x.row_groups.where("state = 3").groupBy(*catalog.TABLE_KEY).agg(
         F.count(F.lit(1)).alias("row_groups"), F.sum("total_rows").alias("total_rows")
     )
-    objects = x.table("supplier").select(F.col("s_suppkey").alias("object_id"))
-    return objects.join(per_object, "object_id", "left").withColumn(
+    objects = x.table("supplier").selectExpr("s_suppkey div 3 + 1 AS database_id", "s_suppkey % 100 AS object_id")
+    return objects.join(per_object, catalog.TABLE_KEY, "left").withColumn(
         "thousand_rows", F.call_function("div", F.coalesce("total_rows", F.lit(0)), F.lit(1000))
     )
 
@@ -324,12 +323,12 @@ def filter_targets(x: Inputs) -> DataFrame:
 
 @query(
     "join_semi",
-    """SELECT database_id, object_id FROM cat_tables t WHERE EXISTS (SELECT 1 FROM cat_indexes i WHERE i.object_id = t.object_id AND i.index_type IN (5, 6))""",
+    """SELECT database_id, object_id FROM cat_tables t WHERE EXISTS (SELECT 1 FROM cat_indexes i WHERE i.database_id = t.database_id AND i.object_id = t.object_id AND i.index_type IN (5, 6))""",
     ("cat_tables", "cat_indexes"),
 )
 def join_semi(x: Inputs) -> DataFrame:
-    with_columnstore = x.cat_indexes.where(F.col("index_type").isin(5, 6)).select("object_id")
-    return x.cat_tables.join(with_columnstore, "object_id", "left_semi").select("database_id", "object_id")
+    with_columnstore = x.cat_indexes.where(F.col("index_type").isin(5, 6)).select(*catalog.TABLE_KEY)
+    return x.cat_tables.join(with_columnstore, catalog.TABLE_KEY, "left_semi").select("database_id", "object_id")
 
 
 @query(
@@ -346,10 +345,10 @@ def top1_first_violation(x: Inputs) -> DataFrame:
 
 # ---------------------------------------------------------------- contracts
 
-CONTRACT = ["object_id", "column_id", "column_name", "data_type", "is_nullable"]
+CONTRACT = ["database_id", "object_id", "column_id", "column_name", "data_type", "is_nullable"]
 CONTRACT_SQL = """
-expected AS (SELECT object_id, column_id, column_name, data_type, is_nullable FROM cat_expected WHERE wanted),
-actual AS (SELECT object_id, column_id, column_name, data_type, is_nullable FROM cat_columns)"""
+expected AS (SELECT database_id, object_id, column_id, column_name, data_type, is_nullable FROM cat_expected WHERE wanted),
+actual AS (SELECT database_id, object_id, column_id, column_name, data_type, is_nullable FROM cat_columns)"""
 
 
 def contract(x: Inputs) -> tuple[DataFrame, DataFrame]:
@@ -375,17 +374,17 @@ def set_symmetric_diff(x: Inputs) -> DataFrame:
 
 @query(
     "check_schema_contract",
-    """SELECT e.object_id, e.column_name, e.column_id AS ordinal, e.data_type, a.column_id AS actual_ordinal, a.data_type AS actual_type
-       FROM expected e LEFT JOIN actual a ON a.object_id = e.object_id AND a.column_name = e.column_name
+    """SELECT e.database_id || '.' || e.object_id AS table_key, e.column_name, e.column_id AS ordinal, e.data_type, a.column_id AS actual_ordinal, a.data_type AS actual_type
+       FROM expected e LEFT JOIN actual a ON a.database_id = e.database_id AND a.object_id = e.object_id AND a.column_name = e.column_name
        WHERE a.object_id IS NULL OR a.data_type <> e.data_type OR a.column_id <> e.column_id""",
     ("cat_expected", "cat_columns"),
     (CONTRACT_SQL,),
 )
 def check_schema_contract(x: Inputs) -> DataFrame:
     sides = [
-        df.select(F.col("object_id").alias("table_name"), "column_name", F.col("column_id").alias("ordinal"), "data_type") for df in contract(x)
+        df.select(F.concat_ws(".", "database_id", "object_id").alias("table_name"), "column_name", F.col("column_id").alias("ordinal"), "data_type") for df in contract(x)
     ]
-    return checks.schema_mismatches(*sides).withColumnRenamed("table_name", "object_id")
+    return checks.schema_mismatches(*sides).withColumnRenamed("table_name", "table_key")
 
 
 # ---------------------------------------------------------------- inline values, generated rows, documents
@@ -422,8 +421,8 @@ def src_row_generator(x: Inputs) -> DataFrame:
 
 @query(
     "sink_document_build",
-    """SELECT object_id // 500 AS part, '{"part":' || (object_id // 500) || ',"tables":[' || string_agg('{"object_id":' || object_id || ',"table_name":"' || table_name || '"'
-         || CASE WHEN base_index_type IS NULL THEN '' ELSE ',"base_index_type":' || base_index_type END || '}', ',' ORDER BY object_id) || ']}' AS document
+    """SELECT fleet_table_id // 500 AS part, '{"part":' || (fleet_table_id // 500) || ',"tables":[' || string_agg('{"object_id":' || fleet_table_id || ',"table_name":"' || table_name || '"'
+         || CASE WHEN base_index_type IS NULL THEN '' ELSE ',"base_index_type":' || base_index_type END || '}', ',' ORDER BY fleet_table_id) || ']}' AS document
        FROM cat_tables GROUP BY 1""",
     ("cat_tables",),
 )
@@ -432,14 +431,14 @@ def sink_document_build(x: Inputs) -> DataFrame:
 
 
 def table_documents(x: Inputs) -> DataFrame:
-    rows = x.cat_tables.withColumn("part", documents.part_number(F.col("object_id")))
+    rows = x.cat_tables.withColumn("object_id", F.col("fleet_table_id")).withColumn("part", documents.part_number(F.col("object_id")))
     listed = F.sort_array(F.collect_list(F.struct("object_id", "table_name", "base_index_type"))).alias("tables")
     return rows.groupBy("part").agg(listed).select("part", documents.document("part", "tables").alias("document"))
 
 
 @query(
     "src_document_shred",
-    "SELECT object_id // 500 AS part, object_id, table_name, base_index_type FROM cat_tables",
+    "SELECT fleet_table_id // 500 AS part, fleet_table_id AS object_id, table_name, base_index_type FROM cat_tables",
     ("cat_tables",),
 )
 def src_document_shred(x: Inputs) -> DataFrame:

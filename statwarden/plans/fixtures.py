@@ -55,7 +55,7 @@ def _stages(d) -> dict[str, tuple[str, list[dict[str, str]]]]:
             "database_id": "m + 1",
             "database_name": _name("(m + 1)"),
             "schema_name": "'schema_' || CAST(m % 5 AS STRING)",
-            "object_id": "m * 3 + k % 3",
+            "object_id": "(m * 3 + k % 3) % 100",
             "table_name": "'T' || CAST(m * 3 + k % 3 AS STRING)",
             "stats_id": "k",
             "stat_name": "'S' || CAST(k AS STRING)",
@@ -230,12 +230,15 @@ def _stages(d) -> dict[str, tuple[str, list[dict[str, str]]]]:
             "engine_edition": "CASE WHEN case_no = 15 THEN 8 WHEN id % 3 = 0 THEN 2 ELSE 3 END",
         },
     ]
+    # object n of the whole fleet is in database n div 3 + 1; its own id repeats every 100
+    _div3 = d.div("l_suppkey", "3") + " + 1"
     partition_rows = [
-        {"object_id": "l_suppkey", "partition_number": "l_linenumber", "index_id": "l_linenumber % 3", "row_count": "1"},
+        {"database_id": _div3, "object_id": "l_suppkey % 100", "partition_number": "l_linenumber", "index_id": "l_linenumber % 3", "row_count": "1"},
     ]
     row_groups = [
         {
-            "object_id": "l_suppkey",
+            "database_id": _div3,
+            "object_id": "l_suppkey % 100",
             "index_id": "1 + l_linenumber % 2",
             "partition_number": "l_linenumber",
             "state": "CAST(1 + l_orderkey % 4 AS INT)",
@@ -290,7 +293,8 @@ def _stages(d) -> dict[str, tuple[str, list[dict[str, str]]]]:
     cat_stats = [
         {"k": "o_orderkey", "m": "o_custkey"},
         {
-            "object_id": "m * 3 + k % 3",
+            "database_id": "m + 1",
+            "object_id": "(m * 3 + k % 3) % 100",
             "stats_id": "k + 10",
             "stat_name": "'S' || CAST(k AS STRING)",
             "auto_created": "(k % 16 <= 4 AND k % 2 = 0)",
@@ -303,7 +307,8 @@ def _stages(d) -> dict[str, tuple[str, list[dict[str, str]]]]:
     cat_indexes = [
         {"k": "o_orderkey", "m": "o_custkey"},
         {
-            "object_id": "m * 3 + k % 3",
+            "database_id": "m + 1",
+            "object_id": "(m * 3 + k % 3) % 100",
             "index_id": "k + 10",
             "index_name": "'IX_' || CAST(k AS STRING)",
             "index_type": "CAST(CASE WHEN k % 16 IN (5, 6, 7, 8, 14) THEN 1 WHEN k % 16 = 13 THEN "
@@ -318,7 +323,8 @@ def _stages(d) -> dict[str, tuple[str, list[dict[str, str]]]]:
         {
             "database_id": "m + 1",
             "database_name": _name("(m + 1)"),
-            "object_id": "m * 3 + j",
+            "object_id": "(m * 3 + j) % 100",
+            "fleet_table_id": "m * 3 + j",
             "schema_id": "CAST(m % 5 AS INT)",
             "table_name": "'T' || CAST(m * 3 + j AS STRING)",
             "is_ms_shipped": "((m * 3 + j) % 29 = 0)",
@@ -334,7 +340,7 @@ def _stages(d) -> dict[str, tuple[str, list[dict[str, str]]]]:
     ]
     cat_columns = [
         {"m": "c_custkey", "j": d.explode_range(12)},
-        {"object_id": f"m * 3 + {d.div('j', '4')}", "column_id": "CAST(1 + j % 4 AS INT)"},
+        {"database_id": "m + 1", "object_id": f"(m * 3 + {d.div('j', '4')}) % 100", "column_id": "CAST(1 + j % 4 AS INT)"},
         {
             "column_name": "'col_' || CAST(column_id AS STRING)",
             "data_type": d.pick(["'int'", "'nvarchar'", "'datetime2'", "'decimal'"], "j % 4"),
@@ -343,7 +349,7 @@ def _stages(d) -> dict[str, tuple[str, list[dict[str, str]]]]:
     ]
     cat_expected = [
         {"m": "c_custkey", "j": d.explode_range(15)},
-        {"object_id": f"m * 3 + {d.div('j', '5')}", "column_id": "CAST(1 + j % 5 AS INT)"},
+        {"database_id": "m + 1", "object_id": f"(m * 3 + {d.div('j', '5')}) % 100", "column_id": "CAST(1 + j % 5 AS INT)"},
         {
             "column_name": "'col_' || CAST(column_id AS STRING)",
             "data_type": "CASE WHEN (object_id * 4 + column_id) % 89 = 0 THEN 'bigint' ELSE "

@@ -12,6 +12,7 @@ from statwarden.plans.decisions import AS_OF_TIME, with_age
 
 from statwarden.plans.oracle_parts import pct_cut
 from statwarden.plans.registry import Inputs, query
+from statwarden.session import work_folder
 
 # Columns that carry a statistic; every value family occurs.
 PROFILED = {
@@ -333,7 +334,7 @@ def _refresh_sql() -> str:
             if action == "EXCLUDE" or c == "source":
                 continue
             limit = {
-                None: f"least(10000000, {n}) * CAST({HASH_SPACE} AS HUGEINT) // {n}",
+                None: str(HASH_SPACE),
                 "FORCE_FULLSCAN": str(HASH_SPACE),
                 "FORCE_SAMPLE_PERCENT": f"CAST({HASH_SPACE} AS BIGINT) * {percent} // 100",
                 "FORCE_SAMPLE_ROWS": f"least({rows}, {n}) * CAST({HASH_SPACE} AS HUGEINT) // {n}",
@@ -358,6 +359,6 @@ def _refresh_sql() -> str:
 
 @query("prof_refresh_batch", _refresh_sql())
 def prof_refresh_batch(x: Inputs) -> DataFrame:
-    return profile.refresh_batch(refresh_plan(x), {t: x.table(t) for t in PROFILED}, ROW_KEYS)
+    return profile.refresh_batch(refresh_plan(x), {t: x.table(t) for t in PROFILED}, ROW_KEYS, work_folder(x.spark, "refresh"))
 
 

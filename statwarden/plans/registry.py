@@ -28,7 +28,7 @@ class Inputs:
 
     def table(self, name: str) -> DataFrame:
         if name not in self.loaded:
-            self.loaded[name] = tables.load_spread(self.spark, self.sf_dir, name)
+            self.loaded[name] = tables.load(self.spark, self.sf_dir, name)
         return self.loaded[name]
 
     def files(self, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .appName("statwarden")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in {**SESSION_CONF, **START_CONF}.items():
@@ -49,12 +49,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables written by a job.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``. Only a local
-    session may go without that setting.
+    It lies in the shared folder named by ``spark.checkpoint.dir``. Only a session
+    within one process may go without: it gets a folder of its machine, once.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="statwarden-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/statwarden/{name}-{uuid.uuid4().hex}"

@@ -13,21 +13,3 @@ TABLES = (
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A small input of fewer splits than cores, divided by key so that all cores work.
-
-    A large input has more splits than that and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-# Tables with enough rows to be worth dividing, and a column that divides them evenly.
-FACT_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id"}
-
-
-def load_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    df = load(spark, folder, name)
-    return spread(df, FACT_KEYS[name]) if name in FACT_KEYS else df
