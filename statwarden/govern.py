@@ -98,6 +98,7 @@ class Fleet:
     facts: DataFrame
     overrides: DataFrame
     utility_name: str = "GovernanceDb"
+    tables: DataFrame | None = None  # all tables (database_id, database_name, schema_name, table_name), with or without statistics
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,8 @@ class RunPlan:
 
 
 def _stop_if(found: DataFrame, code: int, message: str) -> None:
-    first = found.head(1)
+    """Stops with the first of the rows found, in the order of their columns."""
+    first = found.orderBy(*found.columns).head(1)
     if first:
         raise GovernanceError(code, f"{message}: {first[0]}")
 
@@ -135,8 +137,8 @@ def select_databases(spark: SparkSession, databases: str, fleet: Fleet) -> DataF
     return selection.with_selection_status(scope.effective_scope(chosen, fleet.scope))
 
 
-def resolve_targets(spark: SparkSession, tables: str, facts: DataFrame) -> DataFrame:
-    """Two-part table names in catalog spelling; every name must exist."""
+def resolve_targets(spark: SparkSession, tables: str, known: DataFrame) -> DataFrame:
+    """Two-part table names in catalog spelling; every name must be among the ``known`` tables."""
     request = spark.createDataFrame([(tables,)], "listed string")
     _stop_if(request.where(has_empty_token(F.col("listed"))), 51133, "empty item in table list")
     tokens = request.select(F.explode(list_tokens(F.col("listed"))).alias("token"))
@@ -144,16 +146,17 @@ def resolve_targets(spark: SparkSession, tables: str, facts: DataFrame) -> DataF
     too_many = F.size(F.split("token", r"\.(?![^\[]*\])", -1)) != 2
     _stop_if(tokens.where(parts[1].isNull() | parts[2].isNull() | too_many), 51134, "not a two-part name")
     wanted = tokens.select(parts[2].alias("schema_name"), parts[1].alias("table_name")).distinct()
-    known = facts.where(catalog.visible(c)).select("database_name", "schema_name", "table_name").distinct()
-    _stop_if(catalog.missing_targets(wanted, known).orderBy("schema_name", "table_name"), 51136, "table not found")
+    known = known.select("database_name", "schema_name", "table_name").distinct()
+    _stop_if(catalog.missing_targets(wanted, known), 51136, "table not found")
     return catalog.canonical_targets(wanted, known)
 
 
 def effective_policy(request: GovernanceRequest, settings: DataFrame) -> DataFrame:
     """The single settings row with the parameters of the request."""
-    row = settings.where((c.settings_id == 1) & (c.schema_version == SETTINGS_VERSION)).limit(1)
-    if row.isEmpty():
-        raise GovernanceError(51037, "missing or incompatible settings")
+    row = settings.where((c.settings_id == 1) & (c.schema_version == SETTINGS_VERSION))
+    found = len(row.take(2))
+    if found != 1:
+        raise GovernanceError(51037, "missing or incompatible settings" if not found else "several settings rows")
     named = row.select(
         "update_threshold_percent",
         c.min_modification_count.alias("min_modifications"),
@@ -191,7 +194,7 @@ def govern(request: GovernanceRequest, fleet: Fleet, run_id: str, as_of: datetim
     in_scope = facts
     facts = catalog.keep_targets(skew.keep(facts, included, ["database_id"], ["stats_id"]), targets, sizes=in_scope)
     decided = decided_facts(facts, fleet.overrides, policy, as_of, sizes=in_scope).withColumns(
-        {"run_id": F.lit(run_id), "item_id": c.stats_id, "mode": F.lit(request.mode)}
+        {"run_id": F.lit(run_id), "mode": F.lit(request.mode)}
     )
     deadline = as_of + timedelta(minutes=request.max_minutes) if request.max_minutes else None
     runs = policy.select(
@@ -205,6 +208,8 @@ def govern(request: GovernanceRequest, fleet: Fleet, run_id: str, as_of: datetim
             "run_id": F.lit(run_id),
             "mode": F.lit(request.mode),
             "collection_status": F.when(holds(c.is_excluded), "SKIPPED_EXCLUDED").otherwise("PENDING"),
+            # until a gate is checked
+            "last_scope_status": F.when(holds(c.is_excluded), "EXCLUDED").otherwise("ALLOWED"),
         }
     )
     return RunPlan(request, run_id, as_of, policy, runs, run_databases, in_scope, telemetry.initial(decided, F.lit(request.maxdop)))
@@ -231,8 +236,8 @@ def govern_targeted(
         raise GovernanceError(51131, "name one database when tables are given")
     if not rows[0].ready_for_collection:
         raise GovernanceError(51132, "the database is not ready")
-    facts = fleet.facts.where(c.database_id == rows[0].database_id)
-    return govern(request, fleet, run_id, as_of, resolve_targets(spark, tables, facts))
+    known = fleet.facts.where(catalog.visible(c)) if fleet.tables is None else fleet.tables
+    return govern(request, fleet, run_id, as_of, resolve_targets(spark, tables, known.where(c.database_id == rows[0].database_id)))
 
 
 def second_look(plan: RunPlan, gates: DataFrame, fresh: DataFrame, approved: DataFrame) -> DataFrame:
@@ -240,14 +245,14 @@ def second_look(plan: RunPlan, gates: DataFrame, fresh: DataFrame, approved: Dat
 
     ``fresh`` holds facts read again, with ``fresh_`` identity columns.
     """
-    again = decided_facts(fresh, approved, plan.policy, plan.as_of).withColumns({"run_id": F.lit(plan.run_id), "item_id": c.stats_id})
+    again = decided_facts(fresh, approved, plan.policy, plan.as_of).withColumn("run_id", F.lit(plan.run_id))
     sizes = plan.facts.select("database_id", F.lit(plan.run_id).alias("run_id"))
     return telemetry.revalidated(telemetry.gated(plan.telemetry, gates, sizes=sizes), again)
 
 
 def finish(looked: DataFrame, outcomes: DataFrame, after: DataFrame) -> DataFrame:
-    """Telemetry after execution (run_id, item_id, action_error) and post-check."""
-    df = looked.join(outcomes.select("run_id", "item_id", "action_error"), ["run_id", "item_id"], "left")
+    """Telemetry after execution (``telemetry.STAT_ID``, action_error) and post-check."""
+    df = looked.join(outcomes.select(*telemetry.STAT_ID, "action_error"), telemetry.STAT_ID, "left")
     ran = telemetry.executed(df, c.action_error, c.action_error.isNotNull()).drop("action_error")
     return telemetry.postchecked(ran, after)
 

@@ -159,7 +159,11 @@ def audit_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     old = before.select("configured_name", F.struct(*SCOPE_FIELDS).alias("old"))
     new = after.select("configured_name", F.struct(*SCOPE_FIELDS).alias("new"))
-    df = old.join(new, "configured_name", "full")
+    return audit_steps(old.join(new, "configured_name", "full"))
+
+
+def audit_steps(df: DataFrame) -> DataFrame:
+    """The rows of (configured_name, old, new) that are a change, with its kind."""
     return df.where(~F.col("old").eqNullSafe(F.col("new"))).select(
         "configured_name",
         first_match([(c.old.isNull(), "INSERT"), (c.new.isNull(), "DELETE")], "UPDATE").alias("change_type"),
@@ -167,7 +171,3 @@ def audit_diff(before: DataFrame, after: DataFrame) -> DataFrame:
         "new",
     )
 
-
-def renamed_keys(requests: DataFrame) -> DataFrame:
-    """Requests (old_name, new_name) that would rename a scope key; never allowed."""
-    return requests.where(F.col("old_name") != F.col("new_name")).withColumn("violation", F.lit("51060"))

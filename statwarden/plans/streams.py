@@ -17,28 +17,20 @@ def stream_modification_counter(x: Inputs) -> DataFrame:
     folder = work_folder(x.spark, "changes")
     statistics = profiles.change_statistics(x).withColumn("epoch", F.lit(1))
     stream = modifications.change_stream(x.spark, x.sf_dir, "events.parquet", x.files("events").schema)
-    modifications.run_to_end(modifications.running_counts(stream, statistics, profiles.STATS_KEY, "event_id"), folder)
-    return modifications.current_counts(x.spark, folder, statistics, profiles.STATS_KEY).drop("epoch")
+    modifications.run_to_end(stream, statistics, profiles.STATS_KEY, "event_id", folder)
+    return modifications.current_counts(x.spark, folder, profiles.STATS_KEY).drop("epoch")
 
 
-@query(
-    "stream_scope_audit",
-    """SELECT coalesce(a.configured_name, b.configured_name) AS configured_name,
-         CASE WHEN b.configured_name IS NULL THEN 'INSERT' WHEN a.configured_name IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS change_type,
-         b.is_excluded AS old_excluded, a.is_excluded AS new_excluded, b.enabled AS old_enabled, a.enabled AS new_enabled,
-         b.notes AS old_notes, a.notes AS new_notes, b.approved_by AS old_approved_by, a.approved_by AS new_approved_by,
-         b.revision AS old_revision, a.revision AS new_revision
-       FROM scope_final a FULL JOIN scope b ON a.configured_name = b.configured_name
-       WHERE a.configured_name IS NULL OR b.configured_name IS NULL OR a.revision <> b.revision""",
-    ("datasets", "scope", "scope_requests"),
-    (control.SCOPE_SQL, control.CHANGES_SQL, control.AFTER_SQL),
-)
-def stream_scope_audit(x: Inputs) -> DataFrame:
-    """The differences of the batch audit, written as change files and streamed back.
+_FIELDS = {"is_excluded": "excluded", "enabled": "enabled", "notes": "notes", "approved_by": "approved_by", "revision": "revision"}
 
-    Every entry also has an older change that the newer one replaces.
-    """
-    folder = work_folder(x.spark, "scope_audit")
+
+def _sides(old: str, new: str) -> str:
+    """Old and new fields; ``old`` and ``new`` are templates for one field."""
+    return ", ".join(f"{old.format(f)} AS old_{n}, {new.format(f)} AS new_{n}" for f, n in _FIELDS.items())
+
+
+def scope_changes(x: Inputs) -> DataFrame:
+    """Two changes of each entry that stays, the first of them a deletion for some; one of each that goes."""
     before = x.scope.drop("id")
     final = control.scope_after(x)
     columns = ["configured_name", *scope.SCOPE_FIELDS]
@@ -47,7 +39,26 @@ def stream_scope_audit(x: Inputs) -> DataFrame:
         F.lit(2).alias("seq"), F.lit(True).alias("deleted"), *columns
     )
     older = final.select(F.lit(1).alias("seq"), (F.col("revision") % 2 == 0).alias("deleted"), *columns)
-    present.unionByName(gone).unionByName(older).write.parquet(f"{folder}/changes")
-    changes = modifications.change_stream(x.spark, f"{folder}/changes", "*.parquet", present.schema)
-    scope_audit.run_to_end(x.spark, changes, before, folder)
-    return control.flat_audit(scope_audit.audit_rows(x.spark, folder))
+    return present.unionByName(gone).unionByName(older)
+
+
+@query(
+    "stream_scope_audit",
+    f"""SELECT a.configured_name, CASE WHEN b.configured_name IS NULL THEN 'INSERT' WHEN a.revision % 2 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS change_type,
+          {_sides("b.{}", "CASE WHEN a.revision % 2 <> 0 THEN a.{} END")}
+        FROM scope_final a LEFT JOIN scope b ON a.configured_name = b.configured_name
+        WHERE CASE WHEN a.revision % 2 = 0 THEN b.configured_name IS NOT NULL ELSE b.configured_name IS NULL OR a.revision <> b.revision END
+        UNION ALL
+        SELECT a.configured_name, 'INSERT', {_sides("NULL", "a.{}")} FROM scope_final a WHERE a.revision % 2 = 0
+        UNION ALL
+        SELECT b.configured_name, 'DELETE', {_sides("b.{}", "NULL")} FROM scope b WHERE b.configured_name NOT IN (SELECT configured_name FROM scope_final)""",
+    ("datasets", "scope", "scope_requests"),
+    (control.SCOPE_SQL, control.CHANGES_SQL, control.AFTER_SQL),
+)
+def stream_scope_audit(x: Inputs) -> DataFrame:
+    """Change files streamed into the log, and every change of it."""
+    folder = work_folder(x.spark, "scope_audit")
+    scope_changes(x).write.parquet(f"{folder}/changes")
+    schema = x.spark.read.parquet(f"{folder}/changes").schema
+    scope_audit.run_to_end(modifications.change_stream(x.spark, f"{folder}/changes", "*.parquet", schema), folder)
+    return control.flat_audit(scope_audit.audit_rows(x.spark, folder, x.scope.drop("id"), schema))

@@ -120,7 +120,7 @@ def attempt_error():
 def after_snapshots(x: Inputs) -> DataFrame:
     runs = x.policies.where(F.col("mode") == "ENFORCE").select("policy_id")
     return x.after.crossJoin(F.broadcast(runs)).select(
-        F.col("policy_id").alias("run_id"), item_id(), "after_found", "after_rows", "after_rows_sampled", "after_persisted", "after_last_updated"
+        F.col("policy_id").alias("run_id"), *telemetry.STAT_ID[1:], "after_found", "after_rows", "after_rows_sampled", "after_persisted", "after_last_updated"
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +20,6 @@ def part_number(position: Column) -> Column:
     return F.floor(position / PART_SIZE)
 
 
-def build_lists(rows: DataFrame, owner: Sequence[str], element: Sequence[str], part: Column, name: str) -> DataFrame:
-    """One document per owner and part with the elements as a sorted array."""
-    listed = F.sort_array(F.collect_list(F.struct(*element))).alias(name)
-    return rows.groupBy(*owner, part.alias("part")).agg(listed).select(*owner, "part", document(*owner, name).alias("document"))
-
-
 def shred_lists(documents: DataFrame, schema: str, name: str) -> DataFrame:
     """Elements of the array ``name`` of each document as rows, with the owner fields."""
     parsed = documents.select(F.from_json("document", schema).alias("d"))

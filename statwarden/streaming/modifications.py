@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statwarden.operators.skew import HOT_ROWS, lookup
+
 
 def change_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
     """Changes from the Parquet files of a folder, as they arrive."""
@@ -19,36 +21,25 @@ def change_stream(spark: SparkSession, folder: str, pattern: str, schema: T.Stru
     )
 
 
-SPREAD = 16  # tasks among which the changes of one statistic are divided
-
-
-def running_counts(changes: DataFrame, statistics: DataFrame, keys: Sequence[str], spread_by: str) -> DataFrame:
-    """Changes later than the last refresh, per statistic and refresh epoch.
-
-    ``statistics`` is a static frame (keys, last_updated, epoch). A refresh starts a
-    new epoch, so no state is ever reset. The static side is repeated per slice so
-    that one statistic with very many changes does not meet them in a single task;
-    counts are then combined before the shuffle.
-    """
-    slices = F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))
-    static = statistics.withColumn("__slice", F.explode(slices))
-    sliced = changes.withColumn("__slice", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)))
-    since = sliced.join(static, [*keys, "__slice"], "left").where(F.col("ts") > F.col("last_updated"))
-    return since.groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("counted"))
-
-
-def run_to_end(counts: DataFrame, folder: str) -> None:
-    """Processes what is there and stops. Each batch writes its updated counts.
+def run_to_end(changes: DataFrame, statistics: DataFrame, keys: Sequence[str], spread_by: str, folder: str, hot_rows: int = HOT_ROWS) -> None:
+    """Counts, per batch, the changes later than the last refresh of each statistic and refresh epoch.
 
-    A batch that is run again after a failure overwrites its own folder only.
+    ``statistics`` (keys, last_updated, epoch) is written once and read by every batch. A refresh
+    starts a new epoch. The counts of a batch go to a folder of its own, which a batch
+    that is run again overwrites, so there is no state to keep or to expire. A statistic
+    with very many changes meets them in many tasks.
     """
+    spark, keys = statistics.sparkSession, list(keys)
+    statistics.select(*keys, "last_updated", "epoch").write.parquet(f"{folder}/statistics")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/counts/batch_id={batch_id}")
+        known = spark.read.parquet(f"{folder}/statistics")
+        since = lookup(batch, known, keys, [spread_by], how="inner", hot_rows=hot_rows).where(F.col("ts") > F.col("last_updated"))
+        counts = since.groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("counted"))
+        counts.write.mode("overwrite").parquet(f"{folder}/counts/batch_id={batch_id}")
 
     query = (
-        counts.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{folder}/checkpoint")
+        changes.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(write)
         .start()
@@ -56,9 +47,10 @@ def run_to_end(counts: DataFrame, folder: str) -> None:
     query.awaitTermination()
 
 
-def current_counts(spark: SparkSession, folder: str, statistics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Latest count of each statistic, 0 where no change came after its refresh."""
-    latest = spark.read.parquet(f"{folder}/counts").groupBy(*keys, "epoch").agg(F.max_by("counted", "batch_id").alias("counted"))
-    return statistics.join(latest, [*keys, "epoch"], "left").withColumn(
+def current_counts(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """The count of each statistic over all batches, 0 where no change came after its refresh."""
+    keys = list(keys)
+    total = spark.read.parquet(f"{folder}/counts").groupBy(*keys, "epoch").agg(F.sum("counted").alias("counted"))
+    return spark.read.parquet(f"{folder}/statistics").join(total, [*keys, "epoch"], "left").withColumn(
         "modification_counter", F.coalesce("counted", F.lit(0))
     ).drop("counted")

@@ -2,51 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statwarden.operators import scope
 
+CHANGE = ["seq", "deleted", "configured_name", *scope.SCOPE_FIELDS]
 
-def _version(folder: str, batch_id: int) -> str:
-    return f"{folder}/snapshot/version={batch_id}"
 
+def run_to_end(changes: DataFrame, folder: str) -> None:
+    """Appends change rows (seq, deleted, scope columns) to the log, batch by batch.
 
-def run_to_end(spark: SparkSession, changes: DataFrame, start: DataFrame, folder: str) -> int:
-    """Applies change rows (seq, deleted, scope columns) batch by batch.
-
-    Each batch takes the latest change per entry, compares it with the last snapshot,
-    writes the audit rows and the next snapshot under its own number, so a batch that
-    is run again gives the same result. Returns the number of the last snapshot.
+    A batch that is run again after a failure overwrites its own folder only. Nothing else
+    is kept: what the log means does not depend on how it was cut into batches.
     """
-    columns = ["configured_name", *scope.SCOPE_FIELDS]
-    start.select(*columns).write.mode("overwrite").parquet(_version(folder, -1))
-    last = [-1]
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(_version(folder, batch_id - 1))
-        newest = batch.groupBy("configured_name").agg(F.max(F.struct("seq", "deleted", *scope.SCOPE_FIELDS)).alias("new"))
-        kept = before.join(newest.select("configured_name"), "configured_name", "left_anti")
-        arrived = newest.where(~F.col("new.deleted")).select("configured_name", *[F.col(f"new.{f}").alias(f) for f in scope.SCOPE_FIELDS])
-        after = kept.unionByName(arrived)
-        after.write.mode("overwrite").parquet(_version(folder, batch_id))
-        audit = scope.audit_diff(before, spark.read.parquet(_version(folder, batch_id)))
-        audit.write.mode("overwrite").parquet(f"{folder}/audit/batch_id={batch_id}")
-        last[0] = batch_id
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select(*CHANGE).write.mode("overwrite").parquet(f"{folder}/log/batch_id={batch_id}")
 
     query = (
         changes.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
-        .foreachBatch(apply)
+        .foreachBatch(write)
         .start()
     )
     query.awaitTermination()
-    return last[0]
 
 
-def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/audit")
+def history(spark: SparkSession, folder: str, start: DataFrame, schema) -> DataFrame:
+    """Every state of every entry in order, the one at the start first."""
+    log = spark.read.schema(schema).parquet(f"{folder}/log").select(*CHANGE)
+    first = start.select(F.lit(None).cast(log.schema["seq"].dataType).alias("seq"), F.lit(False).alias("deleted"), "configured_name", *scope.SCOPE_FIELDS)
+    return first.unionByName(log)
+
 
+def audit_rows(spark: SparkSession, folder: str, start: DataFrame, schema) -> DataFrame:
+    """One row per change: each state against the one before it; a rewrite without a change is none."""
+    order = Window.partitionBy("configured_name").orderBy(F.col("seq").asc_nulls_first())
+    state = F.when(~F.col("deleted"), F.struct(*scope.SCOPE_FIELDS))
+    steps = history(spark, folder, start, schema).select("configured_name", "seq", state.alias("new"))
+    steps = steps.withColumn("old", F.lag("new").over(order)).where("seq IS NOT NULL")
+    return scope.audit_steps(steps)
 
-def snapshot(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    return spark.read.parquet(_version(folder, version))
+
+def snapshot(spark: SparkSession, folder: str, start: DataFrame, schema) -> DataFrame:
+    """The scope after all changes."""
+    last = history(spark, folder, start, schema).groupBy("configured_name").agg(
+        F.max(F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), "deleted", F.struct(*scope.SCOPE_FIELDS).alias("state"))).alias("last")
+    )
+    return last.where(~F.col("last.deleted")).select("configured_name", "last.state.*")

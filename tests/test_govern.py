@@ -1,5 +1,6 @@
 """Whole runs through the public functions."""
 
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 import statwarden as sw
 from statwarden.plans import control, workflows
 from statwarden.plans.registry import Inputs
-from statwarden.operators import selection, scope
+from statwarden.operators import scope, selection
+from statwarden.operators.telemetry import STAT_ID
 
 AS_OF = datetime(2024, 1, 15, 12)
 
@@ -111,16 +113,49 @@ def test_enforced_run_to_its_end(fleet, x):
         "fresh_stat_name", "fresh_created_at", "fresh_found",
     )
     looked = sw.second_look(plan, gates, fresh, approved.overrides)
-    outcomes = looked.where("execution_status = 'PENDING'").selectExpr("run_id", "item_id", "IF(stats_id % 50 = 1, 1205, 0) AS action_error")
-    after = x.after.selectExpr("'run-9' AS run_id", "stats_id AS item_id", "after_found", "after_rows", "after_rows_sampled", "after_persisted", "after_last_updated")
+    outcomes = looked.where("execution_status = 'PENDING'").selectExpr(*STAT_ID, "IF(stats_id % 50 = 1, 1205, 0) AS action_error")
+    after = x.after.selectExpr("'run-9' AS run_id", *STAT_ID[1:], "after_found", "after_rows", "after_rows_sampled", "after_persisted", "after_last_updated")
     final = sw.finish(looked, outcomes, after)
     counts = {r.execution_status: r["count"] for r in final.groupBy("execution_status").count().collect()}
     assert counts["SUCCEEDED"] > 0 and "PENDING" not in counts
     assert final.where("execution_status = 'SUCCEEDED' AND postcheck_status IS NULL").isEmpty()
-    summary = sw.summarize(final, plan.run_databases.withColumn("last_scope_status", F.lit("ALLOWED"))).head()
+    summary = sw.summarize(final, plan.run_databases).head()
     assert summary.selected_databases == plan.run_databases.count()
-    expected = "COMPLETED_WITH_ERRORS" if counts.get("FAILED", 0) + counts.get("SKIPPED_REVALIDATION_ERROR", 0) else None
-    assert expected is None or summary.run_status == expected
+    assert counts.get("FAILED", 0) + counts.get("SKIPPED_REVALIDATION_ERROR", 0) > 0
+    assert summary.run_status == "COMPLETED_WITH_ERRORS"
+
+
+def test_ids_that_repeat_in_every_table_keep_the_row_count(fleet, x):
+    """Statistics are numbered 1, 2, ... within each table, tables within each database."""
+    number = "row_number() OVER (PARTITION BY database_id, object_id ORDER BY stat_name) AS stats_id"
+    renumbered = lambda df: df.selectExpr(*[number if col == "stats_id" else col for col in df.columns])
+    some = "database_id IN (20, 21) AND NOT is_ms_shipped AND NOT is_external"
+    facts, fresh = renumbered(fleet.facts.where(some)), renumbered(x.fresh.where(some))
+    plan = sw.govern(sw.GovernanceRequest("Db_20,Db_21", row_floor=0), replace(fleet, facts=facts), "r", AS_OF)
+    planned = plan.telemetry.count()
+    assert planned > plan.telemetry.select("stats_id").distinct().count()
+    gates = plan.run_databases.selectExpr("run_id", "database_id", "'SCOPE_ALLOWED' AS gate_reason", "true AS can_process", "CAST(NULL AS INT) AS gate_error")
+    again = fresh.selectExpr(
+        *x.fleet.columns, "database_id AS fresh_database_id", "schema_name AS fresh_schema_name", "table_name AS fresh_table_name",
+        "fresh_stat_name", "fresh_created_at", "fresh_found",
+    )
+    looked = sw.second_look(plan, gates, again, fleet.overrides)
+    after = renumbered(x.after.where(some)).selectExpr("'r' AS run_id", *STAT_ID[1:], "after_found", "after_rows", "after_rows_sampled", "after_persisted", "after_last_updated")
+    final = sw.finish(looked, looked.selectExpr(*STAT_ID, "0 AS action_error"), after)
+    assert (looked.count(), final.count()) == (planned, planned)
+
+
+def test_several_settings_rows_stop_a_run(fleet):
+    twice = replace(fleet, settings=fleet.settings.union(fleet.settings))
+    with pytest.raises(sw.GovernanceError) as error:
+        sw.govern(sw.GovernanceRequest("Db_20"), twice, "r", AS_OF)
+    assert error.value.code == 51037
+
+
+def test_a_table_without_statistics_is_a_target(fleet, spark):
+    tables = spark.createDataFrame([(20, "Db_20", "bare", "Empty")], "database_id long, database_name string, schema_name string, table_name string")
+    plan = sw.govern_targeted("Db_20", "bare.empty", replace(fleet, tables=tables), "r", AS_OF)
+    assert plan.telemetry.isEmpty()
 
 
 def test_scope_state_machine(x):

@@ -94,3 +94,33 @@ def test_sampling_is_repeatable_and_near_its_share(spark, sf_dir):
     sample = orders.where(row_hash(F.col("o_orderkey")) < percent_threshold(F.lit(20)))
     first, second = {r.o_orderkey for r in sample.collect()}, {r.o_orderkey for r in sample.repartition(7).collect()}
     assert first == second and 0.15 < len(first) / orders.count() < 0.25
+
+
+def test_refresh_of_two_thousand_planned_tables(spark, sf_dir, tmp_path):
+    """Job by job: the plan that is built does not grow with the number of tables."""
+    region = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey")
+    plan = spark.range(2000).selectExpr(
+        "'t' || id AS table_name", "'r_regionkey' AS column_name", "'AUTO' AS collection_method", "CAST(NULL AS DECIMAL(19,6)) AS requested_sample_percent",
+        "CAST(NULL AS BIGINT) AS requested_sample_rows", "CAST(5 AS BIGINT) AS current_rows",
+    )
+    due = plan.where("table_name IN ('t3', 't1500')")
+    tables = {f"t{i}": region for i in range(2000)}
+    keys = {f"t{i}": ["r_regionkey"] for i in range(2000)}
+    got = profile.refresh_batch(due, tables, keys, f"{tmp_path}/few", tables_per_job=500)
+    assert {(r.table_name, r.after_rows_sampled, r.after_steps) for r in got.collect()} == {("t3", 5, 5), ("t1500", 5, 5)}
+    parts = len(got._jdf.queryExecution().optimizedPlan().toString())
+    some = {n: tables[n] for n in list(tables)[:64]}
+    wide = profile.refresh_batch(plan.where("CAST(substring(table_name, 2) AS INT) < 64"), some, keys, f"{tmp_path}/wide", tables_per_job=16)
+    assert wide.where("after_rows_sampled = 5").count() == 64
+    assert len(wide._jdf.queryExecution().optimizedPlan().toString()) < 1.2 * parts
+
+
+def test_default_method_reads_all_rows_or_the_amount_of_the_policy(spark, sf_dir, tmp_path):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    total = orders.count()
+    plan = spark.sql(f"""SELECT 'orders' AS table_name, 'o_custkey' AS column_name, 'AUTO' AS collection_method, CAST(NULL AS DECIMAL(19,6)) AS requested_sample_percent,
+      CAST(NULL AS BIGINT) AS requested_sample_rows, CAST({total} AS BIGINT) AS current_rows""")
+    read = lambda p, name: profile.refresh_batch(p, {"orders": orders}, {"orders": ["o_orderkey"]}, f"{tmp_path}/{name}").head().after_rows_sampled
+    assert read(plan, "all") == total
+    assert read(plan.withColumn("auto_sample_rows", F.lit(None).cast("bigint")), "null") == total
+    assert 0.3 * total < read(plan.withColumn("auto_sample_rows", F.lit(total // 2).cast("bigint")), "half") < 0.7 * total
