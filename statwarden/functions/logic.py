@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,14 +25,15 @@ def first_match(branches: Sequence[tuple[Column, object]], otherwise=None) -> Co
     return chain.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
 
 
-def settled(column: Column) -> Column:
-    """The same value, always worked out where it is defined.
+def settle(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Adds columns that are worked out here and nowhere else.
 
-    Without this the optimizer copies the long expression behind a column into every
-    filter on it, until the generated code is too big to compile. The condition holds
-    for every row; the partition number only keeps the column in its place.
+    The optimizer copies the long expression behind a plain column into every
+    filter on it, until the generated code is too big to compile. It does not look
+    through the elements of an array, so a one-element array keeps the columns in place,
+    while filters on the other columns pass it on their way to the scan.
     """
-    return F.when(F.spark_partition_id() >= 0, column)
+    return df.select("*", F.inline(F.array(F.struct(*[column.alias(name) for name, column in columns.items()]))))
 
 
 class Fields:

@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwarden.functions.logic import Fields, c, expressions, fails, first_match, holds, settled
+from statwarden.functions.logic import Fields, c, expressions, fails, first_match, holds, settle
 from statwarden.functions.numeric import dec, truncated_percent
 from statwarden.operators import thresholds as thr
 
@@ -155,13 +155,12 @@ def _progress_columns() -> list[Column]:
         holds(c.actual_sample_percent < c.low_sample_limit_percent).alias("low_sample_warning"),
         c.dominant_percent.alias("histogram_dominant_percent"),
         c.top3_percent.alias("histogram_top3_percent"),
-        settled(eligibility_reason(c)).alias("ladder_reason"),
     ]
 
 
 def with_ladder(df: DataFrame) -> DataFrame:
     """Governance threshold, ratios, skew class and the first outcome of the ladder."""
-    df = df.select("*", *_ratio_columns()).select("*", *_progress_columns())
+    df = settle(df.select("*", *_ratio_columns()).select("*", *_progress_columns()), {"ladder_reason": eligibility_reason(c)})
     return df.select("*", c.ladder_reason.isin(*ELIGIBLE_REASONS).alias("ladder_eligible"))
 
 
@@ -263,27 +262,25 @@ def persist_choice(f: Fields) -> Column:
 
 
 @expressions
-def _conflict_columns() -> list[Column]:
+def _conflict_columns() -> dict[str, Column]:
     still = c.ladder_eligible & c.row_conflict.isNull()
     conflict = c.persistence == "CONFLICT"
-    return [
-        settled(still & ~conflict).alias("is_eligible"),
-        settled(
-            first_match(
-                [
-                    (c.ladder_eligible & c.row_conflict.isNotNull(), c.row_conflict),
-                    (still & conflict, "PERSISTENCE_CONFLICT_REQUIRES_EXPLICIT_CHOICE"),
-                ],
-                c.ladder_reason,
-            )
-        ).alias("reason"),
-        F.when(c.persistence == "ON", True).when(c.persistence == "OFF", False).alias("d_persist"),
-    ]
+    return {
+        "is_eligible": still & ~conflict,
+        "reason": first_match(
+            [
+                (c.ladder_eligible & c.row_conflict.isNotNull(), c.row_conflict),
+                (still & conflict, "PERSISTENCE_CONFLICT_REQUIRES_EXPLICIT_CHOICE"),
+            ],
+            c.ladder_reason,
+        ),
+        "d_persist": F.when(c.persistence == "ON", True).when(c.persistence == "OFF", False),
+    }
 
 
 def with_persistence(df: DataFrame) -> DataFrame:
     """Final eligibility after row-sample and persistence conflicts."""
-    return df.select("*", persist_choice(c).alias("persistence")).select("*", *_conflict_columns())
+    return settle(df.select("*", persist_choice(c).alias("persistence")), _conflict_columns())
 
 
 @expressions

@@ -27,11 +27,12 @@ def native(x: Inputs, facts: DataFrame | None = None) -> DataFrame:
     return with_age(thresholds.with_native_threshold(x.fleet if facts is None else facts))
 
 
-def joined(x: Inputs, facts: DataFrame | None = None) -> DataFrame:
-    """Facts with winning override, once per policy (three constant rows)."""
+def joined(x: Inputs, facts: DataFrame | None = None, modes: tuple[str, ...] | None = None) -> DataFrame:
+    """Facts with winning override, once per policy (three constant rows) of the given modes."""
+    policies = x.policies if modes is None else x.policies.where(F.col("mode").isin(*modes))
     facts = native(x) if facts is None else facts
     with_override = overrides.with_winning_override(facts, x.overrides, AS_OF_TIME, sizes=x.fleet)
-    return with_override.crossJoin(F.broadcast(decision.complete_policy(x.policies)))
+    return with_override.crossJoin(F.broadcast(decision.complete_policy(policies)))
 
 
 def decided(x: Inputs) -> DataFrame:

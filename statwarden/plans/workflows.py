@@ -103,8 +103,8 @@ def fresh_decisions(x: Inputs) -> DataFrame:
         F.col("database_id").alias("fresh_database_id"), F.col("schema_name").alias("fresh_schema_name"),
         F.col("table_name").alias("fresh_table_name"), "fresh_stat_name", "fresh_created_at", "fresh_found",
     )
-    again = decision.decide(joined(x, with_age(thresholds.with_native_threshold(facts))))
-    return again.where(F.col("mode") == "ENFORCE").select(F.col("policy_id").alias("run_id"), item_id(), "*")
+    again = decision.decide(joined(x, with_age(thresholds.with_native_threshold(facts)), ("ENFORCE",)))
+    return again.select(F.col("policy_id").alias("run_id"), item_id(), "*")
 
 
 def was_run():

@@ -131,3 +131,14 @@ def test_invariants_over_the_fleet(spark, sf_dir):
     assert df.where("collection_method = 'FULLSCAN' AND o_action <> 'FORCE_FULLSCAN'").isEmpty()
     assert df.where("collection_method = 'AUTO' AND persist_option IS NOT NULL").isEmpty()
     df.unpersist()
+
+
+def test_filters_pass_the_decision_on_their_way_to_the_scan(spark, sf_dir):
+    from statwarden.plans import decisions
+    from statwarden.plans.registry import Inputs
+
+    rows = decisions.decided(Inputs(spark, sf_dir)).where("schema_name = 'schema_2' AND is_eligible")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    decided = next(i for i, line in enumerate(plan) if "ladder_reason, CASE" in line)
+    assert any("Filter" in line and "= schema_2" in line for line in plan[decided + 1 :])
+    assert not any("= schema_2" in line for line in plan[:decided])
