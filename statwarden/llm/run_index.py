@@ -14,8 +14,10 @@ On a corpus the index is built in blocks that need nothing from each other:
 2. contexts equal throughout are repeats without further work;
 3. other contexts are shuffled by anchor and indexed in blocks of about ``BLOCK_BYTES``;
    the statistics tell which strings occur elsewhere;
-4. an anchor with more than ``HOT_CONTEXTS`` different contexts would make a large block: its
-   strings are counted one by one by a 128-bit hash instead, which gives the same answer.
+4. an anchor with more than ``HOT_CONTEXTS`` different contexts would make a large block. Its contexts are cut by
+   where the anchor lies in a string, ``WIDTHS`` places together; strings of one such cut share all but
+   width - 1 bytes, whose hash takes the anchor's place, and steps 1 to 3 are run again. Strings
+   of the last cut differ in two bytes, so its blocks are bounded by the alphabet.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` keep everything; equal rows
 repeat each other and are removed whole; matches never cross documents; other columns are kept or not read.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ LENGTH = 200
 GRAM = 32
 BLOCK_BYTES = 256 << 10
 HOT_CONTEXTS = 1000
+WIDTHS = (21, 3)
 # bytes that one vectorised pass takes together; longer texts are cut with overlap
 PASS_BYTES = 1 << 19
 POSITION_BITS = np.uint64(20)
@@ -92,7 +96,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 def anchored(segments: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
     """Runs of neighbouring strings of one anchor in segments laid end to end.
 
-    Gives segment, start in the segment, strings, repeats of the run right after itself, anchor hash and context hash.
+    Gives segment, start in the segment, strings, repeats of the run right after itself, anchor hash, context hash
+    and the anchor's offset from the start.
     """
     raw = np.concatenate(segments)
     sizes = np.array([len(s) for s in segments])
@@ -117,7 +122,8 @@ def anchored(segments: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(fresh)
     copies = np.diff(np.append(head, len(first)))
     seg = seg[head]
-    return seg, begin[head] - begins[seg], strings[head], copies, gram[head].view(np.int64), context[head].view(np.int64)
+    offset = (anchor[first] - begin)[head]
+    return seg, begin[head] - begins[seg], strings[head], copies, gram[head].view(np.int64), context[head].view(np.int64), offset
 
 
 def segmented(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
@@ -136,7 +142,7 @@ def segmented(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int,
         yield group
 
 
-ROWS = "_id long, _h long, anchor long, context long, start long, strings int, copies int"
+ROWS = "_id long, _h long, anchor long, context long, start long, strings int, copies int, offset int"
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -147,9 +153,9 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             parts = []
             for group in segmented(texts, length):
                 owner, at = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-                seg, start, strings, copies, anchor, context = anchored([g[2] for g in group], length)
-                parts.append((ids[owner[seg]], marks[owner[seg]], anchor, context, start + at[seg], strings.astype(np.int32), copies.astype(np.int32)))
-            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.int32)] * 2
+                seg, start, strings, copies, anchor, context, offset = anchored([g[2] for g in group], length)
+                parts.append((ids[owner[seg]], marks[owner[seg]], anchor, context, start + at[seg], *(x.astype(np.int32) for x in (strings, copies, offset))))
+            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.int32)] * 3
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in ROWS.split(", ")])
 
         return one
@@ -241,11 +247,14 @@ def common_prefix(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int
     return common
 
 
+CONTEXT = ("anchor", "start", "strings", "offset", "alone", "kinds")
+
+
 def contexts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the contexts ``wanted``, cut from the whole texts: each text is read once for all of its contexts."""
-    lists = wanted.groupBy("_id", "_h").agg(F.collect_list(F.struct("anchor", "start", "strings", "alone", "kinds")).alias("list"))
+    lists = wanted.groupBy("_id", "_h").agg(F.collect_list(F.struct(*CONTEXT)).alias("list"))
     joined = docs.select(*row_key(), F.col("text").cast("string").alias("text")).join(lists, ["_id", "_h"])
-    names = ("anchor", "start", "strings", "alone", "kinds")
+    names = CONTEXT
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -260,7 +269,7 @@ def contexts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
         return one
 
-    return per_batch(joined, "_id long, _h long, anchor long, start long, strings int, alone boolean, kinds long, bytes binary", make)
+    return per_batch(joined, "_id long, _h long, anchor long, start long, strings int, offset int, alone boolean, kinds long, bytes binary", make)
 
 
 SPANS = "_id long, _h long, span long"
@@ -309,49 +318,64 @@ def indexed(contexts: DataFrame, length: int, block_bytes: int = BLOCK_BYTES) ->
     return ordered.select("_id", "_h", "anchor", "start", "alone", "bytes").mapInArrow(run, SPANS)
 
 
-def counted(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans of repeats by counting strings one by one; for anchors of very many contexts."""
+def cut(contexts: DataFrame, length: int, width: int) -> DataFrame:
+    """Rows like those of ``anchor_rows``: contexts cut by the place of their anchor in a string.
+
+    The strings of a cut have their anchor at ``width`` neighbouring places and
+    share ``length - width + 1`` bytes around it, wherever they occur; the hash of these is the new anchor.
+    """
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = []
-            for id_, mark, start, alone, raw in zip(*(batch.column(c).to_pylist() for c in ("_id", "_h", "start", "alone", "bytes"))):
-                # one pass takes PASS_BYTES; a context is shorter than two strings
+            out = []
+            names = ("_id", "_h", "start", "strings", "offset", "alone", "bytes")
+            for id_, mark, start, strings, offset, alone, raw in zip(*(batch.column(c).to_pylist() for c in names)):
+                # the anchor is at place offset - s of string s
+                first = np.arange(offset // width, (offset - strings + 1) // width - 1, -1)
+                low = np.maximum(0, offset - (first + 1) * width + 1)
+                high = np.minimum(strings - 1, offset - first * width)
+                shared = offset - first * width
                 raw = np.frombuffer(raw, np.uint8)
-                a, b = (Hashes(raw, which).all_of(length).view(np.int64) for which in (0, 1))
-                n = len(a)
-                parts.append((np.full(n, id_), np.full(n, mark), start + np.arange(n), np.full(n, 1 if alone else 2), a, b))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["_id", "_h", "at", "times", "a", "b"])
+                a, b = Hashes(raw, 0), Hashes(raw, 1)
+                keys = a.of(shared, shared + length - width + 1) + first.astype(np.uint64) * np.uint64(BASES[0])
+                whole = b.of(low, high + length)
+                for cells in zip(keys.view(np.int64).tolist(), whole.view(np.int64).tolist(), low.tolist(), high.tolist()):
+                    out.append((id_, mark, cells[0], cells[1], start + cells[2], cells[3] - cells[2] + 1, 1 if alone else 2, offset - cells[2]))
+            types = [pa.int64()] * 5 + [pa.int32()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [f.split()[0] for f in ROWS.split(", ")])
 
         return one
 
-    strings = per_batch(contexts.select("_id", "_h", "start", "alone", "bytes"), "_id long, _h long, at long, times long, a long, b long", make)
-    strings = written(strings, "hot-strings")
-    often = strings.groupBy("a", "b").agg(F.sum("times").alias("n")).where("n > 1").select("a", "b")
-    hit = strings.where("times = 1").join(often, ["a", "b"])
-    return hit.select("_id", "_h", F.shiftleft("at", 32).bitwiseOR(F.col("at") + length).alias("span"))
+    return per_batch(contexts.select("_id", "_h", "start", "strings", "offset", "alone", "bytes"), ROWS, make)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_contexts: int = HOT_CONTEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, hot_contexts: int = HOT_CONTEXTS, block_bytes: int = BLOCK_BYTES, widths: tuple[int, ...] = WIDTHS
+) -> DataFrame:
     """``_id``, ``_h``, ``span``: byte ranges covered by strings of ``length`` bytes that also start elsewhere."""
-    rows = anchor_rows(docs, length)
-    several = rows.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
-    rows = written(rows.join(several, "anchor"), "repeat-anchors")
-    contexts = rows.groupBy("anchor", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("_id", "_h", "start", "strings")).alias("one"))
-    contexts = written(contexts, "repeat-contexts")
-    kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    # contexts that occur twice are repeats throughout
-    twice = contexts.where("n > 1").select("anchor", "context")
-    whole = rows.join(twice, ["anchor", "context"])
-    end = F.col("start") + F.col("strings") * F.col("copies") - 1 + length
-    spans = whole.select("_id", "_h", F.shiftleft("start", 32).bitwiseOR(end.cast("long")).alias("span"))
-    # the others need their bytes, and one of each kind as what they may match
-    mixed = contexts.join(kinds.where("kinds > 1"), "anchor")
-    wanted = mixed.select("one.*", "anchor", (F.col("n") == 1).alias("alone"), "kinds")
-    found = written(contexts_of(docs, wanted, length), "repeat-bytes")
-    cold = indexed(found.where(F.col("kinds") <= hot_contexts), length, block_bytes)
-    hot = counted(found.where(F.col("kinds") > hot_contexts), length)
-    return spans.unionByName(cold).unionByName(hot)
+    rows, spans = anchor_rows(docs, length), []
+    for width in (*widths, None):
+        several = rows.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
+        rows = written(rows.join(several, "anchor"), "repeat-anchors")
+        contexts = rows.groupBy("anchor", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("_id", "_h", "start", "strings", "offset")).alias("one"))
+        contexts = written(contexts, "repeat-contexts")
+        # contexts that occur twice are repeats throughout
+        twice = contexts.where("n > 1").select("anchor", "context")
+        end = F.col("start") + F.col("strings") * F.col("copies") - 1 + length
+        if spans:  # a cut that stands for equal contexts is counted twice, but lies in one place
+            end = F.col("start") + F.col("strings") - 1 + length
+        spans.append(rows.join(twice, ["anchor", "context"]).select("_id", "_h", F.shiftleft("start", 32).bitwiseOR(end.cast("long")).alias("span")))
+        # the others need their bytes, and one of each kind as what they may match
+        kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        wanted = contexts.join(kinds, "anchor").select("one.*", "anchor", (F.col("n") == 1).alias("alone"), "kinds")
+        found = written(contexts_of(docs, wanted, length), "repeat-bytes")
+        is_hot = F.col("kinds") > (hot_contexts if width else 2**62)
+        spans.append(indexed(found.where(~is_hot), length, block_bytes))
+        hot = found.where(is_hot)
+        if not width or hot.isEmpty():
+            break
+        rows = cut(hot, length, width)
+    return reduce(DataFrame.unionByName, spans)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
