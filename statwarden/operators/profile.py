@@ -1,7 +1,9 @@
 """Column profiles: value counts, equal-height histograms, skew, sampled refresh.
 
 Values of all types share one tall shape: whole numbers, booleans, dates and
-instants in ``long_value``, fractions in ``double_value``, text in ``text_value``.
+instants in ``long_value``, fractions in ``double_value``, exact decimals in
+``decimal_value``, text in ``text_value``. Arrays, maps and structs have no order and no
+histogram; ``profiled`` leaves them out and ``skew`` reports them with a status.
 One scan per table feeds all of its profiled columns.
 """
 
@@ -23,21 +25,25 @@ from statwarden.operators.skew import lookup
 
 STEPS = 200  # fixed value: most steps in a histogram
 COLUMN_KEY = ["table_name", "column_name"]
-COUNTS_SCHEMA = "table_name string, column_name string, long_value bigint, double_value double, text_value string, value_rows bigint"
-VALUE = ["long_value", "double_value", "text_value"]
+COUNTS_SCHEMA = "table_name string, column_name string, long_value bigint, double_value double, decimal_value decimal(38,18), text_value string, value_rows bigint"
+VALUE = ["long_value", "double_value", "decimal_value", "text_value"]
+# Decimals keep all their digits: up to 18 after the point, 20 before it.
+DECIMAL = T.DecimalType(38, 18)
 
 
 def _typed_value(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     column = F.col(name)
-    long_value = double_value = text_value = None
+    long_value = double_value = decimal_value = text_value = None
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         long_value = epoch_micros(column)
     elif isinstance(kind, T.DateType):
         long_value = F.unix_date(column)
     elif isinstance(kind, (T.IntegralType, T.BooleanType)):
         long_value = column
-    elif isinstance(kind, (T.FractionalType, T.DecimalType)):
+    elif isinstance(kind, T.DecimalType):
+        decimal_value = column
+    elif isinstance(kind, T.FractionalType):
         double_value = column
     elif isinstance(kind, T.StringType):
         text_value = column
@@ -50,10 +56,17 @@ def _typed_value(df: DataFrame, name: str) -> Column:
     return F.struct(
         part(long_value, "bigint", "long_value"),
         part(double_value, "double", "double_value"),
+        part(decimal_value, DECIMAL, "decimal_value"),
         part(text_value, "string", "text_value"),
     ).alias(name)
 
 
+def profiled(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
+    """The columns, all by default, whose values have a histogram."""
+    ordered = (T.AtomicType,)
+    return [f.name for f in df.schema if (columns is None or f.name in columns) and isinstance(f.dataType, ordered) and not isinstance(f.dataType, T.BinaryType)]
+
+
 def tall(df: DataFrame, table_name: str, columns: Sequence[str], keep: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per table row and column; only the named columns are scanned.
 
@@ -74,7 +87,7 @@ def value_counts(rows: DataFrame) -> DataFrame:
 
 
 def _known() -> Column:
-    return F.col("long_value").isNotNull() | F.col("double_value").isNotNull() | F.col("text_value").isNotNull()
+    return reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in VALUE])
 
 
 def known_values(counts: DataFrame) -> DataFrame:
@@ -92,6 +105,8 @@ def properties(counts: DataFrame) -> DataFrame:
         F.max("long_value").alias("max_long"),
         F.min("double_value").alias("min_double"),
         F.max("double_value").alias("max_double"),
+        F.min("decimal_value").alias("min_decimal"),
+        F.max("decimal_value").alias("max_decimal"),
         F.min("text_value").alias("min_text"),
         F.max("text_value").alias("max_text"),
     )
@@ -118,6 +133,7 @@ def histogram(counts: DataFrame, steps: int = STEPS, rows_per_bucket: int = ROWS
         "step",
         F.col("__high.long_value").alias("high_long"),
         F.col("__high.double_value").alias("high_double"),
+        F.col("__high.decimal_value").alias("high_decimal"),
         F.col("__high.text_value").alias("high_text"),
         F.col("__high.value_rows").alias("equal_rows"),
         (F.col("__rows") - F.col("__high.value_rows")).alias("range_rows"),
@@ -228,7 +244,7 @@ def refresh_batch(
         for table_name, columns in sorted(by_table.items()):
             hashed = tables[table_name].withColumn("__hash", row_hash(*[F.col(c) for c in row_keys[table_name]]))
             keep = {c: F.col("__hash") < limit for c, limit in columns.items() if limit < HASH_SPACE}
-            parts.append(tall(hashed, table_name, sorted(columns), keep))
+            parts.append(tall(hashed, table_name, profiled(hashed, sorted(columns)), keep))
         if parts:
             value_counts(reduce(DataFrame.unionByName, parts)).write.mode("append").parquet(f"{folder}/counts")
         elif first == 0:

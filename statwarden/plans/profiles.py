@@ -14,29 +14,38 @@ from statwarden.plans.oracle_parts import pct_cut
 from statwarden.plans.registry import Inputs, query
 from statwarden.session import work_folder
 
-# Columns that carry a statistic; every value family occurs.
-PROFILED = {
-    "lineitem": ["l_returnflag", "l_quantity", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"],
-    "orders": ["o_custkey", "o_orderdate", "o_totalprice"],
-    "events": ["event_type", "user_id", "value"],
-    "documents": ["lang", "source"],
+# fixed values: every column of the given tables, by kind of value (i whole number, d double, t text, m instant, a array)
+COLUMNS = {
+    "region": "i:r_regionkey t:r_name",
+    "nation": "i:n_nationkey t:n_name i:n_regionkey",
+    "customer": "i:c_custkey t:c_name i:c_nationkey d:c_acctbal t:c_mktsegment",
+    "supplier": "i:s_suppkey t:s_name i:s_nationkey d:s_acctbal",
+    "part": "i:p_partkey t:p_name t:p_brand t:p_type i:p_size d:p_retailprice",
+    "orders": "i:o_orderkey i:o_custkey t:o_orderstatus d:o_totalprice m:o_orderdate t:o_orderpriority",
+    "lineitem": "i:l_orderkey i:l_partkey i:l_suppkey i:l_linenumber d:l_quantity d:l_extendedprice d:l_discount d:l_tax t:l_returnflag t:l_linestatus m:l_shipdate",
+    "events": "i:event_id m:ts i:user_id t:event_type d:value t:props",
+    "documents": "i:doc_id t:text t:lang t:source i:n_chars",
+    "embeddings": "i:vec_id a:embedding i:label",
+    "pages": "i:page_id t:url t:html",
+    "benchmark": "i:item_id t:text",
+    "labels": "i:doc_id i:quality i:toxic",
+    "conversations": "i:conv_id i:turn t:role t:text",
 }
+KINDS = {name: kind for listed in COLUMNS.values() for kind, name in (c.split(":") for c in listed.split())}
+ALL_COLUMNS = {table: [c.split(":")[1] for c in listed.split()] for table, listed in COLUMNS.items()}
+PROFILED = {table: [c for c in names if KINDS[c] != "a"] for table, names in ALL_COLUMNS.items()}
 ROW_KEYS = {
-    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey"],
-    "orders": ["o_orderkey"],
-    "events": ["event_id"],
-    "documents": ["doc_id"],
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"],
+    "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey"], "events": ["event_id"], "documents": ["doc_id"],
+    "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
 }
-LONGS = {"l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "user_id"}
-INSTANTS = {"l_shipdate", "o_orderdate"}
-DOUBLES = {"l_quantity", "l_extendedprice", "o_totalprice", "value"}
 
 
 def tall_rows(x: Inputs) -> DataFrame:
-    """All profiled columns, one scan per table."""
+    """All columns that have an order, one scan per table."""
     rows = None
-    for table, columns in PROFILED.items():
-        part = profile.tall(x.table(table), table, columns)
+    for table in ALL_COLUMNS:
+        part = profile.tall(x.table(table), table, profile.profiled(x.table(table)))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
@@ -46,14 +55,11 @@ def counts(x: Inputs) -> DataFrame:
 
 
 def _value_sql(column: str) -> str:
-    def kind(names, expr):
-        return expr if column in names else "NULL"
-
-    text = column not in LONGS | INSTANTS | DOUBLES
-    as_long = f"epoch_us({column})" if column in INSTANTS else kind(LONGS, column)
+    kind = KINDS[column]
+    as_long = {"i": column, "m": f"epoch_us({column})"}.get(kind, "NULL")
     return (
-        f"CAST({as_long} AS BIGINT) AS long_value, CAST({kind(DOUBLES, column)} AS DOUBLE) AS double_value, "
-        f"CAST({column if text else 'NULL'} AS VARCHAR) AS text_value"
+        f"CAST({as_long} AS BIGINT) AS long_value, CAST({column if kind == 'd' else 'NULL'} AS DOUBLE) AS double_value, "
+        f"CAST(NULL AS DECIMAL(38,18)) AS decimal_value, CAST({column if kind == 't' else 'NULL'} AS VARCHAR) AS text_value"
     )
 
 
@@ -66,7 +72,7 @@ def tall_sql(limit: str = "") -> str:
 
 COUNTS_SQL = (
     f"tall AS ({tall_sql()})",
-    """counts AS (SELECT table_name, column_name, long_value, double_value, text_value, count(*) AS value_rows
+    """counts AS (SELECT table_name, column_name, long_value, double_value, decimal_value, text_value, count(*) AS value_rows
        FROM tall GROUP BY ALL)""",
 )
 
@@ -84,7 +90,7 @@ ranked AS (
   FROM cut),
 {steps_name} AS (
   SELECT table_name, column_name, step,
-    max(long_value) FILTER (rn = 1) AS high_long, max(double_value) FILTER (rn = 1) AS high_double, max(text_value) FILTER (rn = 1) AS high_text,
+    max(long_value) FILTER (rn = 1) AS high_long, max(double_value) FILTER (rn = 1) AS high_double, max(decimal_value) FILTER (rn = 1) AS high_decimal, max(text_value) FILTER (rn = 1) AS high_text,
     CAST(sum(value_rows) FILTER (rn = 1) AS BIGINT) AS equal_rows,
     CAST(sum(value_rows) - sum(value_rows) FILTER (rn = 1) AS BIGINT) AS range_rows,
     count(*) - 1 AS distinct_range
@@ -120,7 +126,7 @@ def prof_histogram_steps(x: Inputs) -> DataFrame:
 )
 def src_histogram(x: Inputs) -> DataFrame:
     """Histograms of one table: only its profiled columns are scanned."""
-    rows = profile.tall(x.table("lineitem"), "lineitem", PROFILED["lineitem"])
+    rows = profile.tall(x.table("lineitem"), "lineitem", profile.profiled(x.table("lineitem")))
     steps = profile.histogram(profile.value_counts(rows))
     return steps.select("column_name", "step", "equal_rows", "range_rows", "distinct_range")
 
@@ -154,7 +160,7 @@ SELECT c.table_name, c.column_name, p.available AS properties_available,
   CASE WHEN s IS NULL THEN 'CAPABILITY_UNKNOWN' WHEN NOT s THEN 'NOT_SUPPORTED_ON_THIS_BUILD'
        WHEN NOT p.available THEN 'STATISTICS_PROPERTIES_UNAVAILABLE' WHEN coalesce(observed_steps, 0) = 0 THEN 'NO_HISTOGRAM_ROWS'
        ELSE 'AVAILABLE' END AS histogram_status
-FROM (SELECT DISTINCT table_name, column_name FROM counts) c
+FROM (SELECT DISTINCT table_name, column_name FROM counts UNION ALL SELECT 'embeddings', 'embedding') c
 CROSS JOIN LATERAL (SELECT c.column_name <> 'lang' AS available,
   CASE c.column_name WHEN 'o_totalprice' THEN NULL WHEN 'value' THEN false ELSE true END AS s) p
 LEFT JOIN summary USING (table_name, column_name) LEFT JOIN top3 USING (table_name, column_name)"""
@@ -162,8 +168,8 @@ LEFT JOIN summary USING (table_name, column_name) LEFT JOIN top3 USING (table_na
 
 @query("prof_skew", SKEW_SQL, ctes=SUMMARY_SQL)
 def prof_skew(x: Inputs) -> DataFrame:
-    """Skew per column; three columns stand for missing properties and capabilities."""
-    catalog = column_catalog(x, PROFILED).select(
+    """Skew per column; three columns stand for missing properties and capabilities. An array has no histogram rows."""
+    catalog = column_catalog(x, ALL_COLUMNS).select(
         "table_name", "column_name", (F.col("column_name") != "lang").alias("properties_available")
     )
     supported = F.when(F.col("column_name") == "o_totalprice", F.lit(None)).otherwise(F.col("column_name") != "value")
@@ -175,7 +181,7 @@ def prof_skew(x: Inputs) -> DataFrame:
     """SELECT table_name, column_name, CAST(sum(value_rows) AS BIGINT) AS stats_rows,
          CAST(coalesce(sum(value_rows) FILTER (k), 0) AS BIGINT) AS known_rows, count(*) FILTER (k) AS distinct_values,
          min(long_value) AS min_long, max(long_value) AS max_long, min(double_value) AS min_double, max(double_value) AS max_double,
-         min(text_value) AS min_text, max(text_value) AS max_text
+         min(decimal_value) AS min_decimal, max(decimal_value) AS max_decimal, min(text_value) AS min_text, max(text_value) AS max_text
        FROM (SELECT *, coalesce(CAST(long_value AS VARCHAR), CAST(double_value AS VARCHAR), text_value) IS NOT NULL AS k FROM counts)
        GROUP BY ALL""",
     ctes=COUNTS_SQL,
@@ -228,12 +234,12 @@ def prof_fullscan(x: Inputs) -> DataFrame:
 
 @query(
     "src_table_rowcount",
-    " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS current_rows FROM {t}" for t in [*PROFILED, "customer", "pages"]),
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS current_rows FROM {t}" for t in ALL_COLUMNS),
 )
 def src_table_rowcount(x: Inputs) -> DataFrame:
     """Rows per physical file, then per table; parquet footers answer the counts."""
     total = None
-    for table in [*PROFILED, "customer", "pages"]:
+    for table in ALL_COLUMNS:
         per_file = x.files(table).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
         part = per_file.agg(F.sum("rows").alias("current_rows")).select(F.lit(table).alias("table_name"), "current_rows")
         total = part if total is None else total.unionByName(part)

@@ -124,3 +124,12 @@ def test_default_method_reads_all_rows_or_the_amount_of_the_policy(spark, sf_dir
     assert read(plan, "all") == total
     assert read(plan.withColumn("auto_sample_rows", F.lit(None).cast("bigint")), "null") == total
     assert 0.3 * total < read(plan.withColumn("auto_sample_rows", F.lit(total // 2).cast("bigint")), "half") < 0.7 * total
+
+
+def test_decimals_keep_their_digits_and_arrays_have_no_histogram(spark):
+    df = spark.sql("SELECT CAST(v AS DECIMAL(20,2)) AS d, array(v) AS a FROM VALUES (9007199254740992.01), (9007199254740992.02), (-1.5), (NULL) t(v)")
+    assert profile.profiled(df) == ["d"]
+    counts = profile.value_counts(profile.tall(df, "t", profile.profiled(df)))
+    steps = profile.histogram(counts).orderBy("step").collect()
+    assert [str(s.high_decimal.normalize()) for s in steps] == ["-1.5", "9007199254740992.01", "9007199254740992.02"]
+    assert profile.properties(counts).head().distinct_values == 3
