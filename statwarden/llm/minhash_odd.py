@@ -7,9 +7,11 @@
    BITS / 2 * (1 - exp(-2 * d / BITS)) ones when d samples differ, so its population count tells high similarities closely.
 3. Classes that share a key are compared: first each with the smallest of its bucket. Pairs
    whose sketches are near enough are confirmed on the full sets, and links give components.
-4. Within buckets that still hold several components, each class is then compared with those
-   of other components and its nearest one is confirmed; last all pairs that are
-   left. So a group of copies costs a link per member, and no pair is left out.
+4. Classes of buckets that still hold several components are compared across them, in whatever bucket: two sets that reach
+   the threshold share one of their rarest shingles, so texts that have only a common passage do not meet.
+   Odd sketches of the whole sets are compared first: their exclusive-or never has more ones than the sets
+   have different shingles, so this drops no link. Of each class the nearest one is confirmed, last all pairs that
+   are left. So a group of copies costs a link per member, and no pair is left out.
 
 At similarity 0.75 a pair shares no key with probability (1 - 0.75**5)**32 < 0.0002; the sketch limit
 lies four standard deviations below the threshold.
@@ -35,7 +37,7 @@ from statwarden.llm.registry import query, table
 from statwarden.llm.shared import TwoGenerations, per_batch, written
 
 SHINGLE, PERCENT = 5, 75
-BANDS, ROWS, BITS = 32, 5, 512
+BANDS, ROWS, BITS, SET_BITS = 32, 5, 512, 1024
 SAMPLES = BANDS * ROWS
 # Four standard deviations of the estimate, that of the samples and that of the sketch together, below the threshold.
 SLACK = 0.16
@@ -90,6 +92,12 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def set_sketch(found: np.ndarray) -> np.ndarray:
+    """Bits toggled once by each shingle of a set."""
+    odd = np.bincount((mix(found + FACTORS[0]) % np.uint64(SET_BITS)).astype(np.int64), minlength=SET_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketch_limit(percent: int = PERCENT, slack: float = SLACK) -> int:
     """The most ones in the exclusive-or of two sketches that are still compared."""
     differ = 2 * SAMPLES * (1 - (percent / 100 - slack))
@@ -107,13 +115,13 @@ def _word_hashes():
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id (a number for null), hash of the text, n_shingles, digest of the set, band keys and sketch."""
+    """doc_id (a number for null), hash of the text, n_shingles, digest of the set, band keys and both sketches."""
 
     def make():
         hashes = _word_hashes()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, digests, bands, sketches = [], [], [], []
+            sizes, digests, bands, sketches, parities = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(hashes(text))
                 sizes.append(len(found))
@@ -121,12 +129,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 least = samples(found)
                 bands.append(band_keys(least) if len(found) else None)
                 sketches.append(odd_sketch(least) if len(found) else None)
-            arrays = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_h"), *arrays], ["doc_id", "_h", "n_shingles", "digest", "bands", "sketch"])
+                parities.append(set_sketch(found) if len(found) else None)
+            arrays = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_h"), *arrays], ["doc_id", "_h", "n_shingles", "digest", "bands", "sketch", "parity"])
 
         return one
 
-    return per_batch(numbered(docs), "doc_id long, _h long, n_shingles long, digest binary, bands array<long>, sketch array<long>", make)
+    return per_batch(numbered(docs), "doc_id long, _h long, n_shingles long, digest binary, bands array<long>, sketch array<long>, parity array<long>", make)
 
 
 def number() -> Column:
@@ -155,21 +164,25 @@ def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["node"])
 
 
-def near(left: str, right: str) -> Column:
-    """Ones in the exclusive-or of two sketches."""
-    words = [F.bit_count(F.get(F.col(f"{left}.sketch"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{right}.sketch"), F.lit(i)))) for i in range(BITS // 64)]
+def apart(field: str, bits: int) -> Column:
+    """Ones in the exclusive-or of a sketch of ``of_a`` and that of ``of_b``."""
+    words = [F.bit_count(F.get(F.col(f"of_a.{field}"), F.lit(i)).bitwiseXOR(F.get(F.col(f"of_b.{field}"), F.lit(i)))) for i in range(bits // 64)]
     return reduce(lambda x, y: x + y, words)
 
 
-def fitting(left: Column, right: Column, percent: int = PERCENT) -> Column:
-    """Whether two sets of these sizes can reach the threshold."""
-    return (F.least(left, right) * 100 >= F.greatest(left, right) * percent)
+def possible(percent: int) -> Column:
+    """Whether ``of_a`` and ``of_b`` can reach the threshold, by their sizes and the sketches of their sets."""
+    a, b = F.col("of_a.n_shingles"), F.col("of_b.n_shingles")
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (apart("parity", SET_BITS) * (100 + percent) <= (a + b) * (100 - percent))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets reach the threshold."""
+    """The ``pairs`` (a, b) whose full sets reach the threshold; the sets are read from the whole texts."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(full_sets(docs, nodes.join(classes.select("node", "digest"), "node")), "near-sets")
+    return linked(pairs, written(full_sets(docs, nodes.join(classes.select("node", "digest"), "node")), "near-sets"), percent)
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     left, right = (sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")) for end in ("a", "b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -185,54 +198,68 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
 
 def with_sketches(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow the threshold."""
-    left, right = (facts.select(F.col("node").alias(end), F.struct("n_shingles", "sketch").alias(f"of_{end}")) for end in ("a", "b"))
+    left, right = (facts.select(F.col("node").alias(end), F.struct("n_shingles", "sketch", "parity").alias(f"of_{end}")) for end in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(fitting(F.col("of_a.n_shingles"), F.col("of_b.n_shingles"), percent) & (near("of_a", "of_b") <= sketch_limit(percent))).select("a", "b")
+    return both.where(possible(percent) & (apart("sketch", BITS) <= sketch_limit(percent))).select("a", "b")
 
 
-def across(buckets: DataFrame, labels: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of one bucket and different components that sizes and sketches allow, with their distance.
+def open_classes(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Classes of buckets that hold several components."""
+    marked = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    several = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return marked.join(several, "key").select("node").distinct()
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """The first shingles of each set, the rarest first: node, size, shingle, ``probe`` and ``index``.
 
-    Buckets of one component are dropped first; the others are cut by size, as
-    sets of a pair differ by at most the threshold: a size meets its own step and the next.
+    Of two sets that reach the threshold, the larger one's first size - ceil(t * size) + 1 shingles
+    and the smaller one's first size - ceil(2 * t / (1 + t) * size) + 1 have one in common. What many texts share comes last.
     """
-    marked = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rows = marked.join(open_, "key").join(facts, "node")
-    step = F.floor(F.log("n_shingles") / math.log(100 / percent)).cast("int")
-    rows = rows.select("key", "label", F.struct("node", "n_shingles", "sketch").alias("x"), step.alias("step"))
-    left = rows.select("key", "step", F.col("label").alias("label_a"), F.col("x").alias("of_a"))
-    right = rows.select("key", F.explode(F.array(F.col("step") - 1, F.col("step"))).alias("step"), F.col("label").alias("label_b"), F.col("x").alias("of_b"), F.col("step").alias("own"))
-    both = left.join(right, ["key", "step"]).where(
-        (F.col("label_a") != F.col("label_b"))
-        & ((F.col("own") > F.col("step")) | (F.col("of_a.node") < F.col("of_b.node")))  # a pair of one step once
-        & fitting(F.col("of_a.n_shingles"), F.col("of_b.n_shingles"), percent)
-        & (near("of_a", "of_b") <= sketch_limit(percent))
-    )
-    return both.select(F.col("of_a.node").alias("a"), F.col("of_b.node").alias("b"), near("of_a", "of_b").alias("distance"))
+    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    ordered = each.join(held, "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("order"))
+    probe = F.expr(f"size - (size * {percent} + 99) div 100 + 1").cast("int")
+    index = F.expr(f"size - (size * {2 * percent} + {99 + percent}) div {100 + percent} + 1").cast("int")
+    first = ordered.select("node", "size", index.alias("index"), F.posexplode(F.slice("order", F.lit(1), probe)).alias("at", "s"))
+    return first.select("node", "size", "s.shingle", (F.col("at") < F.col("index")).alias("index"))
+
+
+def across(rare: DataFrame, labels: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a rare shingle and can reach the threshold."""
+    known = facts.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n_shingles", "parity")
+    rows = rare.join(known, "node")
+    left = rows.select("shingle", F.struct("node", "label", "n_shingles", "parity").alias("of_a"))
+    right = rows.where("index").select("shingle", F.struct("node", "label", "n_shingles", "parity").alias("of_b"))
+    larger = (F.col("of_a.n_shingles") > F.col("of_b.n_shingles")) | ((F.col("of_a.n_shingles") == F.col("of_b.n_shingles")) & (F.col("of_a.node") < F.col("of_b.node")))
+    both = left.join(right, "shingle").where((F.col("of_a.label") != F.col("of_b.label")) & larger & possible(percent))
+    return both.select(F.col("of_a.node").alias("a"), F.col("of_b.node").alias("b"), apart("parity", SET_BITS).alias("distance"))
 
 
 def resolved(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: its number, hash of the text, n_shingles and its component's least number."""
     signed = written(signatures(docs), "near-signatures")
-    first = F.first(F.struct("n_shingles", "bands", "sketch")).alias("x")  # equal for all rows of a digest
+    first = F.first(F.struct("n_shingles", "bands", "sketch", "parity")).alias("x")  # equal for all rows of a digest
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), first)
     classes = written(classes.select("digest", "node", "x.*"), "near-classes")
-    facts = classes.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    facts = classes.select("node", "n_shingles", "sketch", "parity").dropDuplicates(["node"])
     buckets = written(bucket_rows(classes), "near-buckets")
     stars = buckets.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(written(with_sketches(stars, facts, percent), "near-pairs"), docs, classes, percent)
     labels = components(links)
-    rest = buckets.select("key", "node")
-    # the nearest class of another component, then every pair that is left
-    pairs = across(rest, labels, facts, percent)
-    ends = pairs.select("a", "b", "distance", F.explode(F.array("a", "b")).alias("node"))
-    best = ends.groupBy("node").agg(F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    # what stars left open: the nearest class of another component, then every pair that is left
+    open_ = open_classes(buckets.select("key", "node"), labels).join(classes.select("node", "digest"), "node")
+    sets = written(full_sets(docs, open_), "near-open-sets")
+    rare = written(rare_shingles(sets, percent), "near-rare")
     for step in ("nearest", "left"):
-        chosen = written(best if step == "nearest" else across(rest, labels, facts, percent).select("a", "b").distinct(), f"near-{step}")
+        pairs = across(rare, labels, facts, percent)
+        if step == "nearest":
+            ends = pairs.select("a", "b", "distance", F.explode(F.array("a", "b")).alias("node"))
+            pairs = ends.groupBy("node").agg(F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b")
+        chosen = written(pairs.select("a", "b").distinct(), f"near-{step}")
         if chosen.isEmpty():
             break
-        labels = components(confirmed(chosen, docs, classes, percent), labels)
+        labels = components(linked(chosen, sets, percent), labels)
     of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
     out = signed.select("doc_id", "_h", "n_shingles", "digest").join(of_class, "digest", "left")
     return out.select("doc_id", "_h", "n_shingles", F.coalesce("component", "doc_id").alias("component"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql.types import StructType
 # ASCII white space of the contracts, as a Java and RE2 class and as bytes
 BLANK = r"[\x20\x09-\x0D]+"
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
+ROOT = str(Path(__file__).resolve().parents[2])
 # One Arrow batch holds at most so many rows and bytes: bounds a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -22,6 +25,10 @@ def settings(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # Python workers import this package by name, wherever the driver was started
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
 
 
