@@ -189,6 +189,11 @@ def govern(request: GovernanceRequest, fleet: Fleet, run_id: str, as_of: datetim
     _stop_if(included.where("NOT ready_for_collection").select("database_name"), 51033, "database not ready")
     if request.mode == "ENFORCE":
         _stop_if(included.where(~holds(c.enabled)).select("database_name"), 51036, "database not approved for enforcement")
+    if targets is not None:
+        names = [r.database_name for r in included.select("database_name").take(2)]
+        if len(names) != 1:
+            raise GovernanceError(51122, "targets need exactly one resolved database")
+        _stop_if(targets.where(c.database_name != names[0]).select("database_name"), 51123, "a target is in another database")
     policy = effective_policy(request, fleet.settings)
     facts = fleet.facts.where(catalog.visible(c) & catalog.in_statistics_scope(c, request.statistics_scope))
     in_scope = facts
@@ -250,6 +255,12 @@ def second_look(plan: RunPlan, gates: DataFrame, fresh: DataFrame, approved: Dat
     return telemetry.revalidated(telemetry.gated(plan.telemetry, gates, sizes=sizes), again)
 
 
+def within_window(plan: RunPlan, looked: DataFrame, costs: DataFrame) -> DataFrame:
+    """Telemetry with the work left out that the time limit of the request does not reach; zero minutes is no limit."""
+    minutes = plan.request.max_minutes
+    return telemetry.cut_off(looked, costs, minutes * 60 if minutes else None)
+
+
 def finish(looked: DataFrame, outcomes: DataFrame, after: DataFrame) -> DataFrame:
     """Telemetry after execution (``telemetry.STAT_ID``, action_error) and post-check."""
     df = looked.join(outcomes.select(*telemetry.STAT_ID, "action_error"), telemetry.STAT_ID, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,12 @@ def initial_status(mode: Column, eligible: Column, can_execute: Column) -> Colum
     )
 
 
-def window_cutoff(items: DataFrame, budget: str = "budget_seconds", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Soft deadline: items (run_id, item_id, cost_seconds) start in id order until the
+def window_cutoff(
+    items: DataFrame, budget: str = "budget_seconds", rows_per_bucket: int = ROWS_PER_BUCKET, order: Sequence[str] = ("item_id",)
+) -> DataFrame:
+    """Soft deadline: items (run_id, cost_seconds and the columns of ``order``) start in order until the
     costs before them use up the budget; the rest is not started. NULL = no limit."""
-    df = rows_before(items, ["run_id"], ["item_id"], "cost_seconds", "seconds_before", rows_per_bucket)
+    df = rows_before(items, ["run_id"], order, "cost_seconds", "seconds_before", rows_per_bucket)
     late = holds(F.col("seconds_before") >= F.col(budget))
     return df.select(
         "*",

@@ -145,6 +145,38 @@ def test_ids_that_repeat_in_every_table_keep_the_row_count(fleet, x):
     assert (looked.count(), final.count()) == (planned, planned)
 
 
+def test_deadline_leaves_out_what_it_does_not_reach(fleet, x):
+    plan = sw.govern(sw.GovernanceRequest("Db_20,Db_21", row_floor=0, max_minutes=1), fleet, "r", AS_OF)
+    work = plan.telemetry.withColumn("execution_status", F.when(F.col("can_execute"), "PENDING").otherwise(F.col("execution_status")))
+    costs = work.selectExpr(*STAT_ID, "stats_id % 3 * 10 AS cost_seconds")
+    got = {tuple(r[:3]): r[3] for r in sw.within_window(plan, work, costs).select(*STAT_ID[1:], "execution_status").collect()}
+    used = 0
+    for r in sorted(work.select(*STAT_ID[1:], "execution_status").collect()):
+        if r.execution_status == "PENDING":
+            assert got[tuple(r[:3])] == ("NOT_STARTED_WINDOW" if used >= 60 else "PENDING")
+            used += r.stats_id % 3 * 10
+        else:
+            assert got[tuple(r[:3])] == r.execution_status
+    assert used > 60 and "NOT_STARTED_WINDOW" in got.values()
+
+
+def test_targets_are_of_the_one_resolved_database(fleet, spark):
+    targets = spark.createDataFrame([("Db_21", "s", "t")], "database_name string, schema_name string, table_name string")
+    for databases, code in (("Db_20,Db_21", 51122), ("Db_20", 51123)):
+        with pytest.raises(sw.GovernanceError) as error:
+            sw.govern(sw.GovernanceRequest(databases), fleet, "r", AS_OF, targets)
+        assert error.value.code == code
+
+
+def test_proposed_work_without_a_command_is_reported(fleet):
+    from statwarden.operators.telemetry import missing_commands
+
+    rows = sw.govern(sw.GovernanceRequest("Db_20", row_floor=0), fleet, "r", AS_OF).telemetry
+    assert missing_commands(rows).isEmpty()
+    bare = missing_commands(rows.withColumn("recommended_command", F.lit(None).cast("string")))
+    assert {r.violation for r in bare.collect()} == {"51039"} and bare.count() == rows.where("can_execute").count()
+
+
 def test_several_settings_rows_stop_a_run(fleet):
     twice = replace(fleet, settings=fleet.settings.union(fleet.settings))
     with pytest.raises(sw.GovernanceError) as error:
