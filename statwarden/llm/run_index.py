@@ -318,8 +318,11 @@ def indexed(contexts: DataFrame, length: int, block_bytes: int = BLOCK_BYTES) ->
     return ordered.select("_id", "_h", "anchor", "start", "alone", "bytes").mapInArrow(run, SPANS)
 
 
+CUT_ROWS = f"{ROWS}, bytes binary"
+
+
 def cut(contexts: DataFrame, length: int, width: int) -> DataFrame:
-    """Rows like those of ``anchor_rows``: contexts cut by the place of their anchor in a string.
+    """Rows like those of ``anchor_rows``, with their bytes: contexts cut by the place of their anchor in a string.
 
     The strings of a cut have their anchor at ``width`` neighbouring places and
     share ``length - width + 1`` bytes around it, wherever they occur; the hash of these is the new anchor.
@@ -340,13 +343,13 @@ def cut(contexts: DataFrame, length: int, width: int) -> DataFrame:
                 keys = a.of(shared, shared + length - width + 1) + first.astype(np.uint64) * np.uint64(BASES[0])
                 whole = b.of(low, high + length)
                 for cells in zip(keys.view(np.int64).tolist(), whole.view(np.int64).tolist(), low.tolist(), high.tolist()):
-                    out.append((id_, mark, cells[0], cells[1], start + cells[2], cells[3] - cells[2] + 1, 1 if alone else 2, offset - cells[2]))
-            types = [pa.int64()] * 5 + [pa.int32()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [f.split()[0] for f in ROWS.split(", ")])
+                    out.append((id_, mark, cells[0], cells[1], start + cells[2], cells[3] - cells[2] + 1, 1 if alone else 2, offset - cells[2], raw[cells[2] : cells[3] + length].tobytes()))
+            types = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [f.split()[0] for f in CUT_ROWS.split(", ")])
 
         return one
 
-    return per_batch(contexts.select("_id", "_h", "start", "strings", "offset", "alone", "bytes"), ROWS, make)
+    return per_batch(contexts.select("_id", "_h", "start", "strings", "offset", "alone", "bytes"), CUT_ROWS, make)
 
 
 def repeated_spans(
@@ -355,9 +358,10 @@ def repeated_spans(
     """``_id``, ``_h``, ``span``: byte ranges covered by strings of ``length`` bytes that also start elsewhere."""
     rows, spans = anchor_rows(docs, length), []
     for width in (*widths, None):
+        bytes_ = ["bytes"] if spans else []  # cuts have theirs, documents are not read again
         several = rows.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
         rows = written(rows.join(several, "anchor"), "repeat-anchors")
-        contexts = rows.groupBy("anchor", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("_id", "_h", "start", "strings", "offset")).alias("one"))
+        contexts = rows.groupBy("anchor", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("_id", "_h", "start", "strings", "offset", *bytes_)).alias("one"))
         contexts = written(contexts, "repeat-contexts")
         # contexts that occur twice are repeats throughout
         twice = contexts.where("n > 1").select("anchor", "context")
@@ -368,7 +372,7 @@ def repeated_spans(
         # the others need their bytes, and one of each kind as what they may match
         kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
         wanted = contexts.join(kinds, "anchor").select("one.*", "anchor", (F.col("n") == 1).alias("alone"), "kinds")
-        found = written(contexts_of(docs, wanted, length), "repeat-bytes")
+        found = written(wanted if bytes_ else contexts_of(docs, wanted, length), "repeat-bytes")
         is_hot = F.col("kinds") > (hot_contexts if width else 2**62)
         spans.append(indexed(found.where(~is_hot), length, block_bytes))
         hot = found.where(is_hot)
