@@ -41,7 +41,7 @@ BANDS, ROWS, BITS, SET_BITS = 32, 5, 512, 1024
 SAMPLES = BANDS * ROWS
 # Four standard deviations of the estimate, that of the samples and that of the sketch together, below the threshold.
 SLACK = 0.16
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 # rows without doc_id get numbers from here on, by their text
 NO_ID = 2**62
 

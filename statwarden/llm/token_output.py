@@ -35,7 +35,7 @@ END_ID = 2
 # a shard is closed at so many ids; a single document may exceed it
 SHARD_IDS = 1 << 19
 BLOCK = 512
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 # letters whose lower case and splitting are the same in Python and in the library, with closing marks
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
