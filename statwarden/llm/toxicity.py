@@ -13,14 +13,14 @@ recursions run over all pieces of a batch's documents at once.
 Training reads at most ``PER_CLASS`` texts of each class; every document is tagged over its whole text.
 
 Defined cases: null text counts as empty; a text without words gets the calibrated score of no toxic token;
-equal rows get equal rows; without labels of both classes the score is constant; other columns are not read.
+equal rows get equal rows; without labels of both classes the score is constant and low, unless all labels are toxic; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,19 +54,28 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(t.encode()) % BUCKETS for t in traits]
 
 
-def toxic_traits(texts: list[list[str]], labels: np.ndarray) -> set[str]:
-    """Words and beginnings that mark toxic texts, by distinct surroundings."""
-    around: dict[int, defaultdict[str, set]] = {0: defaultdict(set), 1: defaultdict(set)}
-    tokens = Counter()
-    for words, label in zip(texts, labels):
-        tokens[int(label)] += len(words)
-        seen = around[int(label)]
+def surroundings(texts: list[list[str]]) -> dict[int, int]:
+    """Distinct neighbourhoods of each word and beginning, by its hash; as arrays, which need little memory."""
+    traits, places = array("q"), array("q")
+    for words in texts:
         for i, word in enumerate(words):
-            place = hash((words[i - 1] if i else "", word, words[i + 1] if i + 1 < len(words) else ""))
+            around = words[i - 1] if i else "", word, words[i + 1] if i + 1 < len(words) else ""
             for trait in beginnings(word):
-                seen[trait].add(place)
-    share = tokens[1] / max(1, tokens[0])
-    return {t for t, places in around[1].items() if len(places) >= SURROUNDINGS and len(places) >= TIMES * share * (len(around[0].get(t, ())) + 0.2)}
+                traits.append(hash(trait))
+                places.append(hash((trait, around)))
+    _, first = np.unique(np.frombuffer(places, np.int64), return_index=True)
+    found, counts = np.unique(np.frombuffer(traits, np.int64)[first], return_counts=True)
+    often = counts >= 2  # a single surrounding weighs next to nothing
+    return dict(zip(found[often].tolist(), counts[often].tolist()))
+
+
+def toxic_traits(texts: list[list[str]], labels: np.ndarray) -> set[int]:
+    """Hashes of words and beginnings that mark toxic texts, by distinct surroundings."""
+    clean, toxic = ([words for words, y in zip(texts, labels) if y == label] for label in (0, 1))
+    share = sum(map(len, toxic)) / max(1, sum(map(len, clean)))
+    many = {t: n for t, n in surroundings(toxic).items() if n >= SURROUNDINGS}
+    among = surroundings(clean)
+    return {t for t, n in many.items() if n >= TIMES * share * (among.get(t, 0) + 0.2)}
 
 
 def chain_pieces(weights: np.ndarray, lengths: np.ndarray, move: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -148,8 +157,12 @@ class ChainField:
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         words = np.array([vocabulary[w] for t in texts for w in t])
         truth = np.concatenate(labelled).astype(float)
-        rows = [features(w) for w in vocabulary]
-        flat, owner = np.array([i for r in rows for i in r]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        listed, sizes = array("q"), array("q")
+        for word in vocabulary:
+            found = features(word)
+            listed.extend(found)
+            sizes.append(len(found))
+        flat, owner, n = np.frombuffer(listed, np.int64), np.repeat(np.arange(len(sizes)), np.frombuffer(sizes, np.int64)), len(sizes)
         weights, history = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
         last = np.cumsum(lengths) - 1
         inner = np.ones(len(words), bool)
@@ -160,9 +173,9 @@ class ChainField:
         opening = truth[last - lengths + 1]
         self.begin = np.log(np.array([(opening == 0).sum() + 1.0, opening.sum() + 1.0]) / (len(opening) + 2))
         for _ in range(rounds):
-            per_word = np.clip(np.bincount(owner, weights[flat], len(rows)), -18, 18)
+            per_word = np.clip(np.bincount(owner, weights[flat], n), -18, 18)
             marginal = self.marginals(per_word[words], lengths)
-            slope = np.bincount(words, truth - marginal, len(rows))
+            slope = np.bincount(words, truth - marginal, n)
             step = np.bincount(flat, slope[owner], BUCKETS) - decay * len(words) * weights
             history += step**2
             weights += rate * step / np.sqrt(history)
@@ -196,12 +209,16 @@ def train(texts: list[str], labels: np.ndarray) -> ChainField:
     fitting = np.arange(len(texts)) % 4 != 3
     first = [w for w, f in zip(split, fitting) if f]
     marks = toxic_traits(first, labels[fitting]) if len(texts) else set()
-    labelled = [np.array([bool(y) and any(b in marks for b in beginnings(w)) for w in words], bool) for words, y in zip(first, labels[fitting])]
+    labelled = [np.array([bool(y) and any(hash(b) in marks for b in beginnings(w)) for w in words], bool) for words, y in zip(first, labels[fitting])]
     model = ChainField()
     kept = [i for i, words in enumerate(first) if words]
     model.fit([first[i] for i in kept], [labelled[i] for i in kept])
-    tagged = model.tag([w for w, f in zip(split, fitting) if not f], TwoGenerations(model.evidence_of(), MEMO_WORDS))
-    model.doc_weights = logistic(model.document_features(tagged), labels[~fitting], ridge=0.1)
+    if len(set(labels.tolist())) < 2:  # nothing tells toxic texts: none is, unless all labels say so
+        model.doc_weights[-1] = 4.0 if len(labels) and labels[0] else -4.0
+        return model
+    other = ~fitting if len(set(labels[~fitting].tolist())) == 2 else np.ones(len(texts), bool)  # few labels serve twice
+    tagged = model.tag([w for w, o in zip(split, other) if o], TwoGenerations(model.evidence_of(), MEMO_WORDS))
+    model.doc_weights = logistic(model.document_features(tagged), labels[other], ridge=0.1)
     return model
 
 

@@ -195,6 +195,12 @@ def test_scores_of_odd_rows(spark, odd, key):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_few_labels_reject_nothing_clean():
+    score = lambda texts, labels: toxicity.train(texts, np.array(labels)).score([np.zeros(0)])[0]
+    assert score([], []) < 0.5 and score(["a b"] * 3, [0, 0, 0]) < 0.5 and score(["a b"], [1]) > 0.5
+    assert 0 <= score(["a b", "c d"], [0, 1]) <= 1
+
+
 def test_toxic_offsets():
     assert list(toxicity.offsets("a bad, bad day", np.array([0.1, 0.9, 0.8, 0.2]))) == ["2:10"]
 
