@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import zlib
+from base64 import b32encode
 from collections import Counter, defaultdict
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -109,3 +111,89 @@ def near(rows, percent=75):
                 a, b = sorted((top(i), top(j)))
                 parent[b] = a
     return {i: (len(s), top(i)) for i, s in listed}
+
+
+def variants(rows, typo=31, least=7, factor=10):
+    """word to (form, root, n, n_near, form_n)."""
+    total = Counter()
+    for doc_id, text in rows:
+        for word in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            word = word.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+            if h % typo == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            total[word] += 1
+    n = {w: c for w, c in total.items() if len(w) >= least and c >= 2}
+    holders = defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            holders[w[:i] + "?" + w[i + 1 :]].add(w)
+            holders[w[:i] + w[i + 1 :]].add(w)
+        holders[w].add(w)
+    near = defaultdict(set)
+    for key, words in holders.items():
+        for a in words:
+            near[a] |= {b for b in words if b != a and (key in (a, b) or "?" in key)}
+    form = {}
+    for w in n:
+        best = min(((-n[v], v) for v in near[w]), default=None)
+        form[w] = best[1] if best and -best[0] >= factor * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return {w: (form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n}
+
+
+def merkle(rows, tampered):
+    """rows are (doc_id, source, lang, n_chars, text); one result per row, by leaf order."""
+    cell = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: sha("".join(map(cell, r)))
+    trees = defaultdict(list)
+    for r in rows:
+        trees[r[2]].append((r[0] is not None, r[0] or 0, leaf(r), r))
+
+    def grow(nodes, paths):
+        """The root; every path gets (before, after) per level."""
+        members = [[i] for i in range(len(nodes))]
+        while len(nodes) > 1:
+            above, joined = [], []
+            for start in range(0, len(nodes), 8):
+                run = nodes[start : start + 8]
+                for k in range(len(run)):
+                    for m in members[start + k]:
+                        paths[m].append(("".join(run[:k]), "".join(run[k + 1 :])))
+                above.append(sha("".join(run)))
+                joined.append([m for group in members[start : start + 8] for m in group])
+            nodes, members = above, joined
+        return nodes[0]
+
+    tops, done = [], []
+    for lang in sorted(trees, key=lambda x: (x is not None, (x or "").encode())):
+        order = sorted(trees[lang], key=lambda x: x[:3])
+        paths = [[] for _ in order]
+        tops.append(grow([x[2] for x in order], paths))
+        done.append((order, paths))
+    ends = [[] for _ in tops]
+    root = grow(tops, ends) if tops else None
+    out = []
+    for (order, paths), end, top in zip(done, ends, tops):
+        for (_, _, own, r), path in zip(order, paths):
+            node = leaf((*r[:4], r[4].translate(LOWER))) if tampered(r[0]) and r[4] is not None else own
+            for before, after in path + end:
+                node = sha(before + node + after)
+            out.append((r[0], own, top, root, sha("".join(a + b for a, b in path + end)), node, node == root))
+    return out
+
+
+def warc(rows):
+    groups = defaultdict(list)
+    for page_id, html in rows:
+        groups[(html or "").encode()].append(page_id)
+    out = []
+    for data, ids in groups.items():
+        first = max(ids, key=lambda i: (i is not None, i or 0))
+        ids.remove(first)
+        digest = b32encode(hashlib.sha1(data).digest()).decode()
+        out += [(first, len(data), digest, "response", None)] + [(i, len(data), digest, "revisit", first) for i in ids]
+    return out

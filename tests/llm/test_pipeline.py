@@ -55,7 +55,7 @@ def test_run_on_odd_and_empty_tables(spark, request, which):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
