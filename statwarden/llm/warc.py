@@ -84,10 +84,11 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         return F.when(number > 0, F.sequence(first, first + number - 1)).otherwise(F.array().cast("array<bigint>"))
 
     one = F.lit(1).cast("long")
-    held = pages.select("page_id", "url", "html", F.unhex(F.sha2(payload(), 256)).alias("digest"))
-    held = held.groupBy("page_id", "digest").agg(F.min("url").alias("url"), F.first("html").alias("html"))
-    kept = plan.where("responses > 0").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "sha1", "responses")
-    whole = held.join(kept, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")))
+    # one key without nulls, so that grouping and join share one shuffle of the payloads
+    key = F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.hex("digest")), 256)).alias("key")
+    held = pages.select("url", "html", "page_id", F.unhex(F.sha2(payload(), 256)).alias("digest"))
+    held = held.select(key, "url", "html").groupBy("key").agg(F.min("url").alias("url"), F.first("html").alias("html"))
+    whole = held.join(plan.where("responses > 0").select(key, "page_id", "digest", "sha1", "responses"), "key")
     responses = whole.withColumn("copy", F.explode(copies(one, F.col("responses")))).select(
         F.lit("response").alias("type"), record_id(F.col("page_id"), F.col("digest"), F.col("copy")).alias("record_id"), "page_id", "url",
         "sha1", payload().alias("payload"), F.lit(None).cast("string").alias("refers_to_id"),
