@@ -31,7 +31,7 @@ VALUE = ["long_value", "double_value", "decimal_value", "text_value"]
 DECIMAL = T.DecimalType(38, 18)
 
 
-def _typed_value(df: DataFrame, name: str) -> Column:
+def typed_value(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     column = F.col(name)
     long_value = double_value = decimal_value = text_value = None
@@ -72,7 +72,7 @@ def tall(df: DataFrame, table_name: str, columns: Sequence[str], keep: Mapping[s
 
     ``keep`` gives a condition per column under which its value is kept.
     """
-    values = [_typed_value(df, c) for c in columns]
+    values = [typed_value(df, c) for c in columns]
     if keep:
         values = [F.when(keep[c], v).alias(c) if c in keep else v for c, v in zip(columns, values)]
     rows = df.select(*values).unpivot([], list(columns), "column_name", "value")
@@ -148,16 +148,27 @@ def top_equality(steps: DataFrame, n: int = 3) -> DataFrame:
     return ranked.groupBy(*COLUMN_KEY).agg(F.sum("equal_rows").alias("top3_equal_rows"))
 
 
-def histogram_summary(steps: DataFrame) -> DataFrame:
+def _summary_columns() -> list[Column]:
     def whole(column):
         return F.coalesce(F.col(column), F.lit(0))
 
-    return steps.groupBy(*COLUMN_KEY).agg(
+    return [
         F.count(F.lit(1)).alias("observed_steps"),
         F.sum(whole("equal_rows") + whole("range_rows")).alias("estimated_rows"),
         F.max(whole("equal_rows")).alias("max_equal_rows"),
         F.max(whole("range_rows")).alias("max_range_rows"),
-    )
+    ]
+
+
+def histogram_summary(steps: DataFrame) -> DataFrame:
+    return steps.groupBy(*COLUMN_KEY).agg(*_summary_columns())
+
+
+def step_summary(steps: DataFrame, n: int = 3) -> DataFrame:
+    """Summary and the sum of the ``n`` largest ``equal_rows``, by one aggregation; a column has at most ``STEPS`` steps to list."""
+    largest = F.slice(F.sort_array(F.collect_list("equal_rows"), asc=False), 1, n)
+    total = F.aggregate(largest, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return steps.groupBy(*COLUMN_KEY).agg(*_summary_columns(), total.alias("top3_equal_rows"))
 
 
 def skew(catalog: DataFrame, steps: DataFrame, supported: Column) -> DataFrame:
@@ -165,11 +176,7 @@ def skew(catalog: DataFrame, steps: DataFrame, supported: Column) -> DataFrame:
 
     ``catalog`` has one row per column and ``properties_available``.
     """
-    df = (
-        catalog.join(histogram_summary(steps), COLUMN_KEY, "left")
-        .join(top_equality(steps), COLUMN_KEY, "left")
-        .withColumn("__supported", supported)
-    )
+    df = catalog.join(step_summary(steps), COLUMN_KEY, "left").withColumn("__supported", supported)
     status = first_match(
         [
             (F.col("__supported").isNull(), "CAPABILITY_UNKNOWN"),
@@ -256,14 +263,14 @@ def refresh_batch(
     )
     return (
         plan.join(sampled, COLUMN_KEY, "left")
-        .join(histogram_summary(steps), COLUMN_KEY, "left")
-        .join(top_equality(steps), COLUMN_KEY, "left")
+        .join(step_summary(steps), COLUMN_KEY, "left")
         .select(
             *plan.columns,
             F.col("current_rows").alias("after_rows"),
             F.coalesce("rows_sampled", F.lit(0)).alias("after_rows_sampled"),
             F.coalesce("sampled_values", F.lit(0)).alias("sampled_values"),
             F.coalesce("observed_steps", F.lit(0)).alias("after_steps"),
+            "estimated_rows",
             "max_equal_rows",
             "top3_equal_rows",
         )

@@ -24,7 +24,7 @@ def with_age(facts: DataFrame) -> DataFrame:
 
 
 def native(x: Inputs, facts: DataFrame | None = None) -> DataFrame:
-    return with_age(thresholds.with_native_threshold(x.fleet if facts is None else facts))
+    return with_age(thresholds.with_native_threshold(x.spread("fleet") if facts is None else facts))
 
 
 def joined(x: Inputs, facts: DataFrame | None = None, modes: tuple[str, ...] | None = None) -> DataFrame:

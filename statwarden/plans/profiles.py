@@ -176,20 +176,6 @@ def prof_skew(x: Inputs) -> DataFrame:
     return profile.skew(catalog, profile.histogram(counts(x)), supported)
 
 
-@query(
-    "src_stat_properties",
-    """SELECT table_name, column_name, CAST(sum(value_rows) AS BIGINT) AS stats_rows,
-         CAST(coalesce(sum(value_rows) FILTER (k), 0) AS BIGINT) AS known_rows, count(*) FILTER (k) AS distinct_values,
-         min(long_value) AS min_long, max(long_value) AS max_long, min(double_value) AS min_double, max(double_value) AS max_double,
-         min(decimal_value) AS min_decimal, max(decimal_value) AS max_decimal, min(text_value) AS min_text, max(text_value) AS max_text
-       FROM (SELECT *, coalesce(CAST(long_value AS VARCHAR), CAST(double_value AS VARCHAR), text_value) IS NOT NULL AS k FROM counts)
-       GROUP BY ALL""",
-    ctes=COUNTS_SQL,
-)
-def src_stat_properties(x: Inputs) -> DataFrame:
-    return profile.properties(counts(x))
-
-
 SAMPLED = "(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR)), 1, 8))::BIGINT)"
 
 
@@ -365,6 +351,6 @@ def _refresh_sql() -> str:
 
 @query("prof_refresh_batch", _refresh_sql())
 def prof_refresh_batch(x: Inputs) -> DataFrame:
-    return profile.refresh_batch(refresh_plan(x), {t: x.table(t) for t in PROFILED}, ROW_KEYS, work_folder(x.spark, "refresh"))
+    return profile.refresh_batch(refresh_plan(x), {t: x.table(t) for t in PROFILED}, ROW_KEYS, work_folder(x.spark, "refresh")).drop("estimated_rows")
 
 

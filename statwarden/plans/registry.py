@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from statwarden.plans import fixtures
-from statwarden.session import prepare
+from statwarden.session import prepare, spread
 from statwarden.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,10 @@ class Inputs:
             self.loaded[name] = tables.load(self.spark, self.sf_dir, name)
         return self.loaded[name]
 
+    def spread(self, name: str) -> DataFrame:
+        """A frame of statistics, one by one over all cores."""
+        return spread(getattr(self, name), "stats_id")
+
     def files(self, name: str) -> DataFrame:
         """The table as it lies on disk, with its file metadata."""
         return tables.load(self.spark, self.sf_dir, name)

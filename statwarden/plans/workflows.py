@@ -81,7 +81,7 @@ def item_id():
 def first_telemetry(x: Inputs) -> DataFrame:
     """Decisions of collected databases with their first status."""
     chosen = control.selected(x).where("will_collect")
-    collected = decision.decide(joined(x, native(x, skew.keep(x.fleet, chosen, ["database_id"], ["stats_id"]))))
+    collected = decision.decide(joined(x, native(x, skew.keep(x.spread("fleet"), chosen, ["database_id"], ["stats_id"], sizes=x.fleet))))
     return telemetry.initial(collected.select(F.col("policy_id").alias("run_id"), item_id(), "*"), F.lit(MAXDOP))
 
 
@@ -96,7 +96,7 @@ def gated_telemetry(x: Inputs) -> DataFrame:
 
 def fresh_decisions(x: Inputs) -> DataFrame:
     """The second look: facts read again, overrides and decision worked out again."""
-    fresh = x.fresh
+    fresh = x.spread("fresh")
     facts = fresh.select(
         *[c for c in x.fleet.columns if c not in ("modification_counter", "supports_maxdop")],
         F.col("fresh_mods").alias("modification_counter"), F.col("fresh_supports_maxdop").alias("supports_maxdop"),

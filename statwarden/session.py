@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results or plans; a cluster supplies its own sizes.
 SESSION_CONF = {
@@ -13,9 +13,6 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # HotSpot never compiles a method of more than 8000 bytes; beyond that Spark's
-    # split per-operator code is faster than one long interpreted method
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 # Can only be set when a session is made: recording the call site of every Column
 # costs more than building the plan.
@@ -46,6 +43,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
+def spread(scanned: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan dealt over all cores by ``key`` where the scan has fewer splits than there are cores.
+
+    For work that is heavy per row, such as the decision: a small file is one split and
+    would keep one core busy. A scan of many splits is left as it is.
+    """
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    return scanned.repartition(key) if scanned.rdd.getNumPartitions() < cores else scanned
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables written by a job.
 
