@@ -22,6 +22,7 @@ from statwarden.llm.shared import BLANK, folder, written
 
 # A digest of at least this share of the rows is hot: there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
+BATCHES = 2
 
 
 def digest(text: Column) -> Column:
@@ -51,6 +52,8 @@ class DigestIndex:
         """Adds a batch made by ``digests`` (and written, so that its row numbers are settled)."""
         new = digested.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows"))
         if self.exists():
+            if not self.entries().where(F.col("batch") == batch).isEmpty():
+                raise ValueError(f"batch {batch} is in the index {self.name} already")
             # both sides are sorted by digest: a merge without a shuffle of the index
             known = self.entries().where("is_new").select("digest")
             fresh = new.join(known.hint("merge"), "digest", "left_anti").withColumn("is_new", F.lit(True))
@@ -67,8 +70,8 @@ class DigestIndex:
         first = F.struct(F.col("first.no_id").alias("no_id"), F.col("first.doc_id").alias("doc_id"), "batch", F.col("first.at").alias("at"))
         return self.entries().groupBy("digest").agg(F.min(first).alias("first"), F.sum("rows").alias("group_size"))
 
-    def resolve(self, digested: DataFrame, batch: int) -> DataFrame:
-        """Each document of a batch with the row that stays.
+    def resolve(self, digested: DataFrame, batch: int | None) -> DataFrame:
+        """Each document of a batch with the row that stays; without a batch, of all batches that were digested as one.
 
         Digests held by a large share of the rows are few by arithmetic, so their
         groups are broadcast; all others merge with the sorted buckets.
@@ -81,25 +84,45 @@ class DigestIndex:
         tagged = digested.join(F.broadcast(hot), "digest", "left")
         cold = tagged.where("hot IS NULL").join(groups.hint("merge"), "digest").select("digest", "row", "first", "group_size")
         both = tagged.where("hot IS NOT NULL").select("digest", "row", "hot.first", "hot.group_size").unionByName(cold)
-        kept = F.col("first.doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("first.batch") == batch) & (F.col("first.at") == F.col("row.at"))
+        kept = F.col("first.doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("first.at") == F.col("row.at"))
+        if batch is not None:
+            kept = kept & (F.col("first.batch") == batch)
         return both.select(
             F.col("row.doc_id").alias("doc_id"), F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
 
 
-def exact_dedup(docs: DataFrame, index_name: str | None = None, batch: int = 0, buckets: int | None = None) -> DataFrame:
-    """Appends ``docs`` to the index (a new one without a name) and resolves each document."""
-    spark = docs.sparkSession
-    index = DigestIndex(
-        spark, index_name or f"digest_index_{uuid.uuid4().hex}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")),
-        None if index_name else folder(spark, "digest-index"),
-    )
+def index_of(spark: SparkSession, name: str | None, buckets: int | None) -> DigestIndex:
+    """A named index, which lasts, or a new one; both lie in the shared folder."""
+    own = folder(spark, "digest-index")
+    path = f"{own.rsplit('/', 1)[0]}/digest-index-{name}" if name else own
+    return DigestIndex(spark, name or f"digest_index_{uuid.uuid4().hex}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), path)
+
+
+def exact_dedup(docs: DataFrame, index_name: str, batch: int, buckets: int | None = None) -> DataFrame:
+    """Appends ``docs`` to the index as a batch of its own and resolves each document."""
+    index = index_of(docs.sparkSession, index_name, buckets)
     digested = written(digests(docs), "digests")
     index.append(digested, batch)
     return index.resolve(digested, batch)
 
 
+def dedup_in_batches(docs: DataFrame, batches: int = BATCHES, buckets: int | None = None) -> DataFrame:
+    """All documents through an index of their own, batch by batch: each is anti-joined with what came before.
+
+    Batches are dealt by a hash of the doc_id; all rows are resolved once the last one is in.
+    """
+    spark = docs.sparkSession
+    index = index_of(spark, None, buckets)
+    digested = written(digests(docs), "digests")
+    for batch in range(batches):
+        index.append(digested.where(F.pmod(F.xxhash64("row.doc_id"), F.lit(batches)) == batch), batch)
+    found = written(index.resolve(digested, None), "digest-resolved")
+    spark.sql(f"DROP TABLE {index.name}")
+    return found
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
@@ -109,4 +132,4 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 @query("op4_exact_dedup", ORACLE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return dedup_in_batches(table(spark, sf_dir, "documents"))

@@ -16,9 +16,13 @@
 At similarity 0.75 a pair shares no key with probability (1 - 0.75**5)**32 < 0.0002; the sketch limit
 lies four standard deviations below the threshold.
 
+A class has a number of its own; doc_ids come in at the end only, so repeated ones cannot mix up texts.
+
 Defined cases: a null text counts as empty; documents without words are linked with nothing; doc_ids are below
-2**62; rows without one sort last and are told apart by their text; rows of one doc_id that stand for several
-classes are one document; equal rows get equal rows; other columns are not read by ``near_duplicates`` and kept by ``deduplicated``.
+2**62; rows without one sort last and are told apart by their text; rows of one doc_id are one document to
+``near_duplicates``, which links what their several texts are linked with; ``deduplicated`` keeps one row per group of
+near texts, also where these have one doc_id; equal rows get equal rows; other columns are not read by
+``near_duplicates`` and kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -146,9 +150,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(number(), F.xxhash64("text").alias("_h"), F.col("text").cast("string").alias("text"))
 
 
+# what finds the text of a class
+MEMBER = ("node", "digest", "doc_id", "_h")
+
+
 def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``node`` and its shingles for the classes ``needed`` (node, digest), from their whole texts."""
-    texts = numbered(docs).join(needed, F.col("doc_id") == F.col("node")).select("node", "digest", "text")
+    """``node`` and its shingles for the classes ``needed`` (node, digest, doc_id and _h of a member), from their whole texts."""
+    texts = numbered(docs).join(needed, ["doc_id", "_h"]).select("node", "digest", "text")
 
     def make():
         hashes = _word_hashes()
@@ -179,7 +187,7 @@ def possible(percent: int) -> Column:
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The ``pairs`` (a, b) whose full sets reach the threshold; the sets are read from the whole texts."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return linked(pairs, written(full_sets(docs, nodes.join(classes.select("node", "digest"), "node")), "near-sets"), percent)
+    return linked(pairs, written(full_sets(docs, nodes.join(classes.select(*MEMBER), "node")), "near-sets"), percent)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -228,7 +236,10 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 def across(rare: DataFrame, labels: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a rare shingle and can reach the threshold."""
     known = facts.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n_shingles", "parity")
-    rows = rare.join(known, "node")
+    rows = written(rare.join(known, "node"), "near-rare-rows")
+    # copies of one component share their rare shingles: what all holders of one label have leads nowhere
+    several = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    rows = rows.join(several, "shingle")
     left = rows.select("shingle", F.struct("node", "label", "n_shingles", "parity").alias("of_a"))
     right = rows.where("index").select("shingle", F.struct("node", "label", "n_shingles", "parity").alias("of_b"))
     larger = (F.col("of_a.n_shingles") > F.col("of_b.n_shingles")) | ((F.col("of_a.n_shingles") == F.col("of_b.n_shingles")) & (F.col("of_a.node") < F.col("of_b.node")))
@@ -236,19 +247,19 @@ def across(rare: DataFrame, labels: DataFrame, facts: DataFrame, percent: int) -
     return both.select(F.col("of_a.node").alias("a"), F.col("of_b.node").alias("b"), apart("parity", SET_BITS).alias("distance"))
 
 
-def resolved(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: its number, hash of the text, n_shingles and its component's least number."""
+def class_labels(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id as a number, _h, n_shingles, digest) of all documents, and classes (digest, node, label): equal labels are near."""
     signed = written(signatures(docs), "near-signatures")
     first = F.first(F.struct("n_shingles", "bands", "sketch", "parity")).alias("x")  # equal for all rows of a digest
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), first)
-    classes = written(classes.select("digest", "node", "x.*"), "near-classes")
-    facts = classes.select("node", "n_shingles", "sketch", "parity").dropDuplicates(["node"])
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "_h")).alias("m"), first)
+    classes = written(classes.select("digest", F.monotonically_increasing_id().alias("node"), "m.*", "x.*"), "near-classes")
+    facts = classes.select("node", "n_shingles", "sketch", "parity")
     buckets = written(bucket_rows(classes), "near-buckets")
     stars = buckets.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(written(with_sketches(stars, facts, percent), "near-pairs"), docs, classes, percent)
     labels = components(links)
     # what stars left open: the nearest class of another component, then every pair that is left
-    open_ = open_classes(buckets.select("key", "node"), labels).join(classes.select("node", "digest"), "node")
+    open_ = open_classes(buckets.select("key", "node"), labels).join(classes.select(*MEMBER), "node")
     sets = written(full_sets(docs, open_), "near-open-sets")
     rare = written(rare_shingles(sets, percent), "near-rare")
     for step in ("nearest", "left"):
@@ -260,24 +271,38 @@ def resolved(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if chosen.isEmpty():
             break
         labels = components(linked(chosen, sets, percent), labels)
-    of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
-    out = signed.select("doc_id", "_h", "n_shingles", "digest").join(of_class, "digest", "left")
-    return out.select("doc_id", "_h", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", "node", F.coalesce("label", "node").alias("label"))
+    return signed.select("doc_id", "_h", "n_shingles", "digest"), written(of_class, "near-labels")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    signed, classes = class_labels(docs, percent)
+    rows = written(signed.join(classes.select("digest", "label"), "digest", "left"), "near-rows")
+    # a doc_id with several texts links what they are linked with
+    ids = rows.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a < z")
+    shared = rows.join(ids, "doc_id").select("a", F.col("label").alias("b")).where("b IS NOT NULL AND a <> b").distinct()
+    if not ids.isEmpty():
+        tops = components(shared).select(F.col("node").alias("label"), F.col("label").alias("top"))
+        rows = rows.join(tops, "label", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
+    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component"))
+    found = rows.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return resolved(docs, percent).select(
+    return found.select(
         known("doc_id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept")
     )
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id."""
-    kept = resolved(docs, percent).where(F.col("doc_id") == F.col("component")).groupBy(F.col("doc_id").alias("_number")).agg(F.min("_h").alias("_text"))
-    rows = docs.select(F.struct("*").alias("row"), number().alias("_number"), F.xxhash64("text").alias("_text"))
-    return rows.join(kept, ["_number", "_text"], "left_semi").dropDuplicates(["_number", "_text"]).select("row.*")
+    """``docs`` with one row of each group of near texts: that of the smallest doc_id."""
+    signed, classes = class_labels(docs, percent)
+    rows = signed.join(classes.select("digest", "label"), "digest", "left")
+    # a document without words is a group of its own, with its equals
+    grouped = rows.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "_h")).alias("m")).select("m.*")
+    alone = rows.where("label IS NULL").select("doc_id", "_h")
+    kept = grouped.unionByName(alone).select(F.col("doc_id").alias("_number"), F.col("_h").alias("_text")).distinct()
+    listed = docs.select(F.struct("*").alias("row"), number().alias("_number"), F.xxhash64("text").alias("_text"))
+    return listed.join(kept, ["_number", "_text"], "left_semi").dropDuplicates(["_number", "_text"]).select("row.*")
 
 
 @query("op10_minhash_odd_sketch")

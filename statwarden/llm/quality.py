@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statwarden.llm.labelled import fold, logistic, probability, sample
+from statwarden.llm.labelled import fitted, fold, logistic, probability
 from statwarden.llm.registry import query, table
 from statwarden.llm.shared import per_batch
 
@@ -108,5 +108,5 @@ def scored(docs: DataFrame, model) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = fold(F.col("doc_id"), 3) == 1
-    model = train(*sample(docs, labels, "quality", ~held, PER_CLASS))
+    model = fitted(docs, labels, "quality", ~held, PER_CLASS, train)
     return scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -75,8 +75,12 @@ def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callab
     return df.mapInArrow(run, schema)
 
 
+# A memo keeps no longer keys than this: what has no spaces is worked out each time it comes.
+LONGEST_KEY = 64
+
+
 class TwoGenerations(dict):
-    """A memo of a bounded number of entries; a miss calls ``make``.
+    """A memo of a bounded number of entries of bounded keys; a miss calls ``make``.
 
     When the young generation is full it becomes the old one and the old one is
     dropped; what is still in use moves back. The bound changes only the speed.
@@ -87,6 +91,8 @@ class TwoGenerations(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -45,7 +45,11 @@ class WaveletMatrix:
 
     def __init__(self, planes: np.ndarray, zeros: np.ndarray, n: int):
         self.planes, self.zeros, self.n = planes, zeros, n
-        self.ones = _block_ones(planes)
+
+    @functools.cached_property
+    def ones(self) -> np.ndarray:
+        """Ones before each block; not needed to read the whole sequence."""
+        return _block_ones(self.planes)
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -105,14 +109,15 @@ class WaveletMatrix:
         return at
 
     def tokens(self) -> np.ndarray:
-        """The whole sequence: all positions go down the planes together."""
-        at, out = np.arange(self.n, dtype=np.int32), np.zeros(self.n, np.uint32)
-        for plane, zeros in zip(self.planes, self.zeros):
-            bits = np.unpackbits(plane, count=self.n)
-            down = np.where(bits, int(zeros) + np.cumsum(bits, dtype=np.int32) - 1, np.cumsum(bits ^ 1, dtype=np.int32) - 1).astype(np.int32)
-            out = out << 1 | bits[at]
-            at = down[at]
-        return out
+        """The whole sequence, from the last plane up: each undoes the split below it."""
+        values = np.zeros(self.n, np.uint32)
+        for shift, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
+            one = np.unpackbits(plane, count=self.n).astype(bool)
+            level = np.empty_like(values)
+            level[~one] = values[:zeros]
+            level[one] = values[zeros:] | np.uint32(1 << shift)
+            values = level
+        return values
 
 
 def _packed(bit: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statwarden.llm.labelled import fold, logistic, probability, sample
+from statwarden.llm.labelled import fitted, fold, logistic, probability
 from statwarden.llm.registry import query, table
 from statwarden.llm.shared import TwoGenerations, per_batch
 
@@ -273,7 +273,7 @@ def offsets(text: str, marginal: np.ndarray) -> Iterator[str]:
 
 def trained(docs: DataFrame, labels: DataFrame) -> ChainField:
     """The model of the training fold."""
-    return train(*sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, PER_CLASS))
+    return fitted(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, PER_CLASS, train)
 
 
 @query("op6_toxicity_spans")

@@ -89,28 +89,48 @@ def shingle_set(text, size=5):
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def near(rows, percent=75):
-    """doc_id to (set size, least doc_id reachable); all pairs of distinct sets."""
-    sets = {i: shingle_set(t) for i, t in rows}
-    parent = {i: i for i in sets}
+def groups(items, links):
+    """item to the least item reachable."""
+    parent = {i: i for i in items}
 
     def top(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    listed = list(sets.items())
-    holders = defaultdict(list)
-    for i, s in listed:
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    return {i: top(i) for i in items}
+
+
+def near_rows(rows, percent=75):
+    """Set of each row, and pairs of rows whose sets are near."""
+    sets = [shingle_set(t) for _, t in rows]
+    holders, links = defaultdict(list), []
+    for i, s in enumerate(sets):
+        shared = Counter(j for g in s for j in holders[g])
+        links += [(j, i) for j, common in shared.items() if 100 * common >= percent * (len(s) + len(sets[j]) - common)]
         for g in s:
             holders[g].append(i)
-    for i, s in listed:
-        shared = Counter(j for g in s for j in holders[g] if j < i)
-        for j, common in shared.items():
-            if 100 * common >= percent * (len(s) + len(sets[j]) - common):
-                a, b = sorted((top(i), top(j)))
-                parent[b] = a
-    return {i: (len(s), top(i)) for i, s in listed}
+    return sets, links
+
+
+def near(rows, percent=75):
+    """Per row: doc_id, set size, least doc_id reachable; rows of one doc_id are one document."""
+    sets, links = near_rows(rows, percent)
+    tops = groups({i for i, _ in rows}, [(rows[a][0], rows[b][0]) for a, b in links])
+    return [(i, len(s), tops[i]) for (i, _), s in zip(rows, sets)]
+
+
+def kept(rows, percent=75):
+    """doc_ids that stay: one row per group of near texts, and each distinct row without words."""
+    sets, links = near_rows(rows, percent)
+    tops = groups(range(len(rows)), links)
+    least = defaultdict(list)
+    for n, top in tops.items():
+        least[top if sets[n] else ("alone", *rows[n])].append(rows[n][0])
+    return sorted(min(ids) for ids in least.values())
 
 
 def variants(rows, typo=31, least=7, factor=10):

@@ -133,9 +133,23 @@ def test_digest_index_over_batches(spark):
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(second, name, 1, buckets=3).collect()}
     assert got == {0: (0, 2, True), 9: (8, 2, False), 8: (8, 2, True)}
     assert spark.table(name).where("is_new").count() == 3
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(second, name, 1, buckets=3)
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_batches_are_anti_joined_with_the_index(spark, odd):
+    docs, plans = table(spark, odd[0], "documents"), []
+    real = exact_dedup.written
+    exact_dedup.written = lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if name == "digest-batch" else None) or real(df, name)
+    try:
+        many = exact_dedup.dedup_in_batches(docs, 5, 3).collect()
+    finally:
+        exact_dedup.written = real
+    assert len(plans) == 4 and all("LeftAnti" in p for p in plans)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in many), key=repr) == sorted(brute.exact(odd[1]), key=repr)
+
+
 def test_token_counts(spark, odd, sf_dir):
     folder, rows = odd
     model = token_counts.counter(token_counts.vocabulary("piece_bpe_32k.model")).model
@@ -268,11 +282,32 @@ def test_near_duplicates(spark, odd, sf_dir):
         want = brute.near(known)
         got = QUERIES["op10_minhash_odd_sketch"](spark, where).collect()
         assert len(got) == len(texts)
-        assert all((r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == sorted(want)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
         docs = table(spark, where, "documents")
         kept = minhash_odd.deduplicated(docs)
         assert kept.schema == docs.schema
-        assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({c for _, c in want.values()})
+        assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == brute.kept(known)
+
+
+def test_repeated_doc_ids_lose_no_text(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, c), (2, a + " x"), (3, b + " x"), (4, c + " x"), (5, "nothing alike"), (7, "!" * 9), (6, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash_odd.near_duplicates(docs).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True), (6, 6, True), (7, 7, True)}
+    kept = sorted((r.doc_id, r.text or "") for r in minhash_odd.deduplicated(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (1, c), (5, "nothing alike"), (6, ""), (6, ""), (7, "!" * 9)])
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    rows = [(i, " ".join(f"v{i}" if k == i % 115 else w for k, w in enumerate(words))) for i in range(400)]
+    rows += [(1000 + i, " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(100)) + " " + " ".join(words[:60])) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(minhash_odd.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")) == sorted(brute.near(rows), key=repr)
 
 
 def test_odd_sketch_tells_high_similarity():
