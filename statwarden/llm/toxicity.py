@@ -32,7 +32,7 @@ from statwarden.llm.labelled import fitted, fold, logistic, probability
 from statwarden.llm.registry import query, table
 from statwarden.llm.shared import TwoGenerations, per_batch
 
-PER_CLASS = 2000
+PER_CLASS = 1500
 BUCKETS = 1 << 18
 PIECE = 128
 MEMO_WORDS = 200_000
