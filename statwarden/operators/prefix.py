@@ -18,33 +18,71 @@ from pyspark.sql import types as T
 # Rows of a bucket; beyond 2**42 rows in all a bucket has 4 * sqrt(rows), so that there
 # are at most sqrt(rows) / 4 cut points: 800,000 for the 1e13 values of 100 TB.
 ROWS_PER_BUCKET = 1_000_000
-# Cut points are beginnings of texts: any value may part two buckets.
+# Cut points are pieces of texts: any value may part two buckets.
 CUT_CHARACTERS = 64
 STRIDE = 64
 HASH_RANGE = 1 << 30
+# A tie is cut again from this many buckets' rows on; of fewer rows a cut point may well miss it.
+TIED_BUCKETS = 4
+# Longest text that a common beginning is searched in, as a power of two.
+LENGTH_BITS = 31
 
 
-def _cut_points(df: DataFrame, groups: list[str], order: Column, rows_per_bucket: int) -> DataFrame:
-    """Per group a sorted array of about rows / rows_per_bucket sampled order values."""
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+def _cut_points(df: DataFrame, sizes: DataFrame, groups: list[str], key: Column, chosen_by: Column, rows_per_bucket: int) -> DataFrame:
+    """Per group a sorted array of the keys of about rows / rows_per_bucket sampled rows.
+
+    Rows are sampled, not keys: a key of many rows is a cut point itself.
+    """
     per_bucket = F.greatest(F.lit(float(rows_per_bucket)), 4 * F.sqrt(F.sum("__n").over(Window.partitionBy())))
     sizes = sizes.withColumn("__per", per_bucket if rows_per_bucket >= ROWS_PER_BUCKET else F.lit(float(rows_per_bucket)))
     wanted = F.floor(F.col("__n") / F.col("__per"))
     sizes = sizes.select(*groups, (wanted / F.col("__n") * HASH_RANGE).cast("bigint").alias("__limit")).where("__limit > 0")
-    sampled = df.join(F.broadcast(sizes), groups).where(F.pmod(F.xxhash64(order), F.lit(HASH_RANGE)) < F.col("__limit"))
-    cuts = sampled.groupBy(*groups).agg(F.sort_array(F.collect_set(order)).alias("__cuts"))
+    sampled = df.join(F.broadcast(sizes), groups).where(F.pmod(chosen_by, F.lit(HASH_RANGE)) < F.col("__limit"))
+    cuts = sampled.groupBy(*groups).agg(F.sort_array(F.collect_set(key)).alias("__cuts"))
     every_nth = F.transform(
         F.sequence(F.lit(1), F.size("__cuts"), F.lit(STRIDE)), lambda i: F.element_at(F.col("__cuts"), i)
     )
     return cuts.select(*groups, "__cuts", every_nth.alias("__tops"))
 
 
-def _bucket(order: Column) -> Column:
-    """Number of cut points <= the value: find the stride first, then look inside it."""
-    top = F.size(F.filter("__tops", lambda c: c <= order))
+def _bucket(key: Column) -> Column:
+    """Odd for a key that is a cut point, even for those between two: buckets ascend as keys do.
+
+    Finds the stride first, then looks inside it.
+    """
+    top = F.size(F.filter("__tops", lambda c: c <= key))
     inside = F.slice("__cuts", (top - 1) * STRIDE + 1, F.lit(STRIDE))
-    within = F.size(F.filter(inside, lambda c: c <= order))
-    return F.when(F.col("__cuts").isNull() | (top == 0), F.lit(0)).otherwise((top - 1) * STRIDE + within)
+    not_above = (top - 1) * STRIDE + F.size(F.filter(inside, lambda c: c <= key))
+    tied = F.element_at("__cuts", not_above).eqNullSafe(key)
+    return F.when(F.col("__cuts").isNull() | (top == 0), F.lit(0)).otherwise(2 * not_above - tied.cast("int"))
+
+
+def _common_length(low: Column, high: Column) -> Column:
+    """Characters that two texts begin with alike, found bit by bit."""
+
+    def longer(length: Column, bit: Column) -> Column:
+        more = length + F.call_function("shiftleft", F.lit(1), bit)
+        alike = (more > 0) & (more <= F.length(low)) & low.startswith(F.substring(high, F.lit(1), more))
+        return F.when(alike & (more <= F.length(high)), more).otherwise(length)
+
+    return F.aggregate(F.sequence(F.lit(LENGTH_BITS - 1), F.lit(0), F.lit(-1)), F.lit(0), longer)
+
+
+def _tie_cuts(placed: DataFrame, ties: DataFrame, groups: list[str], text: str, chosen_by: Column, rows_per_bucket: int) -> DataFrame:
+    """Cut points inside each tie, and the length of what its texts have in common.
+
+    The common beginning is skipped, so every level looks at characters that differ,
+    however long the beginning is.
+    """
+    rows = placed.join(F.broadcast(ties.select(*groups)), groups)
+    common = rows.groupBy(*groups).agg(_common_length(F.min(text), F.max(text)).alias("__skip"))
+    skipped = rows.join(F.broadcast(common), groups)
+    cuts = _cut_points(skipped, ties, groups, _next_characters(text), chosen_by, rows_per_bucket)
+    return cuts.join(common, groups)
+
+
+def _next_characters(text: str) -> Column:
+    return F.substring(F.col(text), F.col("__skip") + 1, F.lit(CUT_CHARACTERS))
 
 
 def rows_before(
@@ -54,23 +92,50 @@ def rows_before(
     weight: str,
     result: str = "rows_before",
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    folder: str | None = None,
 ) -> DataFrame:
     """Adds the sum of ``weight`` over all earlier rows of the same group.
 
     ``order`` must be unique within a group. Cut points are broadcast: all groups
     together have few, whatever their number (see ``ROWS_PER_BUCKET``). Texts are placed by
-    their first characters, so rows alike in these share a bucket.
+    their first characters. With a ``folder``, and a text as the last column of the order,
+    large buckets of rows alike in these are cut again by the next characters that differ,
+    level by level until none is left; the cut points are kept there, and ``df``,
+    which every level reads, should be a written table. Without one such rows share a task.
     """
-    groups, order = list(groups), list(order)
+    spark, groups, order = df.sparkSession, list(groups), list(order)
     texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     key = F.struct(*[F.substring(o, 1, CUT_CHARACTERS).alias(o) if o in texts else F.col(o) for o in order])
-    cuts = _cut_points(df, groups, key, rows_per_bucket)
-    placed = df.join(F.broadcast(cuts), groups, "left").select(*df.columns, _bucket(key).alias("__bucket"))
-    totals = placed.groupBy(*groups, "__bucket").agg(F.sum(weight).alias("__sum"))
-    earlier = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*groups, "__bucket", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy(*groups, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    chosen_by = F.xxhash64(*order)
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        if folder is None:
+            return table
+        table.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+    cuts = kept(_cut_points(df, sizes, groups, key, chosen_by, rows_per_bucket), "cuts_0")
+    placed = df.join(F.broadcast(cuts), groups, "left").select(*df.columns, _bucket(key).alias("__bucket_0"))
+    levels = ["__bucket_0"]
+    while folder is not None and texts.intersection(order) == {order[-1]}:
+        within = [*groups, *levels]
+        # a row without a text has no equal, so only texts may be alike in a beginning and differ
+        tied = placed.where((F.col(levels[-1]) % 2 == 1) & F.col(order[-1]).isNotNull())
+        # at most rows / (TIED_BUCKETS * rows_per_bucket) ties
+        counted = tied.groupBy(*within).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= TIED_BUCKETS * rows_per_bucket)
+        ties = kept(counted, f"ties_{len(levels)}")
+        if ties.isEmpty():
+            break
+        cuts = kept(_tie_cuts(placed, ties, within, order[-1], chosen_by, rows_per_bucket), f"cuts_{len(levels)}")
+        levels.append(f"__bucket_{len(levels)}")
+        deeper = _bucket(_next_characters(order[-1])).alias(levels[-1])
+        placed = placed.join(F.broadcast(cuts), within, "left").select(*placed.columns, deeper)
+    totals = placed.groupBy(*groups, *levels).agg(F.sum(weight).alias("__sum"))
+    earlier = Window.partitionBy(*groups).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*groups, *levels, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy(*groups, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("__local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    return local.join(offsets, [*groups, "__bucket"]).select(
+    return local.join(offsets, [*groups, *levels]).select(
         *df.columns, (F.col("__offset") + F.col("__local")).alias(result)
     )

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,15 +112,16 @@ def properties(counts: DataFrame) -> DataFrame:
     )
 
 
-def histogram(counts: DataFrame, steps: int = STEPS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def histogram(counts: DataFrame, steps: int = STEPS, rows_per_bucket: int = ROWS_PER_BUCKET, folder: str | None = None) -> DataFrame:
     """Equal-height steps from exact value counts; missing values are left out.
 
     A value belongs to step ``rows before it * steps div rows``, so each value with
-    at least rows / steps rows ends its step and keeps its exact count.
+    at least rows / steps rows ends its step and keeps its exact count. With a ``folder``
+    and written counts, many texts with a common beginning are spread as well (see ``rows_before``).
     """
     known = known_values(counts)
     totals = known.groupBy(*COLUMN_KEY).agg(F.sum("value_rows").alias("__total"))
-    placed = rows_before(known, COLUMN_KEY, VALUE, "value_rows", "__before", rows_per_bucket)
+    placed = rows_before(known, COLUMN_KEY, VALUE, "value_rows", "__before", rows_per_bucket, folder)
     step = F.call_function("div", F.col("__before") * steps, F.col("__total"))
     high = F.max(F.struct(*VALUE, "value_rows"))
     grouped = (
@@ -143,9 +144,12 @@ def histogram(counts: DataFrame, steps: int = STEPS, rows_per_bucket: int = ROWS
 
 def top_equality(steps: DataFrame, n: int = 3) -> DataFrame:
     """Sum of the ``n`` largest ``equal_rows`` per column; a column has few steps."""
-    order = Window.partitionBy(*COLUMN_KEY).orderBy(F.desc("equal_rows"), "step")
-    ranked = steps.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n)
-    return ranked.groupBy(*COLUMN_KEY).agg(F.sum("equal_rows").alias("top3_equal_rows"))
+    return steps.groupBy(*COLUMN_KEY).agg(_largest(n))
+
+
+def _largest(n: int) -> Column:
+    largest = F.slice(F.sort_array(F.collect_list("equal_rows"), asc=False), 1, n)
+    return F.aggregate(largest, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("top3_equal_rows")
 
 
 def _summary_columns() -> list[Column]:
@@ -166,9 +170,7 @@ def histogram_summary(steps: DataFrame) -> DataFrame:
 
 def step_summary(steps: DataFrame, n: int = 3) -> DataFrame:
     """Summary and the sum of the ``n`` largest ``equal_rows``, by one aggregation; a column has at most ``STEPS`` steps to list."""
-    largest = F.slice(F.sort_array(F.collect_list("equal_rows"), asc=False), 1, n)
-    total = F.aggregate(largest, F.lit(0).cast("bigint"), lambda a, b: a + b)
-    return steps.groupBy(*COLUMN_KEY).agg(*_summary_columns(), total.alias("top3_equal_rows"))
+    return steps.groupBy(*COLUMN_KEY).agg(*_summary_columns(), _largest(n))
 
 
 def skew(catalog: DataFrame, steps: DataFrame, supported: Column) -> DataFrame:
@@ -257,7 +259,7 @@ def refresh_batch(
         elif first == 0:
             spark.createDataFrame([], COUNTS_SCHEMA).write.mode("append").parquet(f"{folder}/counts")
     counts = spark.read.schema(COUNTS_SCHEMA).parquet(f"{folder}/counts")
-    steps = histogram(counts)
+    steps = histogram(counts, folder=f"{folder}/placing")
     sampled = counts.groupBy(*COLUMN_KEY).agg(
         F.sum("value_rows").alias("rows_sampled"), F.count(F.lit(1)).alias("sampled_values")
     )

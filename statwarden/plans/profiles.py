@@ -54,6 +54,13 @@ def counts(x: Inputs) -> DataFrame:
     return profile.value_counts(tall_rows(x))
 
 
+def steps_of(x: Inputs, rows: DataFrame) -> DataFrame:
+    """The histogram of tall rows; the value counts are written once, as placing them reads them several times."""
+    folder = work_folder(x.spark, "steps")
+    profile.value_counts(rows).write.parquet(f"{folder}/counts")
+    return profile.histogram(x.spark.read.schema(profile.COUNTS_SCHEMA).parquet(f"{folder}/counts"), folder=f"{folder}/placing")
+
+
 def _value_sql(column: str) -> str:
     kind = KINDS[column]
     as_long = {"i": column, "m": f"epoch_us({column})"}.get(kind, "NULL")
@@ -116,7 +123,7 @@ def prof_value_counts(x: Inputs) -> DataFrame:
 
 @query("prof_histogram_steps", "SELECT * FROM steps", ctes=STEPS_SQL)
 def prof_histogram_steps(x: Inputs) -> DataFrame:
-    return profile.histogram(counts(x))
+    return steps_of(x, tall_rows(x))
 
 
 @query(
@@ -127,18 +134,17 @@ def prof_histogram_steps(x: Inputs) -> DataFrame:
 def src_histogram(x: Inputs) -> DataFrame:
     """Histograms of one table: only its profiled columns are scanned."""
     rows = profile.tall(x.table("lineitem"), "lineitem", profile.profiled(x.table("lineitem")))
-    steps = profile.histogram(profile.value_counts(rows))
-    return steps.select("column_name", "step", "equal_rows", "range_rows", "distinct_range")
+    return steps_of(x, rows).select("column_name", "step", "equal_rows", "range_rows", "distinct_range")
 
 
 @query("agg_histogram_summary", "SELECT * FROM summary", ctes=SUMMARY_SQL)
 def agg_histogram_summary(x: Inputs) -> DataFrame:
-    return profile.histogram_summary(profile.histogram(counts(x)))
+    return profile.histogram_summary(steps_of(x, tall_rows(x)))
 
 
 @query("agg_top3_equality", "SELECT * FROM top3", ctes=SUMMARY_SQL)
 def agg_top3_equality(x: Inputs) -> DataFrame:
-    return profile.top_equality(profile.histogram(counts(x)))
+    return profile.top_equality(steps_of(x, tall_rows(x)))
 
 
 def column_catalog(x: Inputs, tables: dict[str, list[str]]) -> DataFrame:
@@ -173,7 +179,7 @@ def prof_skew(x: Inputs) -> DataFrame:
         "table_name", "column_name", (F.col("column_name") != "lang").alias("properties_available")
     )
     supported = F.when(F.col("column_name") == "o_totalprice", F.lit(None)).otherwise(F.col("column_name") != "value")
-    return profile.skew(catalog, profile.histogram(counts(x)), supported)
+    return profile.skew(catalog, steps_of(x, tall_rows(x)), supported)
 
 
 SAMPLED = "(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR)), 1, 8))::BIGINT)"

@@ -44,6 +44,54 @@ def test_rows_before_equals_brute_force(spark, per_bucket):
     assert got == want
 
 
+def alike_texts(n=2000):
+    """Most texts of a group share a beginning of hundreds of characters, half of these a second one."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(n):
+        beginning = "L" * 500 if rng.random() < 0.6 else "é" * 70
+        rows.append((i % 3 == 0, None, beginning + ("M" * 200 if rng.random() < 0.5 else "") + str(rng.random()), rng.randrange(9)))
+    rows += [(True, k, None, 2) for k in range(n // 4)] + [(True, None, t, 5) for t in ("L" * 500, "L" * 499, "é" * 64, "")]
+    return rows
+
+
+def test_texts_with_common_beginnings_are_cut_by_the_characters_that_differ(spark, tmp_path):
+    rows = alike_texts()
+    df = spark.createDataFrame(rows, "key boolean, n long, t string, weight long")
+    out = prefix.rows_before(df, ["key"], ["n", "t"], "weight", rows_per_bucket=20, folder=str(tmp_path))
+    running, want = {}, {}
+    for key, n, t, weight in sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], (r[2] or "").encode())):
+        want[key, n, t] = running.get(key, 0)
+        running[key] = want[key, n, t] + weight
+    assert {(r.key, r.n, r.t): r.rows_before for r in out.collect()} == want
+    levels = len(list(tmp_path.glob("cuts_*")))
+    assert levels >= 2
+    # the written cut points part the rows: no bucket, and so no task, holds a multiple of what it should
+    placed, within = df, ["key"]
+    first = F.struct(F.col("n"), F.substring("t", 1, prefix.CUT_CHARACTERS).alias("t"))
+    for level in range(levels):
+        cuts = spark.read.parquet(f"{tmp_path}/cuts_{level}")
+        key = first if level == 0 else prefix._next_characters("t")
+        placed = placed.join(cuts, within, "left").select(*placed.columns, prefix._bucket(key).alias(f"__bucket_{level}"))
+        within.append(f"__bucket_{level}")
+    sizes = sorted(r["count"] for r in placed.groupBy(*within).count().collect())
+    assert sizes[-1] <= 10 * 20 and len(sizes) > 30
+
+
+def test_common_length_of_two_texts(spark):
+    pairs = [("abcxyz", "abcd", 3), ("", "a", 0), ("éé", "ééé", 2), ("x" * 5000 + "a", "x" * 5000 + "b", 5000), ("same", "same", 4), ("a", "b", 0)]
+    df = spark.createDataFrame(pairs, "a string, b string, want int")
+    assert [r.got for r in df.select(prefix._common_length(F.col("a"), F.col("b")).alias("got")).collect()] == [p[2] for p in pairs]
+
+
+def test_histogram_of_alike_texts_is_the_same_with_and_without_refinement(spark, tmp_path):
+    df = spark.createDataFrame([(t,) for _, _, t, _ in alike_texts()], "t string")
+    profile.value_counts(profile.tall(df, "x", ["t"])).write.parquet(f"{tmp_path}/counts")
+    counts = spark.read.schema(profile.COUNTS_SCHEMA).parquet(f"{tmp_path}/counts")
+    refined = profile.histogram(counts, rows_per_bucket=20, folder=f"{tmp_path}/placing").collect()
+    assert sorted(refined, key=repr) == sorted(profile.histogram(counts).collect(), key=repr)
+
+
 @pytest.mark.parametrize("per_bucket", [10**6, 100, 3])
 def test_histogram_does_not_depend_on_buckets(spark, sf_dir, per_bucket):
     table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
