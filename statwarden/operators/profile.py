@@ -86,21 +86,21 @@ def value_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*COLUMN_KEY, *VALUE).agg(F.count(F.lit(1)).alias("value_rows"))
 
 
-def _known() -> Column:
+def known() -> Column:
     return reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in VALUE])
 
 
 def known_values(counts: DataFrame) -> DataFrame:
-    return counts.where(_known())
+    return counts.where(known())
 
 
 def properties(counts: DataFrame) -> DataFrame:
     """Per column: rows, known rows, distinct values, lowest and highest value."""
-    known = _known()
+    has_value = known()
     return counts.groupBy(*COLUMN_KEY).agg(
         F.sum("value_rows").alias("stats_rows"),
-        F.coalesce(F.sum(F.when(known, F.col("value_rows"))), F.lit(0)).alias("known_rows"),
-        F.count_if(known).alias("distinct_values"),
+        F.coalesce(F.sum(F.when(has_value, F.col("value_rows"))), F.lit(0)).alias("known_rows"),
+        F.count_if(has_value).alias("distinct_values"),
         F.min("long_value").alias("min_long"),
         F.max("long_value").alias("max_long"),
         F.min("double_value").alias("min_double"),
@@ -119,9 +119,9 @@ def histogram(counts: DataFrame, steps: int = STEPS, rows_per_bucket: int = ROWS
     at least rows / steps rows ends its step and keeps its exact count. With a ``folder``
     and written counts, many texts with a common beginning are spread as well (see ``rows_before``).
     """
-    known = known_values(counts)
-    totals = known.groupBy(*COLUMN_KEY).agg(F.sum("value_rows").alias("__total"))
-    placed = rows_before(known, COLUMN_KEY, VALUE, "value_rows", "__before", rows_per_bucket, folder)
+    values = known_values(counts)
+    totals = values.groupBy(*COLUMN_KEY).agg(F.sum("value_rows").alias("__total"))
+    placed = rows_before(values, COLUMN_KEY, VALUE, "value_rows", "__before", rows_per_bucket, folder)
     step = F.call_function("div", F.col("__before") * steps, F.col("__total"))
     high = F.max(F.struct(*VALUE, "value_rows"))
     grouped = (
