@@ -38,3 +38,34 @@ def test_counts_over_several_batches_and_hot_keys(spark, tmp_path):
     got = {r.k: r.modification_counter for r in modifications.current_counts(spark, f"{tmp_path}/work", ["k"]).collect()}
     later = [k for n, k, day in rows if day > "2024-01-01"]
     assert got == {1: later.count(1), 2: later.count(2), 3: 0}
+
+
+def test_a_reader_needs_the_folded_counts_and_the_batches_after_them_only(spark, tmp_path):
+    """Two runs on one folder; what lies in folded groups is made unreadable between and after them."""
+    statistics = spark.createDataFrame([(k,) for k in range(4)], "k long").selectExpr("k", "timestamp_ntz'2024-01-02' AS last_updated", "1 AS epoch")
+    want = {k: 0 for k in range(4)}
+    work = tmp_path / "work"
+    for part in range(2):
+        for n in range(5):
+            rows = [(part * 50 + n * 10 + i, i % 3, f"2024-01-0{1 + (i + n) % 4}") for i in range(10)]
+            for _, k, day in rows:
+                want[k] += day > "2024-01-02"
+            events = spark.createDataFrame(rows, "event_id long, k long, day string").selectExpr("event_id", "k", "CAST(day AS timestamp_ntz) AS ts")
+            events.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        stream = modifications.change_stream(spark, f"{tmp_path}/events", "*.parquet", events.schema, 1)
+        modifications.run_to_end(stream, statistics, ["k"], "event_id", str(work), batches_per_group=2)
+        last = modifications._last_folded(spark, str(work))
+        assert last == (1 if part == 0 else 3)
+        for group in range(last + 1):
+            for file in (work / "counts" / f"group={group}").rglob("*.parquet"):
+                (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+                file.write_bytes(b"no table")
+        got = {r.k: r.modification_counter for r in modifications.current_counts(spark, str(work), ["k"]).collect()}
+        assert got == want
+
+
+def test_the_last_folded_group_is_found_by_halving(spark, tmp_path):
+    for groups in range(10):
+        assert modifications._last_folded(spark, str(tmp_path)) == groups - 1
+        (tmp_path / "folded" / f"group={groups}").mkdir(parents=True)
+        (tmp_path / "folded" / f"group={groups}" / "_SUCCESS").touch()
