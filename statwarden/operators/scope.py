@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from statwarden.functions.logic import c, Fields, first_match, holds
 from statwarden.functions.text import MAX_NAME, is_blank
+from statwarden.operators.skew import HOT_ROWS, lookup
 
 SCOPE_FIELDS = [
     "is_excluded", "exclusion_reason", "excluded_by", "excluded_at",
@@ -152,6 +153,24 @@ def next_scope(scope: DataFrame, outcome: DataFrame) -> DataFrame:
     )
 
 
+def refuse_renames(edits: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Kind of each edit, and the rule 51060 for all edits of a statement that renames a key.
+
+    ``edits`` has statement_id, old_name and new_name: a row without old name is an INSERT,
+    one without new name a DELETE. A DELETE and an INSERT of one statement are no rename, as
+    they are two rows; another spelling of the same name is one. A statement takes effect
+    as a whole or not at all. Edits without a statement are judged one by one; an
+    edit without any name changes nothing and is left out.
+    """
+    old, new = F.col("old_name"), F.col("new_name")
+    kind = first_match([(old.isNull(), "INSERT"), (new.isNull(), "DELETE"), (old == new, "UPDATE")], "RENAME")
+    df = edits.where(old.isNotNull() | new.isNotNull()).withColumn("change_type", kind)
+    renaming = df.where("change_type = 'RENAME'").select("statement_id").distinct().withColumn("__renames", F.lit(True))
+    judged = lookup(df, renaming, ["statement_id"], ["old_name", "new_name"], hot_rows=hot_rows)
+    refused = F.col("__renames") | (F.col("change_type") == "RENAME")
+    return judged.withColumn("violation", F.when(refused, F.lit("51060"))).drop("__renames")
+
+
 def audit_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """INSERT, UPDATE and DELETE rows between two scope tables, old and new side by side.
 

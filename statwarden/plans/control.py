@@ -186,6 +186,25 @@ def scope_apply_changes(x: Inputs) -> DataFrame:
     return outcome(x)
 
 
+@query(
+    "scope_refuse_renames",
+    """SELECT statement_id, old_name, new_name, change_type,
+         CASE WHEN bool_or(change_type = 'RENAME') OVER (PARTITION BY statement_id) THEN '51060' END AS violation
+       FROM (SELECT CAST(coalesce(d.database_id, s.id) // 20 AS BIGINT) AS statement_id, s.configured_name AS old_name, d.database_name AS new_name,
+               CASE WHEN s.configured_name IS NULL THEN 'INSERT' WHEN d.database_name IS NULL THEN 'DELETE'
+                    WHEN s.configured_name = d.database_name THEN 'UPDATE' ELSE 'RENAME' END AS change_type
+             FROM scope s FULL JOIN datasets d ON lower(s.configured_name) = lower(d.database_name))""",
+    ("datasets", "scope"),
+)
+def scope_refuse_renames(x: Inputs) -> DataFrame:
+    """Statements that bring the scope's names in line with the catalog, twenty databases each; a changed spelling is refused."""
+    entries = x.scope.select("id", F.col("configured_name").alias("old_name"))
+    present = x.datasets.select("database_id", F.col("database_name").alias("new_name"))
+    paired = entries.join(present, F.lower("old_name") == F.lower("new_name"), "full")
+    statement = F.call_function("div", F.coalesce("database_id", "id").cast("bigint"), F.lit(20).cast("bigint"))
+    return scope.refuse_renames(paired.select(statement.alias("statement_id"), "old_name", "new_name"))
+
+
 AFTER_SQL = """
 changed AS (SELECT * FROM outcome WHERE violation IS NULL),
 scope_after AS (

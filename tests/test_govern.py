@@ -203,3 +203,18 @@ def test_every_log_entry_has_one_state(x):
     events = workflows.action_events(x)
     latest = latest_actions(events)
     assert latest.count() == events.select("action_id").distinct().count()
+
+
+@pytest.mark.parametrize("hot_rows", [1, 10**9])
+def test_a_statement_that_renames_a_key_is_refused_as_a_whole(spark, hot_rows):
+    edits = [
+        (1, "A", "A"), (1, "B", "b"), (1, None, "C"), (2, "D", None), (2, None, "E"), (3, "F", "F"), (3, "F", "F"),
+        (None, "G", "H"), (None, "I", "I"), (4, None, None), (5, "", "x"),
+    ]
+    df = spark.createDataFrame(edits, "statement_id long, old_name string, new_name string")
+    got = sorted((tuple(r) for r in scope.refuse_renames(df, hot_rows=hot_rows).collect()), key=repr)
+    kinds = ["UPDATE", "RENAME", "INSERT", "DELETE", "INSERT", "UPDATE", "UPDATE", "RENAME", "UPDATE", None, "RENAME"]
+    bad = [0, 1, 2, 7, 10]
+    want = [(*e, k, "51060" if i in bad else None) for i, (e, k) in enumerate(zip(edits, kinds)) if k]
+    assert got == sorted(want, key=repr)
+    assert scope.refuse_renames(df.where("false")).count() == 0
