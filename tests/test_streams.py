@@ -1,6 +1,7 @@
 """Streams whose result must not depend on how files fall into batches."""
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from statwarden.operators import scope
@@ -69,3 +70,77 @@ def test_the_last_folded_group_is_found_by_halving(spark, tmp_path):
         assert modifications._last_folded(spark, str(tmp_path)) == groups - 1
         (tmp_path / "folded" / f"group={groups}").mkdir(parents=True)
         (tmp_path / "folded" / f"group={groups}" / "_SUCCESS").touch()
+
+
+def _change(seq, name, note, deleted=False):
+    return {"seq": seq, "deleted": deleted, "configured_name": name, "notes": note}
+
+
+def _feed(spark, template, tmp_path, work, batches, lateness):
+    """Change rows as files, one a batch, each file later than those before it."""
+    for rows in batches:
+        made = spark.createDataFrame(rows, "seq int, deleted boolean, configured_name string, notes string")
+        empty = template.drop("seq", "deleted", "configured_name", "notes").limit(0)
+        full = made.unionByName(empty, allowMissingColumns=True).select(template.columns)
+        full.coalesce(1).write.mode("append").parquet(f"{tmp_path}/changes")
+    stream = modifications.change_stream(spark, f"{tmp_path}/changes", "*.parquet", template.schema, 1)
+    scope_audit.run_to_end(stream, work, lateness=lateness, batches_per_group=2)
+
+
+def _kinds(audit):
+    rows = audit.select("configured_name", "change_type", F.col("old.notes").alias("was"), F.col("new.notes").alias("now"))
+    return sorted((r.configured_name, r.change_type, r.was or "", r.now or "") for r in rows.collect())
+
+
+def test_closed_changes_are_not_read_again_and_late_ones_are_listed(spark, sf_dir, tmp_path):
+    x = Inputs(spark, sf_dir)
+    template = streams.scope_changes(x).withColumn("seq", F.col("seq").cast("int")).limit(0)
+    start = x.scope.drop("id").limit(0)
+    work = f"{tmp_path}/work"
+    # out of order inside the allowed lateness of 10
+    first = [[_change(20, "a", "a20"), _change(5, "b", "b5")], [_change(12, "a", "a12"), _change(21, "b", "", True)], [_change(40, "c", "c40")], [_change(35, "a", "a35")]]
+    _feed(spark, template, tmp_path, work, first, 10)
+    want = [("a", "INSERT", "", "a12"), ("a", "UPDATE", "a12", "a20"), ("a", "UPDATE", "a20", "a35"), ("b", "DELETE", "b5", ""), ("b", "INSERT", "", "b5"), ("c", "INSERT", "", "c40")]
+    assert _kinds(scope_audit.audit_rows(spark, work, start, template.schema)) == want
+    # group 0 is folded up to 21 - 10 = 11, so 11 is late, 13 is not; group 1 closes everything up to 41
+    second = [[_change(11, "d", "d11"), _change(31, "a", "a31"), _change(51, "d", "d51")], [_change(52, "d", "d52")]]
+    _feed(spark, template, tmp_path, work, second, 10)
+    folded = modifications._last_folded(spark, work)
+    assert folded == 1
+    for part in ("log", "base", "open"):
+        for group in range(folded + (part == "log")):
+            for file in (tmp_path / "work" / part / f"group={group}").rglob("*.parquet"):
+                (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+                file.write_bytes(b"no table")
+    want = sorted(want + [("a", "UPDATE", "a20", "a31"), ("a", "UPDATE", "a31", "a35"), ("d", "INSERT", "", "d51"), ("d", "UPDATE", "d51", "d52")])
+    want.remove(("a", "UPDATE", "a20", "a35"))
+    assert _kinds(scope_audit.audit_rows(spark, work, start, template.schema)) == want
+    late = [(r.seq, r.notes) for r in scope_audit.late_changes(spark, work, template.schema).collect()]
+    assert late == [(11, "d11")]
+    last = {r.configured_name: r.notes for r in scope_audit.snapshot(spark, work, start, template.schema).collect()}
+    assert last == {"a": "a35", "c": "c40", "d": "d52"}
+
+
+def test_a_fold_that_is_run_again_gives_the_same_steps(spark, sf_dir, tmp_path, monkeypatch):
+    """The first fold of group 1 ends after its steps, base and open changes, before its mark."""
+    x = Inputs(spark, sf_dir)
+    template = streams.scope_changes(x).withColumn("seq", F.col("seq").cast("int")).limit(0)
+    start = x.scope.drop("id").limit(0)
+    work = f"{tmp_path}/work"
+    log = scope_audit._log
+
+    def stopped(spark, folder, schema, group, late):
+        if late and group == 1:
+            raise RuntimeError("lost")
+        return log(spark, folder, schema, group, late)
+
+    monkeypatch.setattr(scope_audit, "_log", stopped)
+    with pytest.raises(StreamingQueryException):
+        _feed(spark, template, tmp_path, work, [[_change(n, "a", f"a{n}")] for n in range(1, 6)], 0)
+    monkeypatch.setattr(scope_audit, "_log", log)
+    assert modifications._last_folded(spark, work) == 0
+    want = [("a", "INSERT", "", "a1"), *(("a", "UPDATE", f"a{n}", f"a{n + 1}") for n in range(1, 6))]
+    assert _kinds(scope_audit.audit_rows(spark, work, start, template.schema)) == want[:4]
+    _feed(spark, template, tmp_path, work, [[_change(6, "a", "a6")]], 0)
+    assert modifications._last_folded(spark, work) == 1
+    assert _kinds(scope_audit.audit_rows(spark, work, start, template.schema)) == want
