@@ -235,6 +235,10 @@ def scope_after(x: Inputs) -> DataFrame:
     (SCOPE_SQL, CHANGES_SQL, AFTER_SQL),
 )
 def audit_scope_diff(x: Inputs) -> DataFrame:
+    return audit_rows(x)
+
+
+def audit_rows(x: Inputs) -> DataFrame:
     return flat_audit(scope.audit_diff(x.scope, scope_after(x)))
 
 

@@ -382,41 +382,7 @@ def win_latest_run(x: Inputs) -> DataFrame:
     return last.select("mode", "engine_version", "database_name", "last.run_no", "last.started_at")
 
 
-@query("topn_recent", "SELECT run_no, mode, database_name, started_at FROM runs ORDER BY started_at DESC, run_no DESC LIMIT 20", ("runs",))
-def topn_recent(x: Inputs) -> DataFrame:
-    return x.runs.orderBy(F.desc("started_at"), F.desc("run_no")).limit(20).select("run_no", "mode", "database_name", "started_at")
-
-
 @query("sort_reports", "SELECT database_name, schema_name, table_name, stat_name FROM fleet ORDER BY 1, 2, 3, 4", ("fleet",))
 def sort_reports(x: Inputs) -> DataFrame:
     keys = ["database_name", "schema_name", "table_name", "stat_name"]
     return x.fleet.select(*keys).orderBy(*keys)
-
-
-@query(
-    "scan_recent_inventory",
-    """SELECT section, id, label, noted_at FROM (
-         SELECT 'RUNS' AS section, run_no AS id, mode AS label, started_at AS noted_at, row_number() OVER (ORDER BY started_at DESC, run_no DESC) AS rn, 20 AS cap FROM runs
-         UNION ALL SELECT 'TELEMETRY', stats_id, stat_name, last_updated, row_number() OVER (ORDER BY last_updated DESC NULLS LAST, stats_id DESC), 100 FROM fleet
-         UNION ALL SELECT 'SCOPE', revision, configured_name, excluded_at, row_number() OVER (ORDER BY revision DESC), 50 FROM scope
-         UNION ALL SELECT 'OVERRIDES', override_id, action, expires_at, row_number() OVER (ORDER BY override_id DESC), 100 FROM overrides)
-       WHERE rn <= cap""",
-    ("runs", "fleet", "scope", "overrides"),
-)
-def scan_recent_inventory(x: Inputs) -> DataFrame:
-    """Newest rows of the governance tables, one section per table."""
-
-    def section(df, name, key, label, at, order, n):
-        top = df.orderBy(*order).limit(n)
-        return top.select(F.lit(name).alias("section"), F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(at).alias("noted_at"))
-
-    parts = [
-        section(x.runs, "RUNS", "run_no", "mode", "started_at", [F.desc("started_at"), F.desc("run_no")], 20),
-        section(x.fleet, "TELEMETRY", "stats_id", "stat_name", "last_updated", [F.desc_nulls_last("last_updated"), F.desc("stats_id")], 100),
-        section(x.scope, "SCOPE", "revision", "configured_name", "excluded_at", [F.desc("revision")], 50),
-        section(x.overrides, "OVERRIDES", "override_id", "action", "expires_at", [F.desc("override_id")], 100),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
