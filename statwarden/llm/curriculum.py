@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statwarden.llm.registry import query, table
 from statwarden.llm.shared import BLANK, written
@@ -130,6 +131,12 @@ def curriculum(
     return out.orderBy(F.col("position_1").asc_nulls_last(), "doc_id")
 
 
+def orderable(docs: DataFrame, name: str) -> Column:
+    """A field of ``row`` by which rows can be ordered; nested ones by their text."""
+    field = F.col(f"row.`{name}`")
+    return F.to_json(F.struct(field)) if isinstance(docs.schema[name].dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType)) else field
+
+
 def mixed(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT,
     schedule: Sequence[tuple[float, float]] = SCHEDULE, range_rows: int = RANGE_ROWS,
@@ -145,7 +152,9 @@ def mixed(
     rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("digest", "source").orderBy("position_1")))
     taken = rows.select("digest", "source", "nth", "size", each.alias("x")).where("x.part > 0").select("digest", "source", "nth", "size", "x.*")
     own = docs.select(F.struct("*").alias("row"), digest_of().alias("own_digest"), F.col("source").alias("own_source"))
-    own = own.withColumn("own_nth", F.row_number().over(W.partitionBy("own_digest", "own_source").orderBy(F.lit(0))))
+    # by all that is not in the digest, so that a task that is run again numbers its rows alike
+    rest = [F.col("row.text").isNull(), *[orderable(docs, n) for n in docs.columns if n not in ("doc_id", "text", "source")]]
+    own = own.withColumn("own_nth", F.row_number().over(W.partitionBy("own_digest", "own_source").orderBy(*rest)))
     joined = own.join(taken, (F.col("own_digest") == F.col("digest")) & (F.col("own_nth") == F.col("nth")) & F.col("own_source").eqNullSafe(F.col("source")))
     words = F.split(F.trim(F.regexp_replace("row.text", BLANK, " ")), " ")
     text = F.when(F.col("part") < F.col("size"), F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(F.col("row.text"))

@@ -106,6 +106,16 @@ def test_small_ranges_change_nothing(spark, odd):
     assert rows_of(curriculum.curriculum(docs, range_rows=2)) == rows_of(curriculum.curriculum(docs))
 
 
+def test_mix_tells_equal_rows_apart_by_their_other_columns(spark):
+    """Rows equal in id, source and text take different parts; which one does not depend on the tasks."""
+    rows = [(1, "b", "w1 w2 w3 w4 w5", n, {"k": n}, [n % 3]) for n in range(9)] + [(2, "a", "x " * 40, 0, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars int, extra map<string,int>, parts array<int>")
+    seen = [sorted(map(str, curriculum.mixed(docs.repartition(k, "n_chars")).collect())) for k in (1, 3, 7)]
+    assert seen[0] == seen[1] == seen[2]
+    parts = [r.text for r in curriculum.mixed(docs).where("source = 'b'").collect()]
+    assert len(set(parts)) > 1  # some row is cut, and it is the same one each time
+
+
 def test_mix_has_the_words_taken(spark, odd):
     folder, _ = odd
     docs = table(spark, folder, "documents")
