@@ -234,16 +234,22 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def across(rare: DataFrame, labels: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a rare shingle and can reach the threshold."""
+    """Pairs of different components that share a rare shingle and can reach the threshold.
+
+    The classes of the component that holds a shingle most often meet only those of others, so
+    a large group of copies and a few strays do not cost the square of the group.
+    """
     known = facts.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n_shingles", "parity")
     rows = written(rare.join(known, "node"), "near-rare-rows")
     # copies of one component share their rare shingles: what all holders of one label have leads nowhere
-    several = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    rows = rows.join(several, "shingle")
-    left = rows.select("shingle", F.struct("node", "label", "n_shingles", "parity").alias("of_a"))
-    right = rows.where("index").select("shingle", F.struct("node", "label", "n_shingles", "parity").alias("of_b"))
+    held = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("most")).where("labels > 1")
+    rows = rows.join(several.select("shingle", "most"), "shingle").withColumn("main", F.col("label") == F.col("most"))
+    side = F.struct("node", "label", "n_shingles", "parity")
+    left, right = rows.select("shingle", "main", side.alias("of_a")), rows.where("index").select("shingle", F.col("main").alias("main_b"), side.alias("of_b"))
     larger = (F.col("of_a.n_shingles") > F.col("of_b.n_shingles")) | ((F.col("of_a.n_shingles") == F.col("of_b.n_shingles")) & (F.col("of_a.node") < F.col("of_b.node")))
-    both = left.join(right, "shingle").where((F.col("of_a.label") != F.col("of_b.label")) & larger & possible(percent))
+    both = left.join(right.where("NOT main_b"), "shingle").unionByName(left.where("NOT main").join(right.where("main_b"), "shingle"))
+    both = both.where((F.col("of_a.label") != F.col("of_b.label")) & larger & possible(percent))
     return both.select(F.col("of_a.node").alias("a"), F.col("of_b.node").alias("b"), apart("parity", SET_BITS).alias("distance"))
 
 
