@@ -10,6 +10,7 @@ or a second reading of the same data sees the same cut points.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from pyspark.sql import types as T
 # Rows of a bucket; beyond 2**42 rows in all a bucket has 4 * sqrt(rows), so that there
 # are at most sqrt(rows) / 4 cut points: 800,000 for the 1e13 values of 100 TB.
 ROWS_PER_BUCKET = 1_000_000
+# Bytes of texts of a bucket, as a million long texts are too many for a task; beyond 4 * 2**40 bytes
+# in all a bucket has 16 * sqrt(bytes).
+BYTES_PER_BUCKET = 1 << 25
 # Cut points are pieces of texts: any value may part two buckets.
 CUT_CHARACTERS = 64
 STRIDE = 64
@@ -28,16 +32,40 @@ TIED_BUCKETS = 4
 LENGTH_BITS = 31
 
 
-def _cut_points(df: DataFrame, sizes: DataFrame, groups: list[str], key: Column, chosen_by: Column, rows_per_bucket: int) -> DataFrame:
-    """Per group a sorted array of the keys of about rows / rows_per_bucket sampled rows.
+def _row_bytes(df: DataFrame, order: Sequence[str]) -> Column:
+    """Bytes of a row's texts."""
+    texts = [f.name for f in df.schema if f.name in order and isinstance(f.dataType, T.StringType)]
+    return reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(t), F.lit(0)) for t in texts], F.lit(0).cast("bigint"))
 
-    Rows are sampled, not keys: a key of many rows is a cut point itself.
+
+def _sizes(row_bytes: Column) -> list[Column]:
+    return [F.count(F.lit(1)).alias("__n"), F.sum(row_bytes).alias("__bytes")]
+
+
+def _cut_points(
+    df: DataFrame, sizes: DataFrame, groups: list[str], key: Column, chosen_by: Column, rows_per_bucket: int, row_bytes: Column, bytes_per_bucket: int
+) -> DataFrame:
+    """Per group a sorted array of the keys of about rows / rows_per_bucket sampled rows, or bytes / bytes_per_bucket if these are more.
+
+    Rows are sampled, not keys: a key of many rows is a cut point itself. A long text is the likelier one.
     """
-    per_bucket = F.greatest(F.lit(float(rows_per_bucket)), 4 * F.sqrt(F.sum("__n").over(Window.partitionBy())))
-    sizes = sizes.withColumn("__per", per_bucket if rows_per_bucket >= ROWS_PER_BUCKET else F.lit(float(rows_per_bucket)))
+    every = Window.partitionBy()
+    per_bucket = F.greatest(F.lit(float(rows_per_bucket)), 4 * F.sqrt(F.sum("__n").over(every)))
+    per_bytes = F.greatest(F.lit(float(bytes_per_bucket)), 16 * F.sqrt(F.sum("__bytes").over(every)))
+    sizes = sizes.withColumns(
+        {
+            "__per": per_bucket if rows_per_bucket >= ROWS_PER_BUCKET else F.lit(float(rows_per_bucket)),
+            "__per_bytes": per_bytes if bytes_per_bucket >= BYTES_PER_BUCKET else F.lit(float(bytes_per_bucket)),
+        }
+    )
     wanted = F.floor(F.col("__n") / F.col("__per"))
-    sizes = sizes.select(*groups, (wanted / F.col("__n") * HASH_RANGE).cast("bigint").alias("__limit")).where("__limit > 0")
-    sampled = df.join(F.broadcast(sizes), groups).where(F.pmod(chosen_by, F.lit(HASH_RANGE)) < F.col("__limit"))
+    sizes = sizes.select(
+        *groups,
+        (wanted / F.col("__n") * HASH_RANGE).cast("bigint").alias("__limit"),
+        F.when(F.col("__bytes") >= F.col("__per_bytes"), HASH_RANGE / F.col("__per_bytes")).otherwise(0.0).alias("__byte_limit"),
+    ).where("__limit > 0 OR __byte_limit > 0")
+    limit = F.greatest(F.col("__limit"), (row_bytes * F.col("__byte_limit")).cast("bigint"))
+    sampled = df.join(F.broadcast(sizes), groups).where(F.pmod(chosen_by, F.lit(HASH_RANGE)) < limit)
     cuts = sampled.groupBy(*groups).agg(F.sort_array(F.collect_set(key)).alias("__cuts"))
     every_nth = F.transform(
         F.sequence(F.lit(1), F.size("__cuts"), F.lit(STRIDE)), lambda i: F.element_at(F.col("__cuts"), i)
@@ -68,7 +96,9 @@ def _common_length(low: Column, high: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(LENGTH_BITS - 1), F.lit(0), F.lit(-1)), F.lit(0), longer)
 
 
-def _tie_cuts(placed: DataFrame, ties: DataFrame, groups: list[str], text: str, chosen_by: Column, rows_per_bucket: int) -> DataFrame:
+def _tie_cuts(
+    placed: DataFrame, ties: DataFrame, groups: list[str], text: str, chosen_by: Column, rows_per_bucket: int, row_bytes: Column, bytes_per_bucket: int
+) -> DataFrame:
     """Cut points inside each tie, and the length of what its texts have in common.
 
     The common beginning is skipped, so every level looks at characters that differ,
@@ -77,7 +107,7 @@ def _tie_cuts(placed: DataFrame, ties: DataFrame, groups: list[str], text: str,
     rows = placed.join(F.broadcast(ties.select(*groups)), groups)
     common = rows.groupBy(*groups).agg(_common_length(F.min(text), F.max(text)).alias("__skip"))
     skipped = rows.join(F.broadcast(common), groups)
-    cuts = _cut_points(skipped, ties, groups, _next_characters(text), chosen_by, rows_per_bucket)
+    cuts = _cut_points(skipped, ties, groups, _next_characters(text), chosen_by, rows_per_bucket, row_bytes, bytes_per_bucket)
     return cuts.join(common, groups)
 
 
@@ -93,11 +123,12 @@ def rows_before(
     result: str = "rows_before",
     rows_per_bucket: int = ROWS_PER_BUCKET,
     folder: str | None = None,
+    bytes_per_bucket: int = BYTES_PER_BUCKET,
 ) -> DataFrame:
     """Adds the sum of ``weight`` over all earlier rows of the same group.
 
     ``order`` must be unique within a group. Cut points are broadcast: all groups
-    together have few, whatever their number (see ``ROWS_PER_BUCKET``). Texts are placed by
+    together have few, whatever their number (see ``ROWS_PER_BUCKET`` and ``BYTES_PER_BUCKET``). Texts are placed by
     their first characters. With a ``folder``, and a text as the last column of the order,
     large buckets of rows alike in these are cut again by the next characters that differ,
     level by level until none is left; the cut points are kept there, and ``df``,
@@ -106,7 +137,7 @@ def rows_before(
     spark, groups, order = df.sparkSession, list(groups), list(order)
     texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     key = F.struct(*[F.substring(o, 1, CUT_CHARACTERS).alias(o) if o in texts else F.col(o) for o in order])
-    chosen_by = F.xxhash64(*order)
+    chosen_by, row_bytes = F.xxhash64(*order), _row_bytes(df, order)
 
     def kept(table: DataFrame, name: str) -> DataFrame:
         if folder is None:
@@ -114,20 +145,21 @@ def rows_before(
         table.write.parquet(f"{folder}/{name}")
         return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
 
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = kept(_cut_points(df, sizes, groups, key, chosen_by, rows_per_bucket), "cuts_0")
+    sizes = df.groupBy(*groups).agg(*_sizes(row_bytes))
+    cuts = kept(_cut_points(df, sizes, groups, key, chosen_by, rows_per_bucket, row_bytes, bytes_per_bucket), "cuts_0")
     placed = df.join(F.broadcast(cuts), groups, "left").select(*df.columns, _bucket(key).alias("__bucket_0"))
     levels = ["__bucket_0"]
     while folder is not None and texts.intersection(order) == {order[-1]}:
         within = [*groups, *levels]
         # a row without a text has no equal, so only texts may be alike in a beginning and differ
         tied = placed.where((F.col(levels[-1]) % 2 == 1) & F.col(order[-1]).isNotNull())
-        # at most rows / (TIED_BUCKETS * rows_per_bucket) ties
-        counted = tied.groupBy(*within).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= TIED_BUCKETS * rows_per_bucket)
+        # at most rows / (TIED_BUCKETS * rows_per_bucket) ties and as many by bytes; a row alone cannot be parted
+        many = (F.col("__n") >= TIED_BUCKETS * rows_per_bucket) | ((F.col("__n") > 1) & (F.col("__bytes") >= TIED_BUCKETS * bytes_per_bucket))
+        counted = tied.groupBy(*within).agg(*_sizes(row_bytes)).where(many)
         ties = kept(counted, f"ties_{len(levels)}")
         if ties.isEmpty():
             break
-        cuts = kept(_tie_cuts(placed, ties, within, order[-1], chosen_by, rows_per_bucket), f"cuts_{len(levels)}")
+        cuts = kept(_tie_cuts(placed, ties, within, order[-1], chosen_by, rows_per_bucket, row_bytes, bytes_per_bucket), f"cuts_{len(levels)}")
         levels.append(f"__bucket_{len(levels)}")
         deeper = _bucket(_next_characters(order[-1])).alias(levels[-1])
         placed = placed.join(F.broadcast(cuts), within, "left").select(*placed.columns, deeper)

@@ -20,7 +20,7 @@ from statwarden.functions.hashing import HASH_SPACE, percent_threshold, row_hash
 from statwarden.functions.logic import first_match, holds
 from statwarden.functions.numeric import truncated_percent
 from statwarden.functions.temporal import epoch_micros
-from statwarden.operators.prefix import ROWS_PER_BUCKET, rows_before
+from statwarden.operators.prefix import BYTES_PER_BUCKET, ROWS_PER_BUCKET, rows_before
 from statwarden.operators.skew import lookup
 
 STEPS = 200  # fixed value: most steps in a histogram
@@ -112,7 +112,9 @@ def properties(counts: DataFrame) -> DataFrame:
     )
 
 
-def histogram(counts: DataFrame, steps: int = STEPS, rows_per_bucket: int = ROWS_PER_BUCKET, folder: str | None = None) -> DataFrame:
+def histogram(
+    counts: DataFrame, steps: int = STEPS, rows_per_bucket: int = ROWS_PER_BUCKET, folder: str | None = None, bytes_per_bucket: int = BYTES_PER_BUCKET
+) -> DataFrame:
     """Equal-height steps from exact value counts; missing values are left out.
 
     A value belongs to step ``rows before it * steps div rows``, so each value with
@@ -121,7 +123,7 @@ def histogram(counts: DataFrame, steps: int = STEPS, rows_per_bucket: int = ROWS
     """
     values = known_values(counts)
     totals = values.groupBy(*COLUMN_KEY).agg(F.sum("value_rows").alias("__total"))
-    placed = rows_before(values, COLUMN_KEY, VALUE, "value_rows", "__before", rows_per_bucket, folder)
+    placed = rows_before(values, COLUMN_KEY, VALUE, "value_rows", "__before", rows_per_bucket, folder, bytes_per_bucket)
     step = F.call_function("div", F.col("__before") * steps, F.col("__total"))
     high = F.max(F.struct(*VALUE, "value_rows"))
     grouped = (

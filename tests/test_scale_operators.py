@@ -78,6 +78,22 @@ def test_texts_with_common_beginnings_are_cut_by_the_characters_that_differ(spar
     assert sizes[-1] <= 10 * 20 and len(sizes) > 30
 
 
+@pytest.mark.parametrize("beginning", ["", "B" * 300])
+def test_few_long_texts_are_cut_by_their_bytes(spark, tmp_path, beginning):
+    """Fewer texts than the rows of a bucket, but more bytes than a task should read."""
+    rng = random.Random(3)
+    rows = [(beginning + str(rng.random()) + "x" * rng.randrange(2000), i) for i in range(400)] + [(None, 3), ("z" * 60000, 5)]
+    df = spark.createDataFrame([("t", t, w) for t, w in rows], "key string, t string, weight long")
+    out = prefix.rows_before(df, ["key"], ["t"], "weight", folder=str(tmp_path), bytes_per_bucket=8000)
+    running, want = 0, {}
+    for t, weight in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "")):
+        want[t], running = running, running + weight
+    assert {r.t: r.rows_before for r in out.collect()} == want
+    cuts = [spark.read.parquet(str(p)).select(F.size("__cuts")).collect() for p in tmp_path.glob("cuts_*")]
+    # 400 kB of texts: some fifty buckets of 8 kB, at the first characters or after the common beginning
+    assert sum(r[0] for level in cuts for r in level) >= 20
+
+
 def test_common_length_of_two_texts(spark):
     pairs = [("abcxyz", "abcd", 3), ("", "a", 0), ("éé", "ééé", 2), ("x" * 5000 + "a", "x" * 5000 + "b", 5000), ("same", "same", 4), ("a", "b", 0)]
     df = spark.createDataFrame(pairs, "a string, b string, want int")
