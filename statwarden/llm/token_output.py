@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,16 +29,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statwarden.llm.registry import query, table
-from statwarden.llm.shared import TwoGenerations, folder
+from statwarden.llm.shared import folder
 from statwarden.llm.token_counts import vocabulary
 
 END_ID = 2
 # a shard is closed at so many ids; a single document may exceed it
 SHARD_IDS = 1 << 19
 BLOCK = 512
-MEMO_WORDS = 250_000
-# letters whose lower case and splitting are the same in Python and in the library, with closing marks
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+# texts are encoded together up to so many bytes, as a word that comes often in them is encoded once; a single batch may exceed it
+CHUNK_BYTES = 16 << 20
+# letters whose lower case and splitting are the same in Arrow and in the library, and ASCII marks, which split as one run behind them
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
+SIMPLE = rf"^(?P<word>[{LETTERS}]+|[0-9]+)(?P<marks>[{re.escape(MARKS)}]*)\z"
 
 
 class WaveletMatrix:
@@ -53,12 +57,14 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        level, planes, zeros = np.asarray(ids, np.uint32), [], []
+        level, planes, zeros = np.asarray(ids, _width(bits)), [], []
         for shift in range(bits - 1, -1, -1):
-            bit = (level >> shift & 1).astype(bool)
+            bit = (level & level.dtype.type(1 << shift)).astype(bool)
             planes.append(_packed(bit))
-            zeros.append(len(bit) - int(bit.sum()))
-            level = np.concatenate([level[~bit], level[bit]])
+            # places are taken by number, which is faster than by a mask of random bits
+            zero = np.flatnonzero(~bit)
+            zeros.append(len(zero))
+            level = np.concatenate([level.take(zero), level.take(np.flatnonzero(bit))])
         return cls(np.array(planes, np.uint8).reshape(bits, -1), np.array(zeros, np.int64), len(ids))
 
     def _rank(self, plane: int, at: np.ndarray) -> np.ndarray:
@@ -110,14 +116,18 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """The whole sequence, from the last plane up: each undoes the split below it."""
-        values = np.zeros(self.n, np.uint32)
+        values = np.zeros(self.n, _width(len(self.planes)))
         for shift, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
-            one = np.unpackbits(plane, count=self.n).astype(bool)
+            one = np.unpackbits(plane, count=self.n).view(bool)
             level = np.empty_like(values)
-            level[~one] = values[:zeros]
-            level[one] = values[zeros:] | np.uint32(1 << shift)
+            level[np.flatnonzero(~one)] = values[:zeros]
+            level[np.flatnonzero(one)] = values[zeros:] | values.dtype.type(1 << shift)
             values = level
-        return values
+        return values.astype(np.uint32)
+
+
+def _width(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.uint32
 
 
 def _packed(bit: np.ndarray) -> np.ndarray:
@@ -164,10 +174,10 @@ def from_file(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]
 
 
 class Encoder:
-    """Ids of whole texts; each distinct word is encoded once by the library and memoised.
+    """Ids of whole texts; the distinct words of many texts are encoded by the library, each once.
 
     No token of this tokenizer spans white space and no special token holds any, so the
-    ids of a text are those of its words in order.
+    ids of a text are those of its words in order. Words are split and told apart by Arrow.
     """
 
     def __init__(self, file: str):
@@ -175,32 +185,82 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
         self.bits = (self.tokenizer.get_vocab_size() - 1).bit_length()
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [chr(c) for c in range(0x100) if SIMPLE.fullmatch(chr(c))]
+        letters = [chr(c) for c in range(0x100) if re.fullmatch(f"[{LETTERS}]", chr(c))]
         self.mapped = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in letters})
-        self.marks = TwoGenerations(self.encode, 10_000)
-        self.letters = TwoGenerations(self.model_ids, MEMO_WORDS // 3)
-        self.words = TwoGenerations(self.word, MEMO_WORDS)
-        self.words[""] = b""
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def model_ids(self, letters: str) -> bytes:
-        """The library's model on lower-case letters, without its general text steps."""
-        mapped = letters if letters.isascii() else letters.translate(self.mapped)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
-
-    def word(self, word: str) -> bytes:
-        simple = SIMPLE.fullmatch(word)
-        if not simple:
-            return self.encode(word)
-        letters, marks = simple.groups()
-        return self.letters[letters.lower()] + (self.marks[marks] if marks else b"")
+        self.digits = {str(d): self.encode(str(d)) for d in range(10)}
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def model_ids(self, letters: str) -> list[int]:
+        """The library's model on lower-case letters, without its general text steps; a digit is a token of its own."""
+        if letters[0] in self.digits:
+            return [i for d in letters for i in self.digits[d]]
+        return [t.id for t in self.model.tokenize(letters if letters.isascii() else letters.translate(self.mapped))]
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and their numbers: simple ones are told apart without case and marks first."""
+        parts = pc.extract_regex(words, SIMPLE)
+        simple = parts.is_valid()
+        low = pc.utf8_lower(pc.struct_field(parts, "word").filter(simple)).dictionary_encode()
+        marks = pc.struct_field(parts, "marks").filter(simple).dictionary_encode()
+        flat, sizes = array("I"), array("q")
+        for encode, pieces in ((self.model_ids, low.dictionary), (self.encode, marks.dictionary), (self.encode, words.filter(pc.invert(simple)))):
+            for piece in pieces.to_pylist():
+                ids = encode(piece) if piece else ()
+                flat.extend(ids)
+                sizes.append(len(ids))
+        # a word has two pieces, of which the second may be empty; the last piece of all is
+        sizes.append(0)
+        simple = simple.to_numpy(zero_copy_only=False)
+        pieces = np.full((len(words), 2), len(sizes) - 1)
+        pieces[simple, 0] = low.indices.to_numpy()
+        pieces[simple, 1] = marks.indices.to_numpy() + np.int64(len(low.dictionary))
+        pieces[~simple, 0] = len(low.dictionary) + len(marks.dictionary) + np.arange(int((~simple).sum()))
+        size = np.frombuffer(sizes, np.int64)
+        return laid(np.frombuffer(flat, np.uint32), size, pieces.reshape(-1)), size[pieces].sum(axis=1)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and where each one begins, with the end of the last."""
+        # offsets of 64 bits: words of a large batch may be more than 32 bits count
+        whole = pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.split_pattern(pc.replace_substring(whole, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        flat, sizes = self.word_ids(words.dictionary)
+        codes = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+        per_text = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        return laid(flat, sizes, codes), ends[per_text]
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
+        return self.batch(pa.array([text]))[0]
+
+
+def laid(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """The pieces that ``codes`` number, end to end; ``flat`` has each piece once. Done in steps, as places take more room than ids."""
+    first, out = np.cumsum(sizes) - sizes, [np.zeros(0, np.uint32)]
+    for low in range(0, len(codes), step):
+        some = codes[low : low + step]
+        size = sizes[some]
+        ends = np.cumsum(size)
+        out.append(flat[np.repeat(first[some] - (ends - size), size) + np.arange(ends[-1])])
+    return np.concatenate(out)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.column("text").nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 @functools.lru_cache(maxsize=2)
@@ -225,9 +285,10 @@ def write_shards(docs: DataFrame, file: str, path: str, end_id: int = END_ID, sh
             rows = [[part], [shard], [size], [len(lists)], [to_file(lists, doc_ids, encode.bits)]]
             return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "shard", "ids", "documents", "file"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.concatenate([encode.ids(text or ""), end])
+        for batch in chunks(batches):
+            found, bounds = encode.batch(batch.column("text"))
+            for doc_id, low, high in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                ids = np.concatenate([found[low:high], end])
                 if lists and size + len(ids) > shard_ids:
                     yield close()
                     lists, doc_ids, size, shard = [], [], 0, shard + 1
@@ -253,7 +314,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, shard, data in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "file"))):
                 matrix, doc_ids, lengths = from_file(data)
-                ids = matrix.tokens().astype("<u4").tobytes()
+                ids = memoryview(matrix.tokens().astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
                 crcs = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends, lengths)]
                 cols = [np.full(len(ends), part, np.int32), np.full(len(ends), shard, np.int32), pa.array(doc_ids, pa.int64()), ends - lengths, lengths, pa.array(crcs, pa.int64())]

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,20 @@ def test_token_shards(spark, odd, sf_dir):
         assert known == sorted(known)
 
 
+def test_words_of_many_texts_are_encoded_once(monkeypatch):
+    encoder = token_output.Encoder(token_output.vocabulary("word_bpe_49k.json"))
+    forms = [None, "", " ", "Straße straße, STRAßE!", "It's it's\n\n12 12. a1 'tis <|endoftext|> <|EndOfText|>,", "é é e\u0301\tx\u00a0y ﬁ İ ×÷ 中文", "x" * 100 + "??'"]
+    texts = [t if t is None else f"{t} word{mark}" for mark in ("", ",", "'", "***", "<|") for t in forms] * 3
+    asked, whole = [], token_output.Encoder.model_ids
+    monkeypatch.setattr(token_output.Encoder, "model_ids", lambda self, letters: asked.append(letters) or whole(self, letters))
+    ids, bounds = encoder.batch(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) and "straße" in asked and "word" in asked
+    parts = token_output.chunks(iter(pa.RecordBatch.from_pydict({"text": [t]}) for t in "abcdefg"), 2 * pa.array(["a"]).nbytes)
+    assert [p.column("text").to_pylist() for p in parts] == [["a", "b"], ["c", "d"], ["e", "f"], ["g"]]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(2)
     for n in (0, 1, 511, 512, 5000):
