@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -63,6 +64,14 @@ def row_key() -> list[Column]:
     return [F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("_id"), F.xxhash64("text").alias("_h")]
 
 
+def give_back() -> None:
+    """What this worker has free goes back to the system: it waits for later tasks and stages, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` with a function made once per task."""
 
@@ -71,6 +80,8 @@ def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callab
         for batch in batches:
             if batch.num_rows:
                 yield one(batch)
+        del one
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statwarden.llm.registry import query, table
-from statwarden.llm.shared import folder
+from statwarden.llm.shared import folder, give_back
 from statwarden.llm.token_counts import vocabulary
 
 END_ID = 2
@@ -37,7 +37,7 @@ END_ID = 2
 SHARD_IDS = 1 << 19
 BLOCK = 512
 # texts are encoded together up to so many bytes, as a word that comes often in them is encoded once; a single batch may exceed it
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 # letters whose lower case and splitting are the same in Arrow and in the library, and ASCII marks, which split as one run behind them
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
@@ -226,20 +226,21 @@ class Encoder:
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, and where each one begins, with the end of the last."""
         # offsets of 64 bits: words of a large batch may be more than 32 bits count
-        whole = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.split_pattern(pc.replace_substring(whole, "\n", " "), " ")
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " "), " ")
+        per_text = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
         words = lists.flatten().dictionary_encode()
-        flat, sizes = self.word_ids(words.dictionary)
+        del lists
         codes = words.indices.to_numpy()
+        flat, sizes = self.word_ids(words.dictionary)
+        del words
         ends = np.concatenate([[0], np.cumsum(sizes[codes])])
-        per_text = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
         return laid(flat, sizes, codes), ends[per_text]
 
     def ids(self, text: str) -> np.ndarray:
         return self.batch(pa.array([text]))[0]
 
 
-def laid(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+def laid(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, step: int = 1 << 16) -> np.ndarray:
     """The pieces that ``codes`` number, end to end; ``flat`` has each piece once. Done in steps, as places take more room than ids."""
     first, out = np.cumsum(sizes) - sizes, [np.zeros(0, np.uint32)]
     for low in range(0, len(codes), step):
@@ -295,8 +296,12 @@ def write_shards(docs: DataFrame, file: str, path: str, end_id: int = END_ID, sh
                 lists.append(ids)
                 doc_ids.append(doc_id)
                 size += len(ids)
+            found = None
+            give_back()
         if lists:
             yield close()
+        lists.clear()
+        give_back()
 
     ordered.mapInArrow(run, SHARDS).write.parquet(path)
 
@@ -319,6 +324,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 crcs = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends, lengths)]
                 cols = [np.full(len(ends), part, np.int32), np.full(len(ends), shard, np.int32), pa.array(doc_ids, pa.int64()), ends - lengths, lengths, pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+        give_back()
 
     rows = shards.select("part", "shard", "file").mapInArrow(run, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from statwarden.llm import QUERIES, curriculum, decontamination, exact_dedup, minhash_odd, quality, run_index, secrets, token_counts, token_output, toxicity
+from statwarden.llm import QUERIES, curriculum, decontamination, exact_dedup, minhash_odd, quality, run_index, secrets, shared, token_counts, token_output, toxicity
 from statwarden.llm.components import components
 from statwarden.llm.registry import table
 
@@ -257,6 +257,19 @@ def test_words_of_many_texts_are_encoded_once(monkeypatch):
     assert [p.column("text").to_pylist() for p in parts] == [["a", "b"], ["c", "d"], ["e", "f"], ["g"]]
 
 
+def test_workers_give_back_what_a_task_leaves(monkeypatch):
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run(iter([pa.RecordBatch.from_pydict({"a": rows}) for rows in ([1], [], [2, 3])]))
+
+    shared.give_back()
+    done = []
+    monkeypatch.setattr(shared, "give_back", lambda: done.append(True))
+    rows = shared.per_batch(Frame(), "a long", lambda: lambda batch: batch)
+    assert (next(rows).num_rows, done) == (1, [])
+    assert ([batch.num_rows for batch in rows], done) == ([2], [True])
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(2)
     for n in (0, 1, 511, 512, 5000):
