@@ -233,7 +233,9 @@ def refresh(run: RunFolder, plan: RunPlan, looked: DataFrame, unit: int, lake: L
             )
             # totals of the version that is read: rows moved meanwhile count for the next run
             totals = lake.states.totals(lake.states.version())
-            found = profile.refresh_batch(wanted, lake.tables, lake.row_keys, f"{run.folder}/work-{unit}-{uuid.uuid4().hex}")
+            work = f"work-{unit}-{uuid.uuid4().hex}"
+            # the entries are joined to what they are made of: written, so that the histograms are made once
+            found = run.put(profile.refresh_batch(wanted, lake.tables, lake.row_keys, f"{run.folder}/{work}"), f"{work}/found")
             entries = collect.refreshed(found, totals, begun, 0.0)
             results = run.put(found.select(*telemetry.STAT_ID, "table_name", "column_name", "after_steps", "sampled_values").join(entries, ["table_name", "column_name"]), f"profiled/unit={unit}")
             run.put(results.withColumn("elapsed_seconds", F.lit((clock() - begun).total_seconds())), part)

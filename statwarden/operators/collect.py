@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statwarden.functions.numeric import truncated_percent
-from statwarden.operators.profile import VALUE, profiled, typed_value
+from statwarden.operators.profile import placed_value, plain_value, profiled
 from statwarden.sources import store
 
 PIECE = ["table_name", "piece"]
@@ -41,20 +41,30 @@ def piece_states(df: DataFrame, table_name: str, piece: Column) -> DataFrame:
     """One row per piece and column, by one aggregation that combines before its shuffle."""
     ordered = set(profiled(df))
 
-    def state(name: str) -> Column:
-        known, none = F.col(name).isNotNull(), F.lit(None).cast(VALUE_TYPE)
-        value = None
+    def found(i: int, name: str) -> list[Column]:
+        known = F.col(name).isNotNull()
+        sketch = F.hll_sketch_agg(F.when(known, F.xxhash64(name)), F.lit(SKETCH_BITS))
+        ends = []
         if name in ordered:
-            value = typed_value(df, name).cast(VALUE_TYPE)
-            value = F.when(known, value.withField("text_value", F.left(value["text_value"], F.lit(TEXT_CHARACTERS))))
+            place, value = plain_value(df, name)
+            value = F.left(value, F.lit(TEXT_CHARACTERS)) if place == "text_value" else value
+            ends = [F.min(value).alias(f"__low_{i}"), F.max(value).alias(f"__high_{i}")]
+        return [F.count_if(known).alias(f"__known_{i}"), sketch.alias(f"__sketch_{i}"), *ends]
+
+    def state(i: int, name: str) -> Column:
+        # extremes are plain values while rows are met, and get their shape once per piece
+        def end(column: str) -> Column:
+            if name not in ordered:
+                return F.lit(None).cast(VALUE_TYPE)
+            return F.when(F.col(column).isNotNull(), F.struct(*placed_value(plain_value(df, name)[0], F.col(column))).cast(VALUE_TYPE))
+
         return F.struct(
-            F.lit(name).alias("column_name"), F.count_if(known).alias("known_rows"),
-            F.hll_sketch_agg(F.when(known, F.xxhash64(name)), F.lit(SKETCH_BITS)).alias("sketch"),
-            (none if value is None else F.min(value)).alias("low"), (none if value is None else F.max(value)).alias("high"),
+            F.lit(name).alias("column_name"), F.col(f"__known_{i}").alias("known_rows"), F.col(f"__sketch_{i}").alias("sketch"),
+            end(f"__low_{i}").alias("low"), end(f"__high_{i}").alias("high"),
         )
 
-    per_piece = df.groupBy(piece.cast("string").alias("__piece")).agg(F.count(F.lit(1)).alias("__rows"), *[state(n).alias(f"__state_{i}") for i, n in enumerate(df.columns)])
-    every = F.explode(F.array(*[F.col(f"__state_{i}") for i in range(len(df.columns))])).alias("s")
+    per_piece = df.groupBy(piece.cast("string").alias("__piece")).agg(F.count(F.lit(1)).alias("__rows"), *[c for i, n in enumerate(df.columns) for c in found(i, n)])
+    every = F.explode(F.array(*[state(i, n) for i, n in enumerate(df.columns)])).alias("s")
     rows = per_piece.select(F.lit(table_name).alias("table_name"), F.col("__piece").alias("piece"), F.col("__rows").alias("rows"), every)
     return rows.select(*PIECE, "rows", "s.*")
 

@@ -24,8 +24,9 @@ ROWS_PER_BUCKET = 1_000_000
 BYTES_PER_BUCKET = 1 << 25
 # Cut points are pieces of texts: any value may part two buckets.
 CUT_CHARACTERS = 64
-STRIDE = 64
 HASH_RANGE = 1 << 30
+# Ranges of numbers have a part of a bucket's rows, so that a few buckets still keep all cores busy.
+RANGES_PER_BUCKET = 4
 # A tie is cut again from this many buckets' rows on; of fewer rows a cut point may well miss it.
 TIED_BUCKETS = 4
 # Longest text that a common beginning is searched in, as a power of two.
@@ -67,22 +68,24 @@ def _cut_points(
     limit = F.greatest(F.col("__limit"), (row_bytes * F.col("__byte_limit")).cast("bigint"))
     sampled = df.join(F.broadcast(sizes), groups).where(F.pmod(chosen_by, F.lit(HASH_RANGE)) < limit)
     cuts = sampled.groupBy(*groups).agg(F.sort_array(F.collect_set(key)).alias("__cuts"))
-    every_nth = F.transform(
-        F.sequence(F.lit(1), F.size("__cuts"), F.lit(STRIDE)), lambda i: F.element_at(F.col("__cuts"), i)
-    )
-    return cuts.select(*groups, "__cuts", every_nth.alias("__tops"))
+    last_bit = F.length(F.bin(F.size("__cuts"))) - 1
+    jumps = F.transform(F.sequence(last_bit, F.lit(0), F.lit(-1)), lambda bit: F.call_function("shiftleft", F.lit(1), bit))
+    return cuts.select(*groups, "__cuts", jumps.alias("__jumps"))
 
 
 def _bucket(key: Column) -> Column:
     """Odd for a key that is a cut point, even for those between two: buckets ascend as keys do.
 
-    Finds the stride first, then looks inside it.
+    A binary search: with so many cut points, looking at each would cost a row more the more rows there are.
     """
-    top = F.size(F.filter("__tops", lambda c: c <= key))
-    inside = F.slice("__cuts", (top - 1) * STRIDE + 1, F.lit(STRIDE))
-    not_above = (top - 1) * STRIDE + F.size(F.filter(inside, lambda c: c <= key))
-    tied = F.element_at("__cuts", not_above).eqNullSafe(key)
-    return F.when(F.col("__cuts").isNull() | (top == 0), F.lit(0)).otherwise(2 * not_above - tied.cast("int"))
+
+    def cut(number: Column) -> Column:
+        return F.get("__cuts", number - 1)  # none beyond the last
+
+    not_above = F.aggregate("__jumps", F.lit(0), lambda found, jump: F.when(cut(found + jump) <= key, found + jump).otherwise(found))
+    # in a list of one, so that it is searched once
+    bucket = F.transform(F.array(not_above), lambda n: F.when(n == 0, F.lit(0)).otherwise(2 * n - cut(n).eqNullSafe(key).cast("int")))
+    return F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(F.get(bucket, F.lit(0)))
 
 
 def _common_length(low: Column, high: Column) -> Column:
@@ -133,6 +136,8 @@ def rows_before(
     large buckets of rows alike in these are cut again by the next characters that differ,
     level by level until none is left; the cut points are kept there, and ``df``,
     which every level reads, should be a written table. Without one such rows share a task.
+    An order without texts needs no search with a ``folder``: Spark deals the rows out by ranges, which
+    are short enough to be sampled whole, and each row is written with the number of its range.
     """
     spark, groups, order = df.sparkSession, list(groups), list(order)
     texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
@@ -145,6 +150,19 @@ def rows_before(
         table.write.parquet(f"{folder}/{name}")
         return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
 
+    def finished(placed: DataFrame, levels: list[str]) -> DataFrame:
+        # the place of a row is found once, and read for the totals and inside the bucket
+        placed = kept(placed, "placed")
+        totals = placed.groupBy(*groups, *levels).agg(F.sum(weight).alias("__sum"))
+        earlier = Window.partitionBy(*groups).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*groups, *levels, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
+        inside = Window.partitionBy(*groups, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        local = placed.withColumn("__local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        return local.join(offsets, [*groups, *levels]).select(*df.columns, (F.col("__offset") + F.col("__local")).alias(result))
+
+    if folder is not None and not texts.intersection(order):
+        ranges = max(1, df.count() * RANGES_PER_BUCKET // rows_per_bucket)
+        return finished(df.repartitionByRange(ranges, *groups, *order).withColumn("__range", F.spark_partition_id()), ["__range"])
     sizes = df.groupBy(*groups).agg(*_sizes(row_bytes))
     cuts = kept(_cut_points(df, sizes, groups, key, chosen_by, rows_per_bucket, row_bytes, bytes_per_bucket), "cuts_0")
     placed = df.join(F.broadcast(cuts), groups, "left").select(*df.columns, _bucket(key).alias("__bucket_0"))
@@ -163,11 +181,4 @@ def rows_before(
         levels.append(f"__bucket_{len(levels)}")
         deeper = _bucket(_next_characters(order[-1])).alias(levels[-1])
         placed = placed.join(F.broadcast(cuts), within, "left").select(*placed.columns, deeper)
-    totals = placed.groupBy(*groups, *levels).agg(F.sum(weight).alias("__sum"))
-    earlier = Window.partitionBy(*groups).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*groups, *levels, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy(*groups, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumn("__local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    return local.join(offsets, [*groups, *levels]).select(
-        *df.columns, (F.col("__offset") + F.col("__local")).alias(result)
-    )
+    return finished(placed, levels)

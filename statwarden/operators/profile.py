@@ -4,13 +4,15 @@ Values of all types share one tall shape: whole numbers, booleans, dates and
 instants in ``long_value``, fractions in ``double_value``, exact decimals in
 ``decimal_value``, text in ``text_value``. Arrays, maps and structs have no order and no
 histogram; ``profiled`` leaves them out and ``skew`` reports them with a status.
-One scan per table feeds all of its profiled columns.
+A column has values of one kind. Values are counted kind by kind, each by its own short
+key, so a table is read once per kind of its columns and every column once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,34 +33,37 @@ VALUE = ["long_value", "double_value", "decimal_value", "text_value"]
 DECIMAL = T.DecimalType(38, 18)
 
 
-def typed_value(df: DataFrame, name: str) -> Column:
+VALUE_TYPES = dict(zip(VALUE, ("bigint", "double", DECIMAL, "string")))
+
+
+def plain_value(df: DataFrame, name: str) -> tuple[str, Column]:
+    """Where a column's values go, one of ``VALUE``, and the value itself."""
     kind = df.schema[name].dataType
     column = F.col(name)
-    long_value = double_value = decimal_value = text_value = None
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        long_value = epoch_micros(column)
+        place, value = "long_value", epoch_micros(column)
     elif isinstance(kind, T.DateType):
-        long_value = F.unix_date(column)
+        place, value = "long_value", F.unix_date(column)
     elif isinstance(kind, (T.IntegralType, T.BooleanType)):
-        long_value = column
+        place, value = "long_value", column
     elif isinstance(kind, T.DecimalType):
-        decimal_value = column
+        place, value = "decimal_value", column
     elif isinstance(kind, T.FractionalType):
-        double_value = column
+        place, value = "double_value", column
     elif isinstance(kind, T.StringType):
-        text_value = column
+        place, value = "text_value", column
     else:
         raise TypeError(f"column {name} of type {kind.simpleString()} has no histogram")
+    return place, value.cast(VALUE_TYPES[place])
 
-    def part(value, kind, alias):
-        return (F.lit(None) if value is None else value).cast(kind).alias(alias)
 
-    return F.struct(
-        part(long_value, "bigint", "long_value"),
-        part(double_value, "double", "double_value"),
-        part(decimal_value, DECIMAL, "decimal_value"),
-        part(text_value, "string", "text_value"),
-    ).alias(name)
+def placed_value(place: str, value: Column) -> list[Column]:
+    """The columns ``VALUE``, with the value in its place."""
+    return [(value if v == place else F.lit(None)).cast(kind).alias(v) for v, kind in VALUE_TYPES.items()]
+
+
+def typed_value(df: DataFrame, name: str) -> Column:
+    return F.struct(*placed_value(*plain_value(df, name))).alias(name)
 
 
 def profiled(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
@@ -86,6 +91,49 @@ def value_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*COLUMN_KEY, *VALUE).agg(F.count(F.lit(1)).alias("value_rows"))
 
 
+class Counted(NamedTuple):
+    """Columns of a table whose values are to be counted; ``keep`` as in ``tall``."""
+
+    df: DataFrame
+    table_name: str
+    columns: Sequence[str]
+    keep: Mapping[str, Column] | None = None
+
+
+def column_counts(parts: Sequence[Counted]) -> DataFrame:
+    """``value_counts`` of the tall rows of all parts, one aggregation per kind of value.
+
+    The key is a column's number and its plain value: names and the places of other kinds
+    come after counting, once per value and not once per row. Columns with a condition are
+    unpivoted apart from those without.
+    """
+    names: list[tuple[str, str]] = []
+    rows: dict[str, list[DataFrame]] = {}
+    for part in parts:
+        alike: dict[tuple[str, bool], dict[str, Column]] = {}
+        for column in part.columns:
+            place, value = plain_value(part.df, column)
+            sampled = column in (part.keep or {})
+            # a value left out is no struct, a missing value that is kept is a struct without a value
+            alike.setdefault((place, sampled), {})[column] = F.when(part.keep[column], F.struct(value.alias("value"))) if sampled else value
+        for (place, sampled), values in alike.items():
+            start = len(names)
+            names += [(part.table_name, column) for column in values]
+            numbered = [value.alias(str(start + i)) for i, value in enumerate(values.values())]
+            some = part.df.select(*numbered).unpivot([], [str(start + i) for i in range(len(values))], "column", "value")
+            if sampled:
+                some = some.where(F.col("value").isNotNull()).select("column", "value.value")
+            rows.setdefault(place, []).append(some.select(F.col("column").cast("int").alias("column"), "value"))
+    tables, columns = (F.array(*[F.lit(n[i]) for n in names]) for i in range(2))
+    counted = [
+        reduce(DataFrame.unionByName, some).groupBy("column", "value").agg(F.count(F.lit(1)).alias("value_rows")).select(
+            F.get(tables, F.col("column")).alias("table_name"), F.get(columns, F.col("column")).alias("column_name"), *placed_value(place, F.col("value")), "value_rows"
+        )
+        for place, some in rows.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def known() -> Column:
     return reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in VALUE])
 
@@ -95,20 +143,29 @@ def known_values(counts: DataFrame) -> DataFrame:
 
 
 def properties(counts: DataFrame) -> DataFrame:
-    """Per column: rows, known rows, distinct values, lowest and highest value."""
+    """Per column: rows, known rows, distinct values, lowest and highest value.
+
+    Extremes of texts are found by sorting, so texts are taken apart from all other values,
+    which are not sorted; what both sides found is added up per column.
+    """
     has_value = known()
-    return counts.groupBy(*COLUMN_KEY).agg(
-        F.sum("value_rows").alias("stats_rows"),
-        F.coalesce(F.sum(F.when(has_value, F.col("value_rows"))), F.lit(0)).alias("known_rows"),
-        F.count_if(has_value).alias("distinct_values"),
-        F.min("long_value").alias("min_long"),
-        F.max("long_value").alias("max_long"),
-        F.min("double_value").alias("min_double"),
-        F.max("double_value").alias("max_double"),
-        F.min("decimal_value").alias("min_decimal"),
-        F.max("decimal_value").alias("max_decimal"),
-        F.min("text_value").alias("min_text"),
-        F.max("text_value").alias("max_text"),
+    extremes = [(f, v) for v in VALUE for f in (F.min, F.max)]
+
+    def name(f, value: str) -> str:
+        return f"{f.__name__}_{value.removesuffix('_value')}"
+
+    def found(rows: DataFrame, values: Sequence[str]) -> DataFrame:
+        return rows.groupBy(*COLUMN_KEY).agg(
+            F.sum("value_rows").alias("stats_rows"),
+            F.coalesce(F.sum(F.when(has_value, F.col("value_rows"))), F.lit(0)).alias("known_rows"),
+            F.count_if(has_value).alias("distinct_values"),
+            *[(f(v) if v in values else F.lit(None).cast(VALUE_TYPES[v])).alias(name(f, v)) for f, v in extremes],
+        )
+
+    texts = F.col("text_value").isNotNull()
+    sides = found(counts.where(~texts), VALUE[:-1]).unionByName(found(counts.where(texts), VALUE))
+    return sides.groupBy(*COLUMN_KEY).agg(
+        *[F.sum(n).alias(n) for n in ("stats_rows", "known_rows", "distinct_values")], *[f(name(f, v)).alias(name(f, v)) for f, v in extremes]
     )
 
 
@@ -120,26 +177,38 @@ def histogram(
     A value belongs to step ``rows before it * steps div rows``, so each value with
     at least rows / steps rows ends its step and keeps its exact count. With a ``folder``
     and written counts, many texts with a common beginning are spread as well (see ``rows_before``).
+    Columns of texts are placed apart from all others, which need no sort for their steps.
     """
     values = known_values(counts)
+    texts = F.col("text_value").isNotNull()
+
+    def placed_in(part: str) -> str | None:
+        return None if folder is None else f"{folder}/{part}"
+
+    options = (steps, rows_per_bucket, bytes_per_bucket)
+    return _steps(values.where(~texts), VALUE[:-1], placed_in("numbers"), *options).unionByName(_steps(values.where(texts), VALUE[-1:], placed_in("texts"), *options))
+
+
+def _steps(values: DataFrame, order: Sequence[str], folder: str | None, steps: int, rows_per_bucket: int, bytes_per_bucket: int) -> DataFrame:
+    """Steps of columns whose values are in the places ``order``."""
     totals = values.groupBy(*COLUMN_KEY).agg(F.sum("value_rows").alias("__total"))
-    placed = rows_before(values, COLUMN_KEY, VALUE, "value_rows", "__before", rows_per_bucket, folder, bytes_per_bucket)
+    placed = rows_before(values.select(*COLUMN_KEY, *order, "value_rows"), COLUMN_KEY, order, "value_rows", "__before", rows_per_bucket, folder, bytes_per_bucket)
     step = F.call_function("div", F.col("__before") * steps, F.col("__total"))
-    high = F.max(F.struct(*VALUE, "value_rows"))
+    # a step's highest value is the one with most rows before it; a number in place of a struct needs no sort
     grouped = (
         placed.join(F.broadcast(totals), COLUMN_KEY)
         .groupBy(*COLUMN_KEY, step.alias("step"))
-        .agg(high.alias("__high"), F.sum("value_rows").alias("__rows"), F.count(F.lit(1)).alias("__values"))
+        .agg(
+            *[F.max_by(c, "__before").alias(f"__high_{c}") for c in (*order, "value_rows")],
+            F.sum("value_rows").alias("__rows"), F.count(F.lit(1)).alias("__values"),
+        )
     )
     return grouped.select(
         *COLUMN_KEY,
         "step",
-        F.col("__high.long_value").alias("high_long"),
-        F.col("__high.double_value").alias("high_double"),
-        F.col("__high.decimal_value").alias("high_decimal"),
-        F.col("__high.text_value").alias("high_text"),
-        F.col("__high.value_rows").alias("equal_rows"),
-        (F.col("__rows") - F.col("__high.value_rows")).alias("range_rows"),
+        *[(F.col(f"__high_{v}") if v in order else F.lit(None)).cast(kind).alias(f"high_{v.removesuffix('_value')}") for v, kind in VALUE_TYPES.items()],
+        F.col("__high_value_rows").alias("equal_rows"),
+        (F.col("__rows") - F.col("__high_value_rows")).alias("range_rows"),
         (F.col("__values") - 1).alias("distinct_range"),
     )
 
@@ -232,7 +301,7 @@ TABLES_PER_JOB = 32
 def refresh_batch(
     plan: DataFrame, tables: Mapping[str, DataFrame], row_keys: Mapping[str, Sequence[str]], folder: str, tables_per_job: int = TABLES_PER_JOB
 ) -> DataFrame:
-    """Re-profiles the planned columns, one scan per table, each with its own method.
+    """Re-profiles the planned columns, each with its own method, by one job for all columns of a few tables.
 
     ``plan`` has one row per column (table_name, column_name, collection_method,
     requested_sample_percent, requested_sample_rows, current_rows). It is written
@@ -255,9 +324,9 @@ def refresh_batch(
         for table_name, columns in sorted(by_table.items()):
             hashed = tables[table_name].withColumn("__hash", row_hash(*[F.col(c) for c in row_keys[table_name]]))
             keep = {c: F.col("__hash") < limit for c, limit in columns.items() if limit < HASH_SPACE}
-            parts.append(tall(hashed, table_name, profiled(hashed, sorted(columns)), keep))
-        if parts:
-            value_counts(reduce(DataFrame.unionByName, parts)).write.mode("append").parquet(f"{folder}/counts")
+            parts.append(Counted(hashed, table_name, profiled(hashed, sorted(columns)), keep))
+        if any(part.columns for part in parts):
+            column_counts(parts).write.mode("append").parquet(f"{folder}/counts")
         elif first == 0:
             spark.createDataFrame([], COUNTS_SCHEMA).write.mode("append").parquet(f"{folder}/counts")
     counts = spark.read.schema(COUNTS_SCHEMA).parquet(f"{folder}/counts")

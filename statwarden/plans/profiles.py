@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,23 +43,15 @@ ROW_KEYS = {
 }
 
 
-def tall_rows(x: Inputs) -> DataFrame:
-    """All columns that have an order, one scan per table."""
-    rows = None
-    for table in ALL_COLUMNS:
-        part = profile.tall(x.table(table), table, profile.profiled(x.table(table)))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
-
-
-def counts(x: Inputs) -> DataFrame:
-    return profile.value_counts(tall_rows(x))
+def counts(x: Inputs, tables: Iterable[str] = ALL_COLUMNS) -> DataFrame:
+    """Value counts of all columns that have an order."""
+    return profile.column_counts([profile.Counted(x.table(t), t, profile.profiled(x.table(t))) for t in tables])
 
 
-def steps_of(x: Inputs, rows: DataFrame) -> DataFrame:
-    """The histogram of tall rows; the value counts are written once, as placing them reads them several times."""
+def steps_of(x: Inputs, counts: DataFrame) -> DataFrame:
+    """The histogram of value counts; these are written once, as placing them reads them several times."""
     folder = work_folder(x.spark, "steps")
-    profile.value_counts(rows).write.parquet(f"{folder}/counts")
+    counts.write.parquet(f"{folder}/counts")
     return profile.histogram(x.spark.read.schema(profile.COUNTS_SCHEMA).parquet(f"{folder}/counts"), folder=f"{folder}/placing")
 
 
@@ -123,7 +117,7 @@ def prof_value_counts(x: Inputs) -> DataFrame:
 
 @query("prof_histogram_steps", "SELECT * FROM steps", ctes=STEPS_SQL)
 def prof_histogram_steps(x: Inputs) -> DataFrame:
-    return steps_of(x, tall_rows(x))
+    return steps_of(x, counts(x))
 
 
 @query(
@@ -133,18 +127,17 @@ def prof_histogram_steps(x: Inputs) -> DataFrame:
 )
 def src_histogram(x: Inputs) -> DataFrame:
     """Histograms of one table: only its profiled columns are scanned."""
-    rows = profile.tall(x.table("lineitem"), "lineitem", profile.profiled(x.table("lineitem")))
-    return steps_of(x, rows).select("column_name", "step", "equal_rows", "range_rows", "distinct_range")
+    return steps_of(x, counts(x, ["lineitem"])).select("column_name", "step", "equal_rows", "range_rows", "distinct_range")
 
 
 @query("agg_histogram_summary", "SELECT * FROM summary", ctes=SUMMARY_SQL)
 def agg_histogram_summary(x: Inputs) -> DataFrame:
-    return profile.histogram_summary(steps_of(x, tall_rows(x)))
+    return profile.histogram_summary(steps_of(x, counts(x)))
 
 
 @query("agg_top3_equality", "SELECT * FROM top3", ctes=SUMMARY_SQL)
 def agg_top3_equality(x: Inputs) -> DataFrame:
-    return profile.top_equality(steps_of(x, tall_rows(x)))
+    return profile.top_equality(steps_of(x, counts(x)))
 
 
 def column_catalog(x: Inputs, tables: dict[str, list[str]]) -> DataFrame:
@@ -179,7 +172,7 @@ def prof_skew(x: Inputs) -> DataFrame:
         "table_name", "column_name", (F.col("column_name") != "lang").alias("properties_available")
     )
     supported = F.when(F.col("column_name") == "o_totalprice", F.lit(None)).otherwise(F.col("column_name") != "value")
-    return profile.skew(catalog, steps_of(x, tall_rows(x)), supported)
+    return profile.skew(catalog, steps_of(x, counts(x)), supported)
 
 
 SAMPLED = "(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR)), 1, 8))::BIGINT)"

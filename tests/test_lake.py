@@ -205,3 +205,16 @@ def test_an_abort_is_logged(x, small):
         run(x, small, present=fails)
     folder = enforcing.RunFolder(small[0].catalog.sparkSession, f"{small[1]}/r")
     assert {r.execution_status for r in states.folded(folder.events()).collect()} == {"SKIPPED_RUN_ABORTED"}
+
+
+def test_histograms_of_a_refresh_are_made_once(spark, x, small):
+    """The entries of the log are joined to what they are made of, which is read from a table."""
+    run(x, small)
+    work = spark.read.parquet(f"{small[1]}/r/work-1-*/found")
+    assert work.count() == 5 and work.where("after_steps > 0").count() == 5
+
+
+def test_extremes_of_states_are_plain_while_rows_are_met(spark):
+    plan = collect.piece_states(frame(spark, ROWS), "t", F.col("day"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(n#" in plan or "min(cast(n#" in plan
+    assert "min(CASE" not in plan and "min(if" not in plan

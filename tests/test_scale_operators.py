@@ -197,3 +197,47 @@ def test_decimals_keep_their_digits_and_arrays_have_no_histogram(spark):
     steps = profile.histogram(counts).orderBy("step").collect()
     assert [str(s.high_decimal.normalize()) for s in steps] == ["-1.5", "9007199254740992.01", "9007199254740992.02"]
     assert profile.properties(counts).head().distinct_values == 3
+
+
+def test_numbers_are_dealt_out_by_ranges_without_a_search(spark, tmp_path):
+    """Every row is placed once and written; a search of the cut points per row grew with the rows."""
+    rows, df = hot_rows(spark)
+    out = prefix.rows_before(df, ["key"], ["id"], "weight", rows_per_bucket=400, folder=str(tmp_path))
+    running, want = {}, {}
+    for i, key, weight in rows:
+        want[i] = running.get(key, 0)
+        running[key] = want[i] + weight
+    assert {r.id: r.rows_before for r in out.collect()} == want
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/placed").groupBy("__range").count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 400 and not list(tmp_path.glob("cuts_*"))
+
+
+def mixed_rows(spark):
+    return spark.createDataFrame(
+        [(i % 4 or None, float(i % 3), None if i % 5 == 0 else f"t{i % 7}", i, i % 2 == 0) for i in range(60)] + [(None, None, None, None, None)] * 2,
+        "a long, d double, t string, n int, b boolean",
+    ).withColumn("m", F.col("n").cast("decimal(9,2)"))
+
+
+def test_values_counted_by_kind_are_the_counts_of_tall_rows(spark):
+    df = mixed_rows(spark)
+    columns = ["a", "d", "t", "n", "b", "m"]
+    keep = {"a": F.col("n") < 30, "t": F.col("n") % 2 == 0}
+    for some in (None, keep):
+        want = profile.value_counts(profile.tall(df, "x", columns, some).unionByName(profile.tall(df, "y", ["d"])))
+        got = profile.column_counts([profile.Counted(df, "x", columns, some), profile.Counted(df, "y", ["d"])])
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+
+
+def test_counts_keys_are_plain_and_numbers_are_never_sorted(spark, tmp_path):
+    df = mixed_rows(spark)
+    counts = profile.column_counts([profile.Counted(df, "x", ["a", "d", "n"])])
+    plan = profile.properties(counts)._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[column" in plan and "long_value" not in plan.split("keys=[column")[-1].split("]")[0]
+    counts.write.parquet(f"{tmp_path}/counts")
+    written = spark.read.schema(profile.COUNTS_SCHEMA).parquet(f"{tmp_path}/counts")
+    numbers = profile._steps(written.where("text_value IS NULL"), profile.VALUE[:-1], f"{tmp_path}/placing", 200, 10**6, 1 << 25)
+    assert "SortAggregate" not in numbers._jdf.queryExecution().executedPlan().toString()
+    got = {r.column_name: (r.stats_rows, r.known_rows, r.distinct_values, r.min_long, r.max_long, r.max_double, r.max_text) for r in profile.properties(written).collect()}
+    assert got == {"a": (62, 45, 3, 1, 3, None, None), "d": (62, 60, 3, None, None, 2.0, None), "n": (62, 60, 60, 0, 59, None, None)}
