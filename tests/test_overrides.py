@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statwarden.operators import overrides
-from statwarden.plans import storage
+from statwarden.plans import storage, workflows
 from statwarden.plans.registry import Inputs
 from statwarden.session import prepare
 
@@ -98,3 +98,28 @@ def test_large_scans_are_held_against_marks(spark, sf_dir):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     df = joined(Inputs(prepare(spark), sf_dir)).where(F.col("o_override_id").isNotNull())
     assert some and some == sorted(df.select("stats_id", "policy_id", "o_override_id").collect())
+
+
+@pytest.fixture
+def many_splits(spark):
+    """Scans of more splits than cores, and no table small enough to broadcast unasked, as with large tables."""
+    given = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in given.items():
+        spark.conf.set(key, value)
+    yield
+    for key in given:
+        spark.conf.unset(key)
+
+
+def _records(df, columns):
+    """Rows that a query's exchanges of at least so many columns wrote."""
+    df.collect()
+    wide = [node for node in _exchanges(df) if node.output().length() >= columns]
+    return [node.metrics().apply("shuffleRecordsWritten").value() for node in wide]
+
+
+def test_the_action_log_does_not_shuffle_the_facts(spark, sf_dir, many_splits):
+    """The actions of topn_recent and scan_recent_inventory come from decisions, whose facts mostly have no override."""
+    x = Inputs(prepare(spark), sf_dir)
+    written = _records(workflows.action_events(x), 10)
+    assert written and max(written) < x.fleet.count() / 2
