@@ -123,3 +123,10 @@ def test_the_action_log_does_not_shuffle_the_facts(spark, sf_dir, many_splits):
     x = Inputs(prepare(spark), sf_dir)
     written = _records(workflows.action_events(x), 10)
     assert written and max(written) < x.fleet.count() / 2
+
+
+def test_telemetry_shuffles_its_facts_twice_at_most(spark, sf_dir, many_splits):
+    """Once by database, once by statistic; fresh facts and overrides add the marked ones only."""
+    x = Inputs(prepare(spark), sf_dir)
+    written = _records(storage.telemetry_table(x), 30)
+    assert written and sum(written) < 3 * x.fleet.count()
